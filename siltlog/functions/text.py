@@ -62,14 +62,21 @@ def log_id(line_number: Column) -> Column:
     return F.format_string("log_%05d", line_number)
 
 
-def duration_text(millis: Column) -> Column:
-    """``950ms``, ``1.5s``, ``2.0m``."""
+def _one_decimal(millis: Column, unit: int) -> Column:
+    """``millis / unit`` to one decimal, ties decided by the double's exact value."""
+    tenth = unit // 10
+    rest = millis % tenth
+    value = millis / F.lit(float(unit))
+    above = (value - F.floor(value)) >= (millis % unit) / F.lit(float(unit))
+    up = (rest * 2 > tenth) | ((rest * 2 == tenth) & above)
+    tenths = F.floor(millis / tenth) + up.cast("long")
+    return F.concat_ws(".", F.floor(tenths / 10).cast("string"), (tenths % 10).cast("string"))
 
-    def one_decimal(value: Column, unit: str) -> Column:
-        return F.concat(F.format_string("%.1f", value), F.lit(unit))
 
+def duration_text(millis: Column) -> Column:
+    """``950ms``, ``1.5s``, ``2.0m``."""
     return (
         F.when(millis < 1000, F.concat(millis.cast("string"), F.lit("ms")))
-        .when(millis < 60000, one_decimal(millis / 1000.0, "s"))
-        .otherwise(one_decimal(millis / 60000.0, "m"))
+        .when(millis < 60000, F.concat(_one_decimal(millis, 1000), F.lit("s")))
+        .otherwise(F.concat(_one_decimal(millis, 60000), F.lit("m")))
     )

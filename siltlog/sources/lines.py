@@ -16,8 +16,17 @@ def _text(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).where(~is_blank(F.col("value")))
 
 
-def read_lines(spark: SparkSession, path) -> DataFrame:
-    """Splittable text scan with ``line_number`` in (file, offset) order.
+def with_block(lines: DataFrame) -> DataFrame:
+    """Keep where each line came from: its file and its block's offset in the file."""
+    return lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """``line_number`` in (file, offset) order over the lines of :func:`with_block`.
 
     A line's number is the count of lines in earlier file blocks plus its place
     in its own block. Only the per-block counts are ordered globally; the lines
@@ -25,18 +34,17 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     and past it each join group is one file block.
     """
     block = ["_file", "_block"]
-    lines = _text(spark, path).select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
+    lines = lines.withColumn("_seq", F.monotonically_increasing_id())
     counts = lines.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    files = counts.groupBy("_file").agg(F.sum("_n").alias("_n"))
+    before = (Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(*before)
     # One row per file: the only globally ordered step, on file metadata.
-    over_files = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    file_start = files.select("_file", F.coalesce(F.sum("_n").over(over_files), F.lit(0)).alias("_file_start"))
+    over_files = Window.orderBy("_file").rowsBetween(*before)
+    file_start = (
+        counts.groupBy("_file")
+        .agg(F.sum("_n").alias("_n"))
+        .select("_file", F.coalesce(F.sum("_n").over(over_files), F.lit(0)).alias("_file_start"))
+    )
     starts = (
         counts.withColumn("_in_file", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
         .join(file_start, "_file")
@@ -47,6 +55,11 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     )
 
 
+def read_lines(spark: SparkSession, path) -> DataFrame:
+    """Splittable text scan of one or more paths, numbered over non-blank lines."""
+    return number_lines(with_block(_text(spark, path)))
+
+
 def read_accepted(spark: SparkSession, folder: str) -> DataFrame:
     """All ``.log`` and ``.txt`` files below a folder; other files are ignored."""
     # A pattern in the path keeps `_metadata` available and prunes the listing.

@@ -18,6 +18,9 @@ from siltlog.session import utc_session, working_path
 from siltlog.sources.formats import LogFormat, parse
 from siltlog.sources.lines import detect_file_format, read_lines
 
+# Fixed value: file name of the sample log.
+DEFAULT_LOG = "Apache_2k.log"
+
 
 @dataclass(frozen=True)
 class LogStore:
@@ -69,6 +72,11 @@ class LogStore:
         lines = read_lines(spark, source)
         return cls.ingest(parse(lines, fmt or detect_file_format(spark, source)), path, str(source))
 
+    @classmethod
+    def load_default(cls, spark: SparkSession, folder: str, path: str | None = None) -> LogStore:
+        """Ingest the sample log kept in ``folder``."""
+        return cls.ingest_file(spark, f"{folder.rstrip('/')}/{DEFAULT_LOG}", path)
+
     def summary(self) -> DataFrame:
         """One row describing the ingest."""
         lost = (F.col("level") == "unknown") & F.col("ts").isNull()
