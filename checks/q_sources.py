@@ -194,7 +194,7 @@ def missing_values(x):
 _MASKED = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(text, '\b\d{3,}\b', 'N', 'g'), 'slot\s+\d+', 'slot N', 'g'),
   'child\s+\d+', 'child N', 'g'), 'state\s+\d+', 'state N', 'g'), '/[\w/.\-]+', 'PATH', 'g'),
-  E' \t\n\v\f\r ')"""
+  E' \t\n\v\f\r\u00a0')"""
 
 
 @query(
@@ -309,14 +309,14 @@ def log_ids(x):
 
 @query(
     "h09_text_functions",
-    r"""SELECT doc_id, length(trim(t, E' \t\n\v\f\r ')) AS kept, upper(lang) AS lang,
-        trim(t, E' \t\n\v\f\r ') = '' AS blank, contains(lower(text), 'the') AS has_word
+    r"""SELECT doc_id, length(trim(t, E' \t\n\v\f\r\u00a0')) AS kept, upper(lang) AS lang,
+        trim(t, E' \t\n\v\f\r\u00a0') = '' AS blank, contains(lower(text), 'the') AS has_word
         FROM (SELECT *, E'\t' || chr(160) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END || E' \r' AS t FROM documents)""",
     None,
 )
 def text_functions(x):
     body = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("text"))
-    text = F.concat(F.lit("\t "), body, F.lit(" \r"))
+    text = F.concat(F.lit("\t\u00a0"), body, F.lit(" \r"))
     (word,) = keywords("  The ")
     return x.table("documents").select(
         "doc_id",

@@ -45,12 +45,10 @@ def unreadable_bound(x):
 
 @query(
     "b03_search",
-    f"SELECT {ROW_SQL} FROM logs WHERE contains(lower(raw), 'child') AND contains(lower(raw), 'slot 1')",
+    f"SELECT {ROW_SQL} FROM logs WHERE contains(lower(raw), 'child') AND contains(lower(raw), 'slot') AND contains(lower(raw), '1')",
 )
 def search(x):
-    return select.search(x.logs, " Child\tSLOT  1".replace("SLOT  1", "SLOT")).where(
-        F.lower("raw").contains("slot 1")
-    ).select(*ROW)
+    return select.search(x.logs, " Child\tSLOT  1").select(*ROW)
 
 
 @query("b03_search_everything", "SELECT count(*) AS n FROM logs")
@@ -358,7 +356,7 @@ _CHAINS = f""", rel AS (SELECT pos, level, fingerprint, row_number() OVER (ORDER
     FROM chains GROUP BY chain_key)"""
 _FIRST_CHAINS = _CHAINS + """, fchains AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS chain_no FROM dchains
     ORDER BY pos LIMIT 10),
-  crows AS (SELECT chain_no, chain_count, chain_key, unnest(list_append(preceding, pos)) AS at,
+  crows AS (SELECT chain_no, chain_count, chain_key, unnest(list_append(preceding, pos)) AS at_pos,
     unnest(generate_series(0, len(preceding))) AS step FROM fchains)"""
 
 
@@ -368,9 +366,10 @@ def escalations(x):
     return found.select("pos", "chain_key", F.array_join(F.col("preceding").cast("array<string>"), ",").alias("preceding"))
 
 
-@query("e02_escalations_sparse", _CHAINS + " SELECT pos, chain_key, array_to_string(preceding, ',') AS preceding FROM chains", "sparse")
-def escalations_sparse(x):
-    found = chains.escalations(x.store("sparse").logs)
+@query("e02_access_escalations", _CHAINS + " SELECT pos, chain_key, array_to_string(preceding, ',') AS preceding FROM chains", "access")
+def access_escalations(x):
+    # Small blocks, so that chains cross block borders.
+    found = chains.escalations(x.store("access").logs, rows=64)
     return found.select("pos", "chain_key", F.array_join(F.col("preceding").cast("array<string>"), ",").alias("preceding"))
 
 
@@ -385,7 +384,7 @@ def distinct_chains(x):
     "f07_first_chains",
     _FIRST_CHAINS
     + f""" SELECT chain_no::INT AS chain_no, chain_count, step::INT AS step, pos, level, message, {TS_SQL}, {FAILURE} AS is_error
-    FROM crows JOIN logs ON pos = at""",
+    FROM crows JOIN logs ON pos = at_pos""",
 )
 def first_chains(x):
     return chains.chain_rows(x.logs).select(

@@ -18,23 +18,30 @@ TRAILING_COMMA = r",\s*([\]}])"
 
 
 def strict_json(text: Column) -> Column:
-    """Variant for text that is one JSON value and nothing else, otherwise null."""
+    """Variant for text that is one JSON value and nothing else, otherwise null.
+
+    A lone parse would accept trailing text; as an item and as a member it cannot.
+    """
     as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     as_member = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
-    return F.when(as_item.isNotNull() & as_member.isNotNull(), F.try_parse_json(text))
+    return F.when(as_item.isNotNull(), F.try_variant_get(as_member, "$.x", "variant"))
 
 
 def json_in_text(text: Column) -> Column:
-    """First of: the whole text, a fenced block, the outer object, the outer array, a repair."""
+    """First of: the whole text, a fenced block, the outer object, the outer array, a repair.
+
+    The later candidates are only tried when the whole text is not JSON.
+    """
     whole = trimmed(text)
     repaired = F.replace(F.regexp_replace(whole, TRAILING_COMMA, "$1"), F.lit("'"), F.lit('"'))
-    return F.coalesce(
-        strict_json(whole),
-        strict_json(trimmed(F.regexp_extract(whole, FENCED, 1))),
-        strict_json(F.regexp_extract(whole, OUTER_OBJECT, 1)),
-        strict_json(F.regexp_extract(whole, OUTER_ARRAY, 1)),
-        strict_json(repaired),
+    candidates = F.array(
+        trimmed(F.regexp_extract(whole, FENCED, 1)),
+        F.regexp_extract(whole, OUTER_OBJECT, 1),
+        F.regexp_extract(whole, OUTER_ARRAY, 1),
+        repaired,
     )
+    readable = F.filter(F.transform(candidates, strict_json), lambda v: v.isNotNull())
+    return F.coalesce(strict_json(whole), F.get(readable, F.lit(0)))
 
 
 def without_fence(text: Column) -> Column:
@@ -45,8 +52,8 @@ def without_fence(text: Column) -> Column:
     ).otherwise(text)
 
 
-def _present(value: Column) -> Column:
-    """The variant itself unless it is null, empty text, zero or false."""
+def _is_present(value: Column) -> Column:
+    """Not null, empty text, zero or false."""
     kind = F.schema_of_variant(value)
     text = F.try_variant_get(value, "$", "string")
     empty = (
@@ -55,13 +62,13 @@ def _present(value: Column) -> Column:
         | ((kind == "BOOLEAN") & (text == "false"))
         | (kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (text.try_cast("double") == 0))
     )
-    return F.when(~empty, value)
+    return value.isNotNull() & ~empty
 
 
 def member(item: Column, *names: str) -> Column:
     """First usable member among the names, as a variant."""
-    found = [_present(F.try_variant_get(item, f"$.{n}", "variant")) for n in names]
-    return F.coalesce(*found)
+    found = F.array(*[F.try_variant_get(item, f"$.{n}", "variant") for n in names])
+    return F.get(F.filter(found, _is_present), F.lit(0))
 
 
 def text_of(item: Column, names: tuple[str, ...], default: str | None = None) -> Column:
