@@ -409,7 +409,7 @@ _EVENT_TS = "CASE event_id % 4 WHEN 0 THEN strftime(ts, '%d/%m/%Y %I:%M:%S %p')
 _MERGED = f"""WITH ev AS (SELECT event_id % 7 AS batch_id, event_id AS item_ord, {_EVENT_TS} AS timestamp,
   CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('second', ts) END AS event_ts FROM events)
   SELECT item_ord, batch_id, timestamp, {ISO.format('event_ts')} AS event_ts,
-    row_number() OVER (ORDER BY event_ts NULLS LAST, batch_id, item_ord)::INT AS sequence FROM ev"""
+    row_number() OVER (ORDER BY event_ts NULLS LAST, batch_id, item_ord) AS sequence FROM ev"""
 
 
 def _drafted_events(x):
@@ -613,7 +613,7 @@ def prompt_text(x):
 @query(
     "j2_timeline",
     f""", hr AS (SELECT {_HOUR} AS h, count(*) AS n, bool_or({FAILURE}) AS bad, min(pos) AS p FROM patterns WHERE {PROBLEM} GROUP BY 1)
-    SELECT row_number() OVER (ORDER BY p)::INT AS sequence, h AS timestamp, n || ' patterns' AS event_title,
+    SELECT row_number() OVER (ORDER BY p) AS sequence, h AS timestamp, n || ' patterns' AS event_title,
       CASE WHEN bad THEN 'error' ELSE 'info' END AS severity FROM hr ORDER BY p LIMIT 8""",
 )
 def timeline(x):

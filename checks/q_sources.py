@@ -29,19 +29,22 @@ from siltlog.streaming.ingest import (
     tumbling_counts,
 )
 
-LOG = ["line_number", "id", "raw", iso_text(F.col("ts")).alias("ts"), "level", "message", "fingerprint"]
+def log_row():
+    return ["line_number", "id", "raw", iso_text(F.col("ts")).alias("ts"), "level", "message", "fingerprint"]
+
+
 LOG_SQL = f"line_number, id, raw, {ISO.format('ts')} AS ts, level, message, fingerprint"
 
 
 @query("a01_text_source", f"SELECT {LOG_SQL} FROM logs")
 def text_source(x):
-    return formats.parse(read_lines(x.spark, x.text_files()), "apache").select(*LOG)
+    return formats.parse(read_lines(x.spark, x.text_files()), "apache").select(*log_row())
 
 
 @query("a02_ingested_file", f"SELECT pos, {LOG_SQL} FROM logs")
 def ingested_file(x):
     store = LogStore.ingest_file(x.spark, x.text_files(parts=3))
-    return store.logs.select("pos", *LOG)
+    return store.logs.select("pos", *log_row())
 
 
 @query("a03_line_list", "SELECT level, count(*) AS n, count(DISTINCT fingerprint) AS patterns FROM logs GROUP BY level", "access")
@@ -114,17 +117,17 @@ def named_format(x):
 
 @query("a07_error_format", f"SELECT {LOG_SQL} FROM logs")
 def error_format(x):
-    return x.parsed().select(*LOG)
+    return x.parsed().select(*log_row())
 
 
 @query("a08_access_format", f"SELECT {LOG_SQL}, ip, size, referrer, user_agent FROM logs", "access")
 def access_format(x):
-    return x.parsed("access").select(*LOG, "ip", "size", "referrer", "user_agent")
+    return x.parsed("access").select(*log_row(), "ip", "size", "referrer", "user_agent")
 
 
 @query("a09_unmatched_lines", f"SELECT {LOG_SQL} FROM logs WHERE level = 'unknown' AND ts IS NULL")
 def unmatched_lines(x):
-    return formats.unmatched(x.parsed()).select(*LOG)
+    return formats.unmatched(x.parsed()).select(*log_row())
 
 
 _REPORT = """SELECT count(*) AS total_lines, count(*) AS parsed_lines,
@@ -177,7 +180,7 @@ def accepted_files(x):
 @query("a15_generated_lines")
 def generated_lines(x):
     made = generate_lines(x.events.select(F.col("event_id").alias("pos")), seed=7)
-    return formats.parse(made, "apache").select(*LOG)
+    return formats.parse(made, "apache").select(*log_row())
 
 
 @query("b11_missing_values", f"SELECT line_number, coalesce({ISO.format('ts')}, 'N/A') AS ts, coalesce(nullif(user_agent, ''), 'N/A') AS agent FROM logs", "access")
@@ -393,7 +396,7 @@ def streamed_ingest(x):
     # the line order over files is only certain with all files in one batch.
     stream = stream_lines(x.spark, folder)
     start_ingest(stream, sink, working_path(x.spark, "stream-state"), "apache").awaitTermination()
-    return finalize(x.spark, sink).logs.select("pos", *LOG)
+    return finalize(x.spark, sink).logs.select("pos", *log_row())
 
 
 @query(

@@ -13,10 +13,18 @@ from siltlog.plans.prompts import scope_text
 from siltlog.plans.reports import patterns_by_hour
 from siltlog.schema import is_failure, is_problem, severity_tier
 
-TS = iso_text(F.col("ts")).alias("ts")
 TS_SQL = f"{ISO.format('ts')} AS ts"
-ROW = ["pos", "id", TS, "level", "message"]
 ROW_SQL = f"pos, id, {TS_SQL}, level, message"
+
+
+def ts():
+    return iso_text(F.col("ts")).alias("ts")
+
+
+def row():
+    return ["pos", "id", ts(), "level", "message"]
+
+
 PROBLEM = "level IN ('error', 'crit', 'warn')"
 FAILURE = "level IN ('error', 'crit')"
 IDS = ["log_00050", "log_00003", "log_99999", "log_00050", "log_00099", "log_00007"]
@@ -27,7 +35,7 @@ IDS_SQL = ", ".join(f"({i}, '{v}')" for i, v in enumerate(IDS))
 
 @query("b01_by_level", f"SELECT {ROW_SQL} FROM logs WHERE level = 'warn'")
 def by_level(x):
-    return select.by_level(x.logs, "warn").select(*ROW)
+    return select.by_level(x.logs, "warn").select(*row())
 
 
 @query(
@@ -35,12 +43,12 @@ def by_level(x):
     f"SELECT {ROW_SQL} FROM logs WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-09 18:30:00'",
 )
 def time_range(x):
-    return select.by_time_range(x.logs, "2024-01-05T06:00:00Z", "2024-01-09T18:30:00Z").select(*ROW)
+    return select.by_time_range(x.logs, "2024-01-05T06:00:00Z", "2024-01-09T18:30:00Z").select(*row())
 
 
 @query("b02_unreadable_bound", f"SELECT {ROW_SQL} FROM logs WHERE FALSE")
 def unreadable_bound(x):
-    return select.by_time_range(x.logs, "yesterday", "2024-01-09T18:30:00Z").select(*ROW)
+    return select.by_time_range(x.logs, "yesterday", "2024-01-09T18:30:00Z").select(*row())
 
 
 @query(
@@ -48,7 +56,7 @@ def unreadable_bound(x):
     f"SELECT {ROW_SQL} FROM logs WHERE contains(lower(raw), 'child') AND contains(lower(raw), 'slot') AND contains(lower(raw), '1')",
 )
 def search(x):
-    return select.search(x.logs, " Child\tSLOT  1").select(*ROW)
+    return select.search(x.logs, " Child\tSLOT  1").select(*row())
 
 
 @query("b03_search_everything", "SELECT count(*) AS n FROM logs")
@@ -122,7 +130,7 @@ def patterns_by_ids(x):
     f"SELECT {ROW_SQL} FROM logs WHERE fingerprint IN (SELECT fingerprint FROM patterns WHERE level = 'warn')",
 )
 def by_fingerprint(x):
-    return select.by_fingerprints(x.logs, x.patterns.where("level = 'warn'")).select(*ROW)
+    return select.by_fingerprints(x.logs, x.patterns.where("level = 'warn'")).select(*row())
 
 
 @query("b09_error_flag", f"SELECT pos, {FAILURE} AS is_error FROM logs")
@@ -156,7 +164,7 @@ def search_context(x):
     f"SELECT r.ord AS request_ord, {ROW_SQL} FROM logs JOIN (VALUES {IDS_SQL}) r(ord, rid) ON rid = id",
 )
 def by_ids(x):
-    return select.by_ids(x.logs, IDS).select("request_ord", *ROW)
+    return select.by_ids(x.logs, IDS).select("request_ord", *row())
 
 
 @query(
@@ -168,7 +176,7 @@ def by_ids(x):
 )
 def neighbours(x):
     logs = x.store("sparse").logs
-    return context.neighbours(logs, select.problems(logs)).select("centre", "offset", *ROW)
+    return context.neighbours(logs, select.problems(logs)).select("centre", "offset", *row())
 
 
 _ERROR_CONTEXT = f"SELECT pos, level, {FAILURE} AS is_error FROM logs WHERE pos IN ({near_sql(PROBLEM, 5)})"
@@ -200,7 +208,7 @@ _PATTERN_CONTEXT = _BATCHED.format(where=PROBLEM, size=20) + """,
 @query("c04_pattern_context", _PATTERN_CONTEXT + f" SELECT batch_id, {ROW_SQL} FROM ctx")
 def pattern_context(x):
     batches = P.in_batches(select.problems(x.patterns), 20)
-    return context.pattern_context(x.logs, batches).select("batch_id", *ROW)
+    return context.pattern_context(x.logs, batches).select("batch_id", *row())
 
 
 @query(
@@ -279,7 +287,7 @@ def _pattern_rows(df):
         "raw",
         "pos",
         "last_pos",
-        TS,
+        ts(),
         iso_text(F.col("first_seen")).alias("first_seen"),
         iso_text(F.col("last_seen")).alias("last_seen"),
     )
@@ -311,11 +319,11 @@ def pattern_members(x):
         count(DISTINCT fingerprint) AS unique_patterns FROM logs""",
 )
 def store_stats(x):
-    row = stats.store_stats(x.logs, x.patterns)
-    return row.select(
+    result = stats.store_stats(x.logs, x.patterns)
+    return result.select(
         iso_text(F.col("range_start")).alias("low"),
         iso_text(F.col("range_end")).alias("high"),
-        *[c for c in row.columns if not c.startswith("range_")],
+        *[c for c in result.columns if not c.startswith("range_")],
     )
 
 
@@ -388,7 +396,7 @@ def distinct_chains(x):
 )
 def first_chains(x):
     return chains.chain_rows(x.logs).select(
-        "chain_no", "chain_count", "step", "pos", "level", "message", TS, "is_error"
+        "chain_no", "chain_count", "step", "pos", "level", "message", ts(), "is_error"
     )
 
 
@@ -423,8 +431,8 @@ def group_in_order(x):
         AS unique_error_patterns FROM logs""",
 )
 def analysis_metadata(x):
-    row = stats.analysis_metadata(x.logs, P.most_frequent(x.patterns), scope_text(symptom="slow"))
-    return row.select(
+    result = stats.analysis_metadata(x.logs, P.most_frequent(x.patterns), scope_text(symptom="slow"))
+    return result.select(
         "total_logs",
         "error_logs",
         iso_text(F.col("range_start")).alias("low"),
@@ -571,7 +579,7 @@ def supplementary(x):
 
 @query("f06_page", f"SELECT {ROW_SQL} FROM logs WHERE pos BETWEEN 100 AND 149")
 def page(x):
-    return select.page(x.logs, number=3).select(*ROW)
+    return select.page(x.logs, number=3).select(*row())
 
 
 @query(
@@ -579,7 +587,7 @@ def page(x):
     f"SELECT {ROW_SQL} FROM logs WHERE level = 'warn' ORDER BY pos LIMIT 200 OFFSET 800",
 )
 def level_page(x):
-    return select.page(x.logs, number=5, limit=500, level="warn").select(*ROW)
+    return select.page(x.logs, number=5, limit=500, level="warn").select(*row())
 
 
 @query(
@@ -612,7 +620,7 @@ def systematic_sample(x):
     SELECT rk.{ROW_SQL.replace(', ', ', rk.').replace('rk.strftime(ts, rk.', 'strftime(rk.ts, ')} FROM rk JOIN tg ON tg.level = rk.level AND tg.rank = rk.rank""",
 )
 def proportional_sample(x):
-    return sampling.proportional_sample(x.logs).select(*ROW)
+    return sampling.proportional_sample(x.logs).select(*row())
 
 
 @query(
@@ -653,7 +661,7 @@ def distinct_ids(x):
 
 @query("g02_union_all", f"SELECT {ROW_SQL} FROM logs WHERE {PROBLEM} UNION ALL SELECT {ROW_SQL} FROM logs WHERE {FAILURE}")
 def union_all(x):
-    return P.union_all(select.problems(x.logs), select.failures(x.logs)).select(*ROW)
+    return P.union_all(select.problems(x.logs), select.failures(x.logs)).select(*row())
 
 
 @query(

@@ -5,9 +5,9 @@ from pyspark.sql import Column, functions as F
 from siltlog.functions.text import SPACE, trimmed
 
 # Masks in the order they apply. Word edges are spelled out
-# because Java's \b is not ASCII-only.
+# because Java's \b is not ASCII-only; the look-ahead skips other text quickly.
 MASKS = (
-    (r"(?<![A-Za-z0-9_])\d{3,}(?![A-Za-z0-9_])", "N"),
+    (r"(?=\d{3})(?<!\w)\d{3,}+(?!\w)", "N"),
     (rf"slot{SPACE}+\d+", "slot N"),
     (rf"child{SPACE}+\d+", "child N"),
     (rf"state{SPACE}+\d+", "state N"),

@@ -18,9 +18,13 @@ SPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 SPACE = f"[{SPACE_CLASS}]"
-NOT_SPACE = f"[^{SPACE_CLASS}]"
+# Complements, spelled as ranges: a negated class is about ten times slower in Java.
+NOT_SPACE = (
+    r"[\x21-\x9F\x00-\x08\x0E-\x1F\xA1-\x{167F}\x{1681}-\x{1FFF}\x{200B}-\x{2027}"
+    r"\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{3001}-\x{FEFE}\x{FF00}-\x{10FFFF}]"
+)
 # Any character that does not end a line.
-ANY = r"[^\n\r\x{2028}\x{2029}]"
+ANY = r"[\x0E-\x{2027}\x00-\x09\x0B\x0C\x{202A}-\x{10FFFF}]"
 
 
 def trimmed(text: Column) -> Column:
@@ -59,7 +63,9 @@ def contains_all_of(text: Column, query: Column) -> Column:
 
 def log_id(line_number: Column) -> Column:
     """``log_00001``; longer numbers are kept whole."""
-    return F.format_string("log_%05d", line_number)
+    digits = line_number.cast("string")
+    padded = F.when(line_number < 100000, F.lpad(digits, 5, "0")).otherwise(digits)
+    return F.concat(F.lit("log_"), padded)
 
 
 def _one_decimal(millis: Column, unit: int) -> Column:

@@ -16,8 +16,9 @@ def _millis(ts: Column) -> Column:
 
 def error_log_time(text: Column) -> Column:
     """``Sun Dec 04 04:47:44 2005``, weekday ignored, fraction optional; else ISO; else null."""
-    no_weekday = F.regexp_replace(text, rf"^[A-Za-z]+,?{SPACE}+(?=[A-Za-z])", "")
-    single_spaced = F.regexp_replace(no_weekday, f"{SPACE}+", " ")
+    date = F.regexp_extract(text, rf"^(?:[A-Za-z]+,?{SPACE}+(?=[A-Za-z]))?(.*)", 1)
+    # Single-digit days may be padded with a second space.
+    single_spaced = F.replace(date, F.lit("  "), F.lit(" "))
     calendar = F.try_to_timestamp(single_spaced, F.lit("MMM d HH:mm:ss[.SSSSSS] yyyy"))
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
     return _millis(F.coalesce(calendar, iso))

@@ -30,18 +30,19 @@ def with_log_date(logs: DataFrame) -> DataFrame:
     return logs.withColumn("log_date", F.coalesce(day, F.lit(UNDATED)))
 
 
-def with_positions(logs: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Add ``pos``; returns the positioned frame and the cached frame to unpersist.
-
-    One range shuffle on a unique key, so equal timestamps can be split between
-    tasks. The sorted ranges are kept on disk because the row counts per range
-    and the rows themselves must come from the same range bounds.
+def global_index(
+    df: DataFrame, keys: Sequence[Column], name: str, partitions: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Add the 0-based index of each row under a total order on unique keys.
+
+    One range shuffle, so no key value, however frequent, fills a task. The
+    sorted ranges are kept on disk because the row counts per range and the rows
+    themselves must come from the same range bounds; unpersist the second frame
+    returned once the first has been written.
     """
-    keys = [F.col("log_date").asc(), *chronological()]
-    args = keys if partitions is None else [partitions, *keys]
+    args = list(keys) if partitions is None else [partitions, *keys]
     ranged = (
-        with_log_date(logs)
-        .repartitionByRange(*args)
+        df.repartitionByRange(*args)
         .sortWithinPartitions(*keys)
         .withColumn("_seq", F.monotonically_increasing_id())
         .persist(StorageLevel.DISK_ONLY)
@@ -52,13 +53,19 @@ def with_positions(logs: DataFrame, partitions: int | None = None) -> tuple[Data
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     # One row per range partition, so the broadcast is bounded by the shuffle width.
-    positioned = (
+    indexed = (
         ranged.withColumn("_part", part)
         .join(F.broadcast(starts), "_part")
-        .withColumn("pos", F.col("_start") + in_part)
+        .withColumn(name, F.col("_start") + in_part)
         .drop("_part", "_start", "_seq")
     )
-    return positioned, ranged
+    return indexed, ranged
+
+
+def with_positions(logs: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Add ``log_date`` and ``pos``; see :func:`global_index` for the pair returned."""
+    keys = [F.col("log_date").asc(), *chronological()]
+    return global_index(with_log_date(logs), keys, "pos", partitions)
 
 
 def block_of(pos: Column | str, rows: int = BLOCK_ROWS) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from siltlog.functions.json_text import classification_rows, root_cause_rows, timeline_rows
 from siltlog.functions.times import report_time
 from siltlog.operators import classify as C
+from siltlog.operators.order import global_index
 from siltlog.operators.patterns import batch_count, in_batches, most_frequent
 from siltlog.operators.select import by_symptom, focus, patterns_by_ids, problems
 from siltlog.operators.stats import analysis_metadata
@@ -94,21 +95,30 @@ def merge_events(events: DataFrame, max_events: int | None = None) -> DataFrame:
     """Events of all batches in time order, capped if asked, numbered from 1.
 
     Unreadable times come last; ties keep batch and answer order. A capped
-    timeline is a top-k; an uncapped one is as long as the answers.
+    timeline is a top-k; an uncapped one grows with the answers, so it is
+    numbered through a range shuffle.
     """
-    order = [F.col("event_ts").asc_nulls_last(), "batch_id", "item_ord"]
+    order = [F.col("event_ts").asc_nulls_last(), F.col("batch_id").asc(), F.col("item_ord").asc()]
     timed = events.withColumn("event_ts", report_time(F.col("timestamp")))
     if max_events:
-        timed = timed.orderBy(*order).limit(max_events)
-    return timed.withColumn("sequence", F.row_number().over(Window.orderBy(*order)))
+        numbered = F.row_number().over(Window.orderBy(*order))
+        return timed.orderBy(*order).limit(max_events).withColumn("sequence", numbered.cast("long"))
+    indexed, cached = global_index(timed, order, "sequence")
+    written = materialize(indexed.withColumn("sequence", F.col("sequence") + 1), "timeline-events")
+    cached.unpersist()
+    return written
+
+
+def batch_summaries(events: DataFrame) -> DataFrame:
+    """The non-empty summaries, one row per batch."""
+    per_batch = events.groupBy("batch_id").agg(F.first("overall_summary").alias("summary"))
+    return per_batch.where(F.nullif("summary", F.lit("")).isNotNull())
 
 
 def joined_summaries(events: DataFrame) -> DataFrame:
     """One text of the batch summaries, in batch order, blank lines between."""
-    per_batch = events.groupBy("batch_id").agg(F.first("overall_summary").alias("summary"))
-    told = per_batch.where(F.nullif("summary", F.lit("")).isNotNull())
     listed = F.array_sort(F.collect_list(F.struct("batch_id", "summary")))
-    return told.agg(
+    return batch_summaries(events).agg(
         F.array_join(F.transform(listed, lambda x: x["summary"]), "\n\n").alias("overall_summary")
     )
 

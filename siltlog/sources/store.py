@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siltlog.operators.order import with_positions
 from siltlog.operators.patterns import patterns_of
 from siltlog.schema import LOG_COLUMNS
-from siltlog.session import utc_session, working_path
+from siltlog.session import materialize, utc_session, working_path
 from siltlog.sources.formats import LogFormat, parse
 from siltlog.sources.lines import detect_file_format, read_lines
 
@@ -49,11 +49,20 @@ class LogStore:
         path: str | None = None,
         source: str = "unknown",
         partitions: int | None = None,
+        landed: bool = False,
     ) -> LogStore:
-        """Order parsed rows, write both tables and return the store."""
+        """Order parsed rows, write both tables and return the store.
+
+        A range shuffle reads its input twice, once to sample the bounds, so the
+        parsed rows are written first instead of being parsed twice. ``landed``
+        says that ``parsed`` is a plain table scan already.
+        """
         spark = utc_session(parsed.sparkSession)
         store = cls(spark, path or working_path(spark, "log-store"), source)
-        positioned, cached = with_positions(parsed.select(*LOG_COLUMNS), partitions)
+        rows = parsed.select(*LOG_COLUMNS)
+        if not landed:
+            rows = materialize(rows, "parsed-lines")
+        positioned, cached = with_positions(rows, partitions)
         (
             positioned.write.mode("overwrite")
             .partitionBy("log_date")

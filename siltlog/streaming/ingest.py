@@ -51,7 +51,7 @@ def start_ingest(lines: DataFrame, sink: str, checkpoint: str, fmt: LogFormat |
 
 def finalize(spark: SparkSession, sink: str, path: str | None = None) -> LogStore:
     """Order everything the stream has written so far into a store."""
-    return LogStore.ingest(spark.read.parquet(sink), path, sink)
+    return LogStore.ingest(spark.read.parquet(sink), path, sink, landed=True)
 
 
 def tumbling_counts(parsed: DataFrame, minutes: int = 15, lateness: str = "1 hour") -> DataFrame:
