@@ -41,6 +41,21 @@ LOG_SCHEMA = T.StructType(
 
 LOG_COLUMNS = tuple(LOG_SCHEMA.fieldNames())
 
+# Stored tables. `log_date` is the partition folder, a date or "unknown".
+STORED_LOG_SCHEMA = T.StructType(
+    [*LOG_SCHEMA.fields, T.StructField("pos", T.LongType()), T.StructField("log_date", T.StringType())]
+)
+PATTERN_SCHEMA = T.StructType(
+    [
+        *LOG_SCHEMA.fields,
+        T.StructField("pos", T.LongType()),
+        T.StructField("occurrence_count", T.LongType()),
+        T.StructField("first_seen", T.TimestampType()),
+        T.StructField("last_seen", T.TimestampType()),
+        T.StructField("last_pos", T.LongType()),
+    ]
+)
+
 
 def is_problem(level: Column) -> Column:
     """Rows that open an error context: error, crit or warn."""

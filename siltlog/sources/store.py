@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltlog.operators.order import with_positions
 from siltlog.operators.patterns import patterns_of
-from siltlog.schema import LOG_COLUMNS
+from siltlog.schema import LOG_COLUMNS, PATTERN_SCHEMA, STORED_LOG_SCHEMA
 from siltlog.session import materialize, utc_session, working_path
 from siltlog.sources.formats import LogFormat, parse
 from siltlog.sources.lines import detect_file_format, read_lines
@@ -31,12 +31,12 @@ class LogStore:
     @property
     def logs(self) -> DataFrame:
         """All rows with ``pos`` and ``log_date``."""
-        return self.spark.read.parquet(f"{self.path}/logs")
+        return self.spark.read.schema(STORED_LOG_SCHEMA).parquet(f"{self.path}/logs")
 
     @property
     def patterns(self) -> DataFrame:
         """One row per fingerprint; ``pos`` is that of its first row."""
-        return self.spark.read.parquet(f"{self.path}/patterns")
+        return self.spark.read.schema(PATTERN_SCHEMA).parquet(f"{self.path}/patterns")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, source: str = "unknown") -> LogStore:
