@@ -194,10 +194,12 @@ def missing_values(x):
 
 # --- scalar functions, over documents, pages, orders and events ---
 
+# White space to trim, for SQL.
+_SPACES = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)"
 _MASKED = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
   regexp_replace(text, '\b\d{3,}\b', 'N', 'g'), 'slot\s+\d+', 'slot N', 'g'),
   'child\s+\d+', 'child N', 'g'), 'state\s+\d+', 'state N', 'g'), '/[\w/.\-]+', 'PATH', 'g'),
-  E' \t\n\v\f\r\u00a0')"""
+  @SPACES@)""".replace("@SPACES@", _SPACES)
 
 
 @query(
@@ -312,9 +314,9 @@ def log_ids(x):
 
 @query(
     "h09_text_functions",
-    r"""SELECT doc_id, length(trim(t, E' \t\n\v\f\r\u00a0')) AS kept, upper(lang) AS lang,
-        trim(t, E' \t\n\v\f\r\u00a0') = '' AS blank, contains(lower(text), 'the') AS has_word
-        FROM (SELECT *, E'\t' || chr(160) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END || E' \r' AS t FROM documents)""",
+    r"""SELECT doc_id, length(trim(t, @SPACES@)) AS kept, upper(lang) AS lang,
+        trim(t, @SPACES@) = '' AS blank, contains(lower(text), 'the') AS has_word
+        FROM (SELECT *, chr(9) || chr(160) || CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END || ' ' || chr(13) AS t FROM documents)""".replace("@SPACES@", _SPACES),
     None,
 )
 def text_functions(x):
