@@ -25,8 +25,10 @@ from siltlog.schema import (
     NARRATIVE_WINDOWS,
     is_problem,
 )
+from siltlog.session import broadcast_if_small
 
 FEW_CENTRES = 50_000
+FEW_POSITIONS = 1_000_000
 
 
 def window_positions(centres: DataFrame, before: int, after: int, centre: str = "pos") -> DataFrame:
@@ -38,6 +40,7 @@ def window_positions(centres: DataFrame, before: int, after: int, centre: str =
 def neighbours(logs: DataFrame, centres: DataFrame, k: int = CONTEXT_ROWS) -> DataFrame:
     """Rows within ``k`` of each centre: ``centre``, ``offset`` and the row. An equi-join."""
     wanted = window_positions(centres.select(F.col("pos").alias("centre")), k, k, "centre")
+    wanted = broadcast_if_small(wanted, FEW_POSITIONS)
     return wanted.join(logs, wanted.at == logs.pos).select(
         "centre", (F.col("pos") - F.col("centre")).alias("offset"), *logs.columns
     )
@@ -132,6 +135,7 @@ def pattern_context(logs: DataFrame, patterns: DataFrame, k: int = CONTEXT_ROWS)
         .select("batch_id", "at")
         .distinct()
     )
+    wanted = broadcast_if_small(wanted, FEW_POSITIONS)
     return wanted.join(logs, wanted.at == logs.pos).drop("at")
 
 
@@ -174,17 +178,22 @@ def context_groups(context: DataFrame, by: Sequence[str] = (), keep_ids: int = 5
     first member is the representative and only the first few ids are listed.
     """
     key = [*by, "fingerprint"]
-    members = dense_index(context, "member", by=key)
     totals = context.groupBy(*key).agg(
         F.count("*").alias("n"),
         F.min_by("ts", "pos").alias("first_ts"),
         F.max_by("ts", "pos").alias("last_ts"),
     )
-    listed = F.array_sort(F.collect_list(F.struct("member", "id")))
-    ids = (
+    members = dense_index(context.select(*key, "pos", "id", "level", "message"), "member", by=key)
+    heads = (
         members.where(F.col("member") < keep_ids)
         .groupBy(*key)
-        .agg(F.transform(listed, lambda x: x["id"]).alias("ids"))
+        .agg(F.array_sort(F.collect_list(F.struct("member", "pos", "id", "level", "message"))).alias("_head"))
     )
-    first = members.where(F.col("member") == 0).select(*key, "pos", "level", "message")
-    return first.join(totals, key).join(ids, key)
+    first = F.col("_head")[0]
+    return heads.select(
+        *key,
+        first["pos"].alias("pos"),
+        first["level"].alias("level"),
+        first["message"].alias("message"),
+        F.transform("_head", lambda x: x["id"]).alias("ids"),
+    ).join(totals, key)

@@ -6,49 +6,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltlog.operators.order import dense_index
-from siltlog.schema import TOP_PATTERNS
+from siltlog.schema import PATTERN_SCHEMA, TOP_PATTERNS
 from siltlog.session import materialize
 
+FEW_PATTERNS = 2_000_000
 
-def pattern_counts(logs: DataFrame) -> DataFrame:
-    """Count, first and last row per fingerprint.
 
-    All buffers are fixed-width, so this stays a hash aggregate with map-side
-    combining and a hot fingerprint costs nothing extra. Undated rows sort last:
-    the first row has the smallest time, and the last row has none as soon as
-    one member has none.
-    """
-    return logs.groupBy("fingerprint").agg(
+def _tallies() -> list:
+    """Undated rows sort last, so the first row has the smallest time, and the
+    last row has none as soon as one member has none."""
+    return [
         F.count("*").alias("occurrence_count"),
-        F.min("pos").alias("first_pos"),
         F.max("pos").alias("last_pos"),
         F.min("ts").alias("first_seen"),
         F.when(F.count("ts") == F.count("*"), F.max("ts")).alias("last_seen"),
-    )
+    ]
 
 
-def patterns_of(logs: DataFrame) -> DataFrame:
-    """Each fingerprint with its first log row; ordered by ``first_pos``.
+def pattern_counts(logs: DataFrame) -> DataFrame:
+    """Count, first and last row per fingerprint.
 
-    The counts are written first: the optimizer then knows their size and
-    broadcasts them to the second scan only when they are small.
+    All buffers are fixed-width, so this stays a hash aggregate with map-side
+    combining and a hot fingerprint costs nothing extra.
+    """
+    return logs.groupBy("fingerprint").agg(F.min("pos").alias("first_pos"), *_tallies())
+
+
+def patterns_of(logs: DataFrame, few: int = FEW_PATTERNS) -> DataFrame:
+    """Each fingerprint with its first log row; ordered by ``pos``.
+
+    The narrow counts come first. Up to ``few`` patterns (counted) their first
+    positions are broadcast and the first rows picked in a second scan. With
+    more, one aggregate carries the first row along instead: each task ships its
+    distinct patterns only, where a join would shuffle every line.
     """
     counts = materialize(pattern_counts(logs), "pattern-counts")
-    first = logs.select("pos", "id", "raw", "ts", "level", "message", "line_number")
-    return first.join(counts, first.pos == counts.first_pos).select(
-        "id",
-        "raw",
-        "ts",
-        "level",
-        "message",
-        "fingerprint",
-        "line_number",
-        "pos",
-        "occurrence_count",
-        "first_seen",
-        "last_seen",
-        "last_pos",
-    )
+    if counts.count() <= few:
+        wanted = F.broadcast(counts.select(F.col("first_pos").alias("pos")))
+        first = logs.join(wanted, "pos", "left_semi").drop("fingerprint")
+        rows = first.join(counts, first.pos == counts.first_pos)
+    else:
+        first = F.min_by(F.struct("pos", "id", "raw", "ts", "level", "message", "line_number"), "pos")
+        rows = logs.groupBy("fingerprint").agg(first.alias("_first"), *_tallies()).select("*", "_first.*")
+    return rows.select(*PATTERN_SCHEMA.fieldNames())
 
 
 def pattern_members(logs: DataFrame) -> DataFrame:

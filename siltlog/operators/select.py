@@ -10,6 +10,9 @@ from siltlog.functions.text import contains_all
 from siltlog.functions.times import bound_time
 from siltlog.operators.order import rows_at_ranks
 from siltlog.schema import PAGE_LIMIT_DEFAULT, PAGE_LIMIT_MAX, is_failure, is_problem
+from siltlog.session import broadcast_if_small
+
+FEW_FINGERPRINTS = 1_000_000
 
 
 def by_level(logs: DataFrame, level: str) -> DataFrame:
@@ -65,8 +68,13 @@ def patterns_by_ids(patterns: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def by_fingerprints(logs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """All rows of the given patterns."""
-    return logs.join(patterns.select("fingerprint"), "fingerprint", "left_semi")
+    """All rows of the given patterns.
+
+    Past the broadcast limit this is a shuffle join, where adaptive execution
+    splits a hot fingerprint: the pattern side holds each one once.
+    """
+    wanted = broadcast_if_small(patterns.select("fingerprint"), FEW_FINGERPRINTS)
+    return logs.join(wanted, "fingerprint", "left_semi")
 
 
 def is_error_flag(level: Column | str = "level") -> Column:

@@ -27,9 +27,11 @@ from siltlog.operators.sampling import (
 from siltlog.operators.select import by_time_range
 from siltlog.operators.signals import pattern_signals
 from siltlog.schema import ROOT_CAUSE_PATTERN_CAP, ROOT_CAUSE_SAMPLE
+from siltlog.session import materialize
 from siltlog.sources.store import LogStore
 
 SHARED_SIGNALS = 10_000
+CONTEXT_COLUMNS = ("pos", "id", "ts", "level", "message", "fingerprint")
 
 
 @dataclass(frozen=True)
@@ -324,7 +326,8 @@ def root_cause_contexts(
     ``cap`` limits the listed groups to the most frequent; None lists all.
     """
     by = ["batch_id"]
-    groups = context_groups(context, by)
+    context = materialize(context.select(*by, *CONTEXT_COLUMNS), "context-rows")
+    groups = materialize(context_groups(context, by), "context-groups")
     unique = groups.groupBy(*by).agg(F.count("*").alias("unique_patterns"))
     listed = groups.withColumn("list_ord", F.col("pos"))
     if cap is not None:
@@ -383,9 +386,11 @@ def whole_root_cause_context(
     """One context over any set of rows with ``pos``, however large.
 
     The listed groups are a top-k and the events a 60-row sample, both taken
-    without gathering the rows.
+    without gathering the rows. Rows and groups are written once because several
+    steps read them.
     """
-    groups = context_groups(context)
+    context = materialize(context.select(*CONTEXT_COLUMNS), "context-rows")
+    groups = materialize(context_groups(context), "context-groups")
     unique = groups.count()
     capped = cap is not None and unique > cap
     listed = cap_by_count(groups, cap) if capped else groups

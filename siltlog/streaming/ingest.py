@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from siltlog.functions.text import is_blank
+from siltlog.schema import LOG_SCHEMA
 from siltlog.sources.formats import LogFormat, parse
 from siltlog.sources.lines import number_lines, with_block
 from siltlog.sources.store import LogStore
@@ -24,6 +25,18 @@ def parse_stream(lines: DataFrame, fmt: LogFormat | str) -> DataFrame:
     return parse(lines.select(F.lit(0).cast("long").alias("line_number"), "value"), fmt)
 
 
+def _last_line(spark: SparkSession, sink: str, epoch: int) -> int:
+    """Last line number before an epoch; reads the epoch before it, rarely more."""
+    if epoch == 0:
+        return 0
+    stored = spark.read.schema(T.StructType([*LOG_SCHEMA.fields, T.StructField("epoch", T.LongType())])).parquet(sink)
+    for earlier in (F.col("epoch") == epoch - 1, F.col("epoch") < epoch):
+        last = stored.where(earlier).agg(F.max("line_number")).head()[0]
+        if last is not None:
+            return last
+    return 0
+
+
 def start_ingest(lines: DataFrame, sink: str, checkpoint: str, fmt: LogFormat | str) -> StreamingQuery:
     """Number, parse and append each micro-batch; line numbers continue over batches.
 
@@ -32,13 +45,8 @@ def start_ingest(lines: DataFrame, sink: str, checkpoint: str, fmt: LogFormat |
     """
 
     def land(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        earlier = 0
-        if epoch > 0:
-            stored = spark.read.parquet(sink)
-            earlier = stored.where(F.col("epoch") < epoch).count()
-        numbered = number_lines(batch)
-        shifted = numbered.withColumn("line_number", F.col("line_number") + earlier)
+        earlier = _last_line(batch.sparkSession, sink, epoch)
+        shifted = number_lines(batch).withColumn("line_number", F.col("line_number") + earlier)
         parse(shifted, fmt).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     return (

@@ -168,3 +168,10 @@ def test_batches(levels_table):
 def test_distinct_in_order(levels_table):
     df = levels_table(["a", "b", "a", "b"])
     assert [r["pos"] for r in P.distinct_in_order(df, "level", "pos").orderBy("pos").collect()] == [0, 1]
+
+
+def test_many_patterns_take_the_other_path(ingested):
+    store = ingested([STAMP.format(i % 60, "error", f"kind {chr(97 + i % 7)}") for i in range(90)] + ["loose"])
+    few, many = P.patterns_of(store.logs), P.patterns_of(store.logs, few=0)
+    assert few.columns == many.columns
+    assert few.orderBy("pos").collect() == many.orderBy("pos").collect()
