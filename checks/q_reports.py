@@ -548,7 +548,7 @@ def _rca_text(list_order: str, keep: str = "TRUE") -> str:
         _FACTS
         + f""", gl AS (SELECT batch_id, string_agg({_TAG} || ' ' || message || ' | Occurrences: ' || n || ' | First: ' || {_iso_or('first_ts', 'N/A')}
       || ' | Last: ' || {_iso_or('last_ts', 'N/A')} || ' | IDs: ' || array_to_string(ids, ', ') || CASE WHEN n > 5 THEN '...' ELSE '' END,
-      chr(10) ORDER BY {list_order}) AS t FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, pos) AS rk FROM grp) WHERE {keep} GROUP BY batch_id),
+      chr(10) ORDER BY {list_order}) AS t FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, pos) AS rk, count(*) OVER (PARTITION BY batch_id) AS un FROM grp) WHERE {keep} GROUP BY batch_id),
     gn AS (SELECT batch_id, count(*) AS u FROM grp GROUP BY batch_id),
     cx AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY batch_id) AS n FROM ctx),
     el AS (SELECT batch_id, max(n) AS n, string_agg('[' || {_iso_or('ts', 'null')} || '] ' || {_TAG} || ' ' || message, chr(10) ORDER BY r) AS t FROM cx
@@ -559,6 +559,10 @@ def _rca_text(list_order: str, keep: str = "TRUE") -> str:
     )
 
 
+# The groups are sorted by count only when there are too many of them.
+_CAPPED_ORDER = "CASE WHEN un > 30 THEN rk ELSE pos END"
+
+
 @query("i3_root_cause_context", _PATTERN_CONTEXT + _GROUPS + _rca_text("pos") + _LINES)
 def root_cause_context(x):
     batches = P.in_batches(select.problems(x.patterns), 20)
@@ -566,7 +570,7 @@ def root_cause_context(x):
     return reports.context_lines(contexts)
 
 
-@query("i3_capped_batch_context", _PATTERN_CONTEXT + _GROUPS + _rca_text("rk", "rk <= 30") + _LINES)
+@query("i3_capped_batch_context", _PATTERN_CONTEXT + _GROUPS + _rca_text(_CAPPED_ORDER, "rk <= 30") + _LINES)
 def capped_batch_context(x):
     batches = P.in_batches(select.problems(x.patterns), 20)
     contexts = reports.pattern_batch_contexts(x.store(), batches, reports.DatasetFacts.of(x.store()), cap=30)
@@ -577,7 +581,7 @@ def capped_batch_context(x):
     "i3_whole_context",
     f", ctx AS (SELECT 0 AS batch_id, * FROM logs WHERE pos IN ({near_sql(PROBLEM, 5)}))"
     + _GROUPS
-    + _rca_text("rk", "rk <= 30")
+    + _rca_text(_CAPPED_ORDER, "rk <= 30")
     + _LINES,
 )
 def whole_context(x):
