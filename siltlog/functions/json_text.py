@@ -53,16 +53,13 @@ def without_fence(text: Column) -> Column:
 
 
 def _is_present(value: Column) -> Column:
-    """Not null, empty text, zero or false."""
-    kind = F.schema_of_variant(value)
+    """Not null, empty text, zero or false. The type matters for such values only."""
     text = F.try_variant_get(value, "$", "string")
-    empty = (
-        F.is_variant_null(value)
-        | ((kind == "STRING") & (text == ""))
-        | ((kind == "BOOLEAN") & (text == "false"))
-        | (kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (text.try_cast("double") == 0))
+    zero = F.coalesce(text.try_cast("double") == 0, F.lit(False))
+    doubtful = text.isin("", "false") | zero
+    return text.isNotNull() & (
+        ~doubtful | ((text != "") & (F.schema_of_variant(value) == "STRING"))
     )
-    return value.isNotNull() & ~empty
 
 
 def member(item: Column, *names: str) -> Column:
@@ -107,14 +104,25 @@ def as_items(value: Column, *wrappers: str) -> Column:
     return F.coalesce(direct, inner, F.array(value))
 
 
+def _readable(responses: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    """Readable answers as variant ``_json``, and the columns carried along.
+
+    The filter is on a generated column: on the parse itself it would be pushed
+    below and every text parsed twice.
+    """
+    keep = [c for c in responses.columns if c != text]
+    parsed = responses.select(*keep, json_in_text(F.col(text)).alias("_parsed"))
+    usable = F.when(~F.is_variant_null("_parsed"), F.array("_parsed"))
+    rows = parsed.select(*keep, F.explode_outer(usable).alias("_json"))
+    return rows.where(F.col("_json").isNotNull()), keep
+
+
 def classification_rows(responses: DataFrame, text: str = "text") -> DataFrame:
     """One row per classified item: ``item_ord`` and the normalised fields.
 
     Other columns of ``responses`` are carried along; unreadable answers give no rows.
     """
-    keep = [c for c in responses.columns if c != text]
-    parsed = responses.select(*keep, json_in_text(F.col(text)).alias("_json"))
-    parsed = parsed.where(F.col("_json").isNotNull() & ~F.is_variant_null("_json"))
+    parsed, keep = _readable(responses, text)
     items = parsed.select(
         *keep,
         F.posexplode(as_items(F.col("_json"), "classifications", "results")).alias("item_ord", "_item"),
@@ -144,9 +152,7 @@ def _step(step: Column) -> Column:
 
 def timeline_rows(responses: DataFrame, text: str = "text") -> DataFrame:
     """One row per timeline event with ``item_ord``; ``overall_summary`` repeats per answer."""
-    keep = [c for c in responses.columns if c != text]
-    parsed = responses.select(*keep, json_in_text(F.col(text)).alias("_json"))
-    parsed = parsed.where(F.col("_json").isNotNull() & ~F.is_variant_null("_json"))
+    parsed, keep = _readable(responses, text)
     direct = F.try_variant_get("_json", "$", "array<variant>")
     listed = member(F.col("_json"), "timeline", "events")
     events = F.coalesce(
@@ -200,9 +206,7 @@ def _recommendation(r: Column) -> Column:
 
 def root_cause_rows(responses: DataFrame, text: str = "text") -> DataFrame:
     """One normalised root-cause report per readable answer."""
-    keep = [c for c in responses.columns if c != text]
-    parsed = responses.select(*keep, json_in_text(F.col(text)).alias("_json"))
-    parsed = parsed.where(F.col("_json").isNotNull() & ~F.is_variant_null("_json"))
+    parsed, keep = _readable(responses, text)
     report = F.col("_json")
     return parsed.select(
         *keep,

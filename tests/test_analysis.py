@@ -66,6 +66,15 @@ def test_classification_defaults(spark):
     assert (b["result_id"], b["category"], b["confidence"], b["severity"]) == ("y", "Network", 0.0, "medium")
 
 
+@pytest.mark.parametrize(
+    "given, used",
+    [('"x"', "x"), ('""', "d"), ("0", "d"), ("0.0", "d"), ("false", "d"), ("null", "d"), ('"0"', "0"), ('"false"', "false"), ("7", "7"), ("true", "true")],
+)
+def test_what_counts_as_missing(spark, given, used):
+    item = F.parse_json(F.lit('{"a": %s}' % given))
+    assert spark.range(1).select(J.text_of(item, ("a", "b"), "d")).head()[0] == used
+
+
 def test_single_answer_and_wrapped_answers(spark):
     df = spark.createDataFrame(
         [(1, '{"id": "a"}'), (2, '{"results": [{"id": "b"}, {"id": "c"}]}'), (3, "garbage"), (4, "null")],
