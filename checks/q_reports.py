@@ -534,7 +534,7 @@ _SUPPLEMENT = f"""|| chr(10) || chr(10) || '=== SUPPLEMENTARY: TOP NON-ERROR PAT
 
 @query(
     "i2_capped_timeline_context",
-    _CAP + ", capb AS (SELECT 0 AS batch_id, * FROM cap)" + _timeline_text("capb", "cap_ord", _SUPPLEMENT) + _LINES,
+    _CAP + ", capb AS (SELECT 0::BIGINT AS batch_id, * FROM cap)" + _timeline_text("capb", "cap_ord", _SUPPLEMENT) + _LINES,
     "access",
 )
 def capped_timeline_context(x):
@@ -579,7 +579,7 @@ def capped_batch_context(x):
 
 @query(
     "i3_whole_context",
-    f", ctx AS (SELECT 0 AS batch_id, * FROM logs WHERE pos IN ({near_sql(PROBLEM, 5)}))"
+    f", ctx AS (SELECT 0::BIGINT AS batch_id, * FROM logs WHERE pos IN ({near_sql(PROBLEM, 5)}))"
     + _GROUPS
     + _rca_text(_CAPPED_ORDER, "rk <= 30")
     + _LINES,

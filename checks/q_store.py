@@ -28,7 +28,7 @@ def row():
 PROBLEM = "level IN ('error', 'crit', 'warn')"
 FAILURE = "level IN ('error', 'crit')"
 IDS = ["log_00050", "log_00003", "log_99999", "log_00050", "log_00099", "log_00007"]
-IDS_SQL = ", ".join(f"({i}, '{v}')" for i, v in enumerate(IDS))
+IDS_SQL = ", ".join(f"({i}::BIGINT, '{v}')" for i, v in enumerate(IDS))
 
 # --- B: filters ---
 
@@ -560,7 +560,7 @@ def capped_patterns(x):
     return sampling.cap_by_tier(x.patterns).select("cap_ord", "id", "level", "occurrence_count")
 
 
-_ALL_CONTEXT = f", ctx AS (SELECT 0 AS batch_id, * FROM logs WHERE pos IN ({near_sql(PROBLEM, 5)}))" + _GROUPS
+_ALL_CONTEXT = f", ctx AS (SELECT 0::BIGINT AS batch_id, * FROM logs WHERE pos IN ({near_sql(PROBLEM, 5)}))" + _GROUPS
 
 
 @query("f04_capped_groups", _ALL_CONTEXT + " SELECT fingerprint, n, pos FROM grp ORDER BY n DESC, pos LIMIT 30")
