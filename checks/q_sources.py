@@ -394,8 +394,7 @@ def iso_times(x):
 @query("k1_streamed_ingest", f"SELECT pos, {LOG_SQL} FROM logs")
 def streamed_ingest(x):
     folder, sink = x.text_files(parts=4), working_path(x.spark, "stream-sink")
-    # One file per micro-batch, oldest first; files of one write share a time, so
-    # the line order over files is only certain with all files in one batch.
+    # All files in one micro-batch: written together, they have no order by age.
     stream = stream_lines(x.spark, folder)
     start_ingest(stream, sink, working_path(x.spark, "stream-state"), "apache").awaitTermination()
     return finalize(x.spark, sink).logs.select("pos", *log_row())
