@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltlog.llm import mixing, sharding, warc
+from siltlog.llm import decontaminate, mixing, sharding, warc, words
 from siltlog.llm.registry import query, table
 from siltlog.session import materialize
 
+# Workers may run without the package on their path.
+for module in (words, decontaminate):
+    cloudpickle.register_pickle_by_value(module)
+
 
 @query("op2_flow_resharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,3 +63,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"
     )
+
+
+@query("op9_positional_index")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and benchmark items of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
