@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltlog.llm import decontaminate, mixing, sharding, warc, words
+from siltlog.llm import decontaminate, mixing, neardup, sharding, warc, words
 from siltlog.llm.registry import query, table
 from siltlog.session import materialize
 
 # Workers may run without the package on their path.
-for module in (words, decontaminate):
+for module in (words, decontaminate, neardup):
     cloudpickle.register_pickle_by_value(module)
 
 
@@ -78,3 +78,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op10_star_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
