@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltlog.llm import decontaminate, mixing, neardup, sharding, warc, words
+from siltlog.llm import decontaminate, kdtree, mixing, neardup, sharding, warc, words
 from siltlog.llm.registry import query, table
 from siltlog.session import materialize
 
 # Workers may run without the package on their path.
-for module in (words, decontaminate, neardup):
+for module in (words, decontaminate, kdtree, neardup):
     cloudpickle.register_pickle_by_value(module)
 
 
@@ -84,3 +84,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op4_shard_kdtrees", _OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
