@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltlog.llm import decontaminate, kdtree, mixing, neardup, sharding, warc, words
+from siltlog.llm import decontaminate, kdtree, mixing, neardup, pii, secrets, sharding, warc, words
 from siltlog.llm.registry import query, table
 from siltlog.session import materialize
 
 # Workers may run without the package on their path.
-for module in (words, decontaminate, kdtree, neardup):
+for module in (words, decontaminate, kdtree, neardup, pii):
     cloudpickle.register_pickle_by_value(module)
 
 
@@ -104,3 +104,32 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one."""
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_hidden_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data of every document."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[f"pii.n_{kind}" for kind in pii.KINDS],
+        F.sha2(F.col("pii.base").cast("binary"), 256).alias("base_sha256"),
+        "pii.spans",
+        "pii.n_hidden",
+    )
+
+
+@query("op1_markov_secrets")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets of every document; the models are trained on the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = secrets.train(secrets.labelled_samples(docs))
+    return secrets.find_secrets(docs, weights).select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+        "n_markov",
+    )
