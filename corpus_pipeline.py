@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltlog.llm import mixing, sharding
-from siltlog.llm.registry import query
+from siltlog.llm import decontaminate, mixing, neardup, quality, sharding
+from siltlog.llm.registry import query, table
 from siltlog.session import working_path
 
 SHARDS = 40
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality posterior does not reject."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.deduplicated(docs)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of ten words with the benchmark."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in mix order."""
     return mixing.mix(docs).select(*docs.columns)
@@ -23,6 +38,9 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", good),
+    ("near duplicates", unlike),
+    ("benchmark decontamination", unseen),
     ("mixing", mixed),
     ("sharding", sharded),
 ]

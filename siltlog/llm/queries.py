@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltlog.llm import decontaminate, kdtree, mixing, neardup, pii, secrets, sharding, warc, words
+from siltlog.llm import decontaminate, kdtree, mixing, neardup, pii, quality, quotes, secrets, sharding, warc, words
 from siltlog.llm.registry import query, table
 from siltlog.session import materialize
 
@@ -133,3 +133,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         "spans",
         "n_markov",
     )
+
+
+@query("op5_bayes_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality posterior of every document, with the source as host and the language as path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    host, path = quality.document_sites(docs)
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"), host, path)
+    return judged.select("doc_id", "evidence", "host_rate", "path_rate", "score", "kept")
+
+
+@query("op6_quotation_links")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, with its thread."""
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
