@@ -74,6 +74,16 @@ class Inputs:
         return path
 
 
+def set_ages(spark: SparkSession, folder: str) -> None:
+    """Give the part files of a folder ages a second apart, in the order of their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")]
+    now = max(fs.getFileStatus(f).getModificationTime() for f in found) // 1000 * 1000
+    for age, f in enumerate(sorted(found, key=lambda f: f.getName(), reverse=True)):
+        fs.setTimes(f, now - 1000 * age, -1)
+
+
 def _is(kind: str):
     return F.col("event_type") == kind
 
@@ -198,6 +208,7 @@ _FP = (
     r"'/[\w/.\-]+', 'PATH', 'g'))), 1, 12)"
 )
 
+# The line layouts, for SQL.
 ERROR_RE = r"^\[([^\]]+)\]\s+\[(\w+)\]\s+(.+)$"
 ACCESS_RE = (
     r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"([^"]+)"\s+(\d{3})\s+(\d+|-)(?:\s+"([^"]*)")?(?:\s+"([^"]*)")?'

@@ -16,7 +16,8 @@ from checks.q_store import (
 )
 from checks.q_sources import signals_sql
 from checks.registry import query
-from checks.stand_in_models import even_only, no_thirds
+from checks.rule_model import rule_model
+from checks.stand_in_models import even_only, garbled, no_thirds
 from siltlog.functions import json_text as J
 from siltlog.operators import classify as C
 from siltlog.operators import context, select
@@ -206,27 +207,18 @@ def root_cause_answers(x):
 
 @query(
     "h17_without_fence",
-    """SELECT doc_id, length(CASE WHEN doc_id % 3 = 2 THEN '```json' || chr(10) || text ELSE text END) AS n FROM documents
-       WHERE NOT contains(text, '```')""",
+    """SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 2 THEN 'say ```json' || chr(10) || text ELSE text END) AS h FROM documents""",
     None,
 )
 def without_fence(x):
-    docs = x.table("documents").where(~F.col("text").contains("```"))
+    docs = x.table("documents")
     kind = F.col("doc_id") % 3
     fenced = (
         F.when(kind == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```")))
         .when(kind == 1, F.concat(F.lit("```\n"), "text", F.lit("\n```")))
         .otherwise(F.concat(F.lit("say ```json\n"), "text"))
     )
-    kept = J.without_fence(fenced)
-    n = F.length(kept) - F.when(kind == 2, 4).otherwise(0)
-    return docs.select("doc_id", n.cast("long").alias("n"))
-
-
-@query("h19_scope_text", "SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'All Logs' ELSE '3 specific logs' END AS scope FROM events", None)
-def scope(x):
-    every, some = prompts.scope_text(), prompts.scope_text(ids=["a", "b", "c"])
-    return x.events.select("event_id", F.when(F.col("event_id") % 2 == 0, F.lit(every)).otherwise(some).alias("scope"))
+    return docs.select("doc_id", F.sha2(J.without_fence(fenced).cast("binary"), 256).alias("h"))
 
 
 # --- classification with the rule model ---
@@ -253,7 +245,7 @@ _CLASSIFICATIONS: dict = {}
 def _classification(x, variant="error"):
     key = (x.spark.sparkContext.applicationId, x.sf_dir, variant)
     if key not in _CLASSIFICATIONS:
-        _CLASSIFICATIONS[key] = analysis.classify(x.store(variant))
+        _CLASSIFICATIONS[key] = analysis.classify(x.store(variant), rule_model)
     return _CLASSIFICATIONS[key]
 
 
@@ -262,7 +254,7 @@ _CLS_COLS = "id, ordinal, level, occurrence_count, category, confidence, severit
 
 @query("j1_classify", _CLASSIFIED + f" SELECT {_CLS_COLS} FROM clsi")
 def classify(x):
-    return analysis.classify(x.store()).classified.select(*_CLS_COLS.split(", "))
+    return analysis.classify(x.store(), rule_model).classified.select(*_CLS_COLS.split(", "))
 
 
 @query("j1_classify_access", _CLASSIFIED + f" SELECT {_CLS_COLS} FROM clsi", "access")
@@ -276,7 +268,7 @@ def classify_access(x):
 )
 def classify_given_lines(x):
     lines = analysis.lines_as_patterns(x.parsed())
-    done = analysis.classify_patterns(lines, reports.DatasetFacts.of(x.store()))
+    done = analysis.classify_patterns(lines, reports.DatasetFacts.of(x.store()), rule_model)
     return done.classified.groupBy("level", "category").agg(F.count("*").alias("n"))
 
 
@@ -360,14 +352,13 @@ def totals(x):
 
 
 @query(
-    "d17_joined_summaries",
-    """SELECT string_agg(s, chr(10) || chr(10) ORDER BY conv_id) AS overall_summary FROM
-       (SELECT conv_id, arg_min(text, turn) AS s FROM conversations GROUP BY conv_id) WHERE s <> ''""",
+    "d17_batch_summaries",
+    """SELECT * FROM (SELECT conv_id AS batch_id, arg_min(text, turn) AS summary FROM conversations GROUP BY conv_id) WHERE summary <> ''""",
     None,
 )
-def joined_summaries(x):
+def batch_summaries(x):
     opening = x.table("conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("overall_summary"))
-    return analysis.joined_summaries(opening.withColumnRenamed("conv_id", "batch_id"))
+    return analysis.batch_summaries(opening.withColumnRenamed("conv_id", "batch_id"))
 
 
 @query(
@@ -481,16 +472,15 @@ def context_reduction(x):
 
 _TAG = "'[' || upper(level) || ']'"
 _HOUR = "coalesce(strftime(ts, '%Y-%m-%dT%H:00'), 'unknown-time')"
-_SHARED = (
+_SIGNALS = (
     _FACTS
-    + _FIRST_CHAINS
-    + ", "
-    + _PICKED
     + ", sig AS ("
     + signals_sql("patterns", "raw || ' ' || message", "level, message, occurrence_count, pos")
-    + f"""), sigt AS (SELECT chr(10) || chr(10) || '=== SECURITY SIGNALS (Critical Context) ===' || chr(10) ||
-    string_agg('[' || type || '] ' || {_TAG} || ' ' || message || ' | x' || occurrence_count, chr(10) ORDER BY pos, type_ord) AS t FROM sig HAVING count(*) > 0),
-  cht AS (SELECT string_agg(line, chr(10) ORDER BY chain_no, step) AS t FROM
+    + f"""), sigt AS (SELECT no // @PER AS batch_id, chr(10) || chr(10) || '=== SECURITY SIGNALS (Critical Context) ===' || chr(10) ||
+    string_agg('[' || type || '] ' || {_TAG} || ' ' || message || ' | x' || occurrence_count, chr(10) ORDER BY no) AS t
+    FROM (SELECT *, row_number() OVER (ORDER BY pos, type_ord) - 1 AS no FROM sig) GROUP BY ALL)"""
+)
+_STORY = f""", cht AS (SELECT string_agg(line, chr(10) ORDER BY chain_no, step) AS t FROM
     (SELECT chain_no, step, CASE WHEN step = 0 THEN '--- Chain ' || (chain_no + 1) || ' (x' || chain_count || ') ---' || chr(10) ELSE '' END
       || CASE WHEN {FAILURE} THEN '  → ' ELSE '  ' END || {_TAG} || ' ' || message AS line FROM crows JOIN logs ON pos = at_pos)),
   nt AS (SELECT string_agg(line, chr(10) ORDER BY window_id, pos) AS t FROM
@@ -498,35 +488,58 @@ _SHARED = (
        (SELECT {_iso_or('c.ts', 'null')} FROM logs c WHERE c.pos = centre) || ' ---' || chr(10) ELSE '' END
       || CASE WHEN l.pos = centre THEN '>>> ' ELSE '    ' END || {_TAG} || ' ' || message AS line
      FROM nar JOIN logs l ON l.pos BETWEEN centre - 3 AND centre + 2))"""
-)
+_WHOLE_STORY = _FIRST_CHAINS + ", " + _PICKED + _STORY
 
 
-def _timeline_text(source: str, order: str, supplement: str = "") -> str:
+def _timeline_text(source: str, order: str, supplement: str = "", per: int = 1000, story: str = _WHOLE_STORY) -> str:
     return (
-        _SHARED
+        _SIGNALS.replace("@PER", str(per))
+        + story
         + f""", ent AS (SELECT batch_id, {order} AS o, {_HOUR} AS hour, {_TAG} || ' ' || message || ' | x' || occurrence_count || ' | First: ' ||
       {_iso_or('first_seen', 'N/A')} || ' | Last: ' || {_iso_or('last_seen', 'N/A')} AS line FROM {source}),
     hrs AS (SELECT batch_id, hour, min(o) AS o, count(*) AS n, chr(10) || '--- ' || hour || ' ---' || chr(10) || string_agg(line, chr(10) ORDER BY o) AS t FROM ent GROUP BY batch_id, hour),
     secs AS (SELECT batch_id, sum(n)::BIGINT AS n, string_agg(t, chr(10) ORDER BY o) AS t FROM hrs GROUP BY batch_id),
+    joint AS (SELECT coalesce(secs.batch_id, sigt.batch_id) AS batch_id, coalesce(n, 0) AS n, secs.t AS st, sigt.t AS gt FROM secs FULL JOIN sigt USING (batch_id)),
     text AS (SELECT batch_id, '=== LOG DATASET SUMMARY ===' {NL} 'Total logs in file: ' || total {NL} 'Unique log patterns: ' || (SELECT count(*) FROM patterns)
       {NL} 'Error/Warning patterns: ' || n {NL} 'Time range: ' || lo || ' to ' || hi {NL} 'Levels breakdown: ' || levels {NL} ''
-      {NL} '=== ERROR/WARNING PATTERNS BY TIME WINDOW ===' {NL} secs.t || coalesce((SELECT t FROM sigt), '')
+      {NL} '=== ERROR/WARNING PATTERNS BY TIME WINDOW ===' || coalesce(chr(10) || st, '') || coalesce(gt, '')
       || coalesce(chr(10) || chr(10) || '=== INCIDENT ESCALATION CHAINS ===' || chr(10) || cht.t, '')
       || coalesce(chr(10) || chr(10) || '=== CHRONOLOGICAL INCIDENT NARRATIVE ===' || chr(10) || nt.t, '') {supplement} AS context
-      FROM secs, facts, lj, cht, nt)"""
+      FROM joint, facts, lj, cht, nt)"""
     )
 
 
 @query(
     "i2_timeline_context",
-    _BATCHED.format(where=PROBLEM, size=60) + _timeline_text("batches", "batch_ord") + _LINES,
+    _BATCHED.format(where=PROBLEM, size=60) + _timeline_text("batches", "batch_ord", per=7) + _LINES,
 )
 def timeline_context(x):
+    """More chunks of signals than batches of patterns."""
     batches = P.in_batches(select.focus(x.patterns, "errors"), 60)
-    contexts = reports.timeline_contexts(x.store(), batches, reports.DatasetFacts.of(x.store()))
+    contexts = reports.timeline_contexts(
+        x.store(), batches, reports.DatasetFacts.of(x.store()), signals_per_batch=7
+    )
     return reports.context_lines(contexts)
 
 
+_RANGE = """, every AS (SELECT * FROM logs), ranged AS (SELECT * REPLACE (row_number() OVER (ORDER BY pos) - 1 AS pos) FROM every
+  WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06'), logs_in AS (SELECT * FROM ranged)"""
+_RANGE_STORY = _RANGE + (_FIRST_CHAINS + ", " + _PICKED + _STORY).replace("FROM logs", "FROM logs_in").replace("JOIN logs", "JOIN logs_in")
+
+
+@query(
+    "c06_ranged_context",
+    _BATCHED.format(where=PROBLEM, size=60) + _timeline_text("batches", "batch_ord", story=_RANGE_STORY) + _LINES,
+)
+def ranged_context(x):
+    """All patterns, with chains and narrative of one day."""
+    batches = P.in_batches(select.focus(x.patterns, "errors"), 60)
+    facts = reports.DatasetFacts.of(x.store())
+    return reports.context_lines(
+        reports.timeline_contexts(x.store(), batches, facts, "2024-01-05", "2024-01-06")
+    )
+
+
 _SUPPLEMENT = f"""|| chr(10) || chr(10) || '=== SUPPLEMENTARY: TOP NON-ERROR PATTERNS ===' || chr(10) ||
   (SELECT string_agg({_TAG} || ' ' || message || ' | x' || occurrence_count, chr(10) ORDER BY occurrence_count DESC, pos) FROM
    (SELECT * FROM patterns WHERE level NOT IN ('error', 'warn', 'crit') ORDER BY occurrence_count DESC, pos LIMIT 10))"""
@@ -614,17 +627,39 @@ def prompt_text(x):
 # --- analyses that call the model function ---
 
 
-@query(
-    "j2_timeline",
-    f""", hr AS (SELECT {_HOUR} AS h, count(*) AS n, bool_or({FAILURE}) AS bad, min(pos) AS p FROM patterns WHERE {PROBLEM} GROUP BY 1)
-    SELECT row_number() OVER (ORDER BY p) AS sequence, h AS timestamp, n || ' patterns' AS event_title,
-      CASE WHEN bad THEN 'error' ELSE 'info' END AS severity FROM hr ORDER BY p LIMIT 8""",
-)
+_HOURS = f""", hr AS (SELECT batch_id, {_HOUR} AS h, count(*) AS n, bool_or({FAILURE}) AS bad, min(batch_ord) AS p FROM batches GROUP BY ALL)"""
+_DRAFTED = """ SELECT row_number() OVER (ORDER BY h, batch_id) AS sequence, h AS timestamp, n || ' patterns' AS event_title,
+      CASE WHEN bad THEN 'error' ELSE 'info' END AS severity FROM hr"""
+
+
+@query("j2_timeline", _BATCHED.format(where=PROBLEM, size=20) + _HOURS + _DRAFTED)
 def timeline(x):
-    events = analysis.timeline(x.store(), "errors", 8).events
+    events = analysis.timeline(x.store(), rule_model, "errors", batch_size=20).events
     return events.select("sequence", "timestamp", "event_title", "severity")
 
 
+@query(
+    "j2_timeline_metadata",
+    f""", hr AS (SELECT DISTINCT {_HOUR} AS h FROM patterns WHERE {PROBLEM})
+    SELECT (SELECT count(*) FROM logs) AS total_logs_analyzed, (SELECT count(*) FROM patterns WHERE {PROBLEM}) AS unique_patterns_used,
+    (SELECT {ISO.format('min(ts)')} FROM logs) AS range_start, (SELECT {ISO.format('max(ts)')} FROM logs) AS range_end,
+    'errors' AS focus, least(8, (SELECT count(*) FROM hr)) AS events_generated""",
+)
+def timeline_metadata(x):
+    return analysis.timeline(x.store(), rule_model, "errors", 8).metadata
+
+
+_STATUS = """ SELECT batch_id, CASE WHEN cut THEN 'unreadable' ELSE 'no_answer' END AS status FROM
+  (SELECT batch_id, bool_or(contains(message, 'forbidden by')) AS cut, bool_or(contains(message, 'slow backend')) AS lost FROM {0} GROUP BY 1)
+  WHERE cut OR lost"""
+
+
+@query("j2_failed_batches", _BATCHED.format(where=PROBLEM, size=5) + _STATUS.format("batches"))
+def timeline_failures(x):
+    found = analysis.timeline(x.store(), garbled, "errors", batch_size=5, on_failed="keep")
+    return found.failed.select("batch_id", "status")
+
+
 _WORST = """SELECT message FROM grp ORDER BY level <> 'error', n DESC, pos LIMIT 1"""
 
 
@@ -638,11 +673,32 @@ _WORST = """SELECT message FROM grp ORDER BY level <> 'error', n DESC, pos LIMIT
     'Symptom search: "Error State"' AS analysis_scope FROM grp""",
 )
 def root_cause(x):
-    found = analysis.root_cause(x.store(), symptom="Error State")
+    found = analysis.root_cause(x.store(), rule_model, symptom="Error State")
     scope = found.metadata.select("analysis_scope").scalar()
     return found.report.select("root_cause", "impact", "confidence", scope.alias("analysis_scope"))
 
 
+@query(
+    "j3_merged_reports",
+    _PATTERN_CONTEXT
+    + _GROUPS
+    + """, evid AS (SELECT batch_id, message, n, row_number() OVER (PARTITION BY batch_id ORDER BY level <> 'error', n DESC, pos) AS k FROM grp QUALIFY k <= 3)
+    SELECT (SELECT message FROM evid ORDER BY n DESC, batch_id, k LIMIT 1) AS root_cause, count(*) || ' patterns involved' AS impact FROM evid""",
+)
+def merged_reports(x):
+    """Reports of several batches, merged in one call."""
+    return analysis.root_cause(x.store(), rule_model, batch_size=20).report.select("root_cause", "impact")
+
+
+@query(
+    "j3_failed_batches",
+    _PATTERN_CONTEXT.replace("// 20", "// 2").replace("% 20", "% 2") + _GROUPS + _STATUS.format("grp"),
+)
+def root_cause_failures(x):
+    found = analysis.root_cause(x.store(), garbled, batch_size=2, on_failed="keep")
+    return found.failed.select("batch_id", "status")
+
+
 def _document_requests(x):
     return x.table("documents").select(
         F.lit("ask").alias("stage"),
@@ -666,9 +722,9 @@ def fallback_answers(x):
     return ask(_document_requests(x), [even_only, no_thirds]).select("batch_id", "text", "model_ord", "error")
 
 
-@query("l2_model_function", "SELECT doc_id AS batch_id, length(text)::VARCHAR AS text FROM documents WHERE length(text) % 2 = 0", None)
+@query("l2_model_function", "SELECT doc_id AS batch_id, CASE WHEN length(text) % 2 = 0 THEN length(text)::VARCHAR END AS text FROM documents", None)
 def model_function(x):
-    return ask(_document_requests(x), even_only).where("error is null").select("batch_id", "text")
+    return ask(_document_requests(x), even_only).select("batch_id", "text")
 
 
 @query(
@@ -694,9 +750,24 @@ def audit(x):
 
 @query(
     "j5_full_analysis",
-    """, u AS (SELECT unnest(['classification', 'timeline', 'root_cause', 'total']) AS stage) SELECT stage, TRUE AS used FROM u""",
+    _CLASSIFIED
+    + _BATCHED.format(where=PROBLEM, size=1000)
+    + """, ctx AS (SELECT DISTINCT b.batch_id, l.pos, l.id, l.ts, l.level, l.message, l.fingerprint FROM batches b
+          JOIN logs l ON l.pos BETWEEN b.pos - 5 AND b.pos + 5)"""
+    + _GROUPS
+    + _HOURS
+    + f""" SELECT 'category' AS part, category AS name, sum(occurrence_count)::BIGINT AS n FROM clsi GROUP BY category
+    UNION ALL SELECT 'event', h || ' ' || n || ' patterns', n FROM (SELECT * FROM hr ORDER BY h LIMIT 8)
+    UNION ALL SELECT 'cause', ({_WORST}), count(*) FROM grp""",
     "access",
 )
 def full_analysis(x):
-    used = analysis.analyze(x.store("access")).usage()
-    return used.select("stage", (F.col("total_token_count") > 0).alias("used"))
+    """Categories, events and cause of the chained analysis; no pattern names the dominant category."""
+    found = analysis.analyze(x.store("access"), rule_model)
+    number = lambda c: F.regexp_extract(c, r"^\d+", 0).cast("long").alias("n")
+    parts = found.classification.distribution().select(F.lit("category").alias("part"), F.col("category").alias("name"), F.col("log_count").alias("n"))
+    events = found.timeline.events.select(
+        F.lit("event").alias("part"), F.concat_ws(" ", "timestamp", "event_title").alias("name"), number("event_title")
+    )
+    cause = found.root_cause.report.select(F.lit("cause").alias("part"), F.col("root_cause").alias("name"), number("impact"))
+    return parts.unionByName(events).unionByName(cause)

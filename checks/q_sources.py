@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import ACCESS_RE, ERROR_RE, ISO
+from checks.fixtures import ACCESS_RE, ERROR_RE, ISO, set_ages
 from checks.registry import query
 from siltlog.functions.fingerprint import fingerprint, mask
-from siltlog.functions.security import signal_types
+from siltlog.functions.security import SIGNATURES, signal_types
 from siltlog.functions.text import duration_text, is_blank, keywords, log_id, or_default, trimmed
 from siltlog.functions.times import (
     access_log_time,
@@ -17,16 +17,15 @@ from siltlog.functions.times import (
 )
 from siltlog.session import working_path
 from siltlog.sources import formats
-from siltlog.sources.generator import generate_lines
 from siltlog.sources.lines import detect_file_format, read_accepted, read_lines
 from siltlog.sources.store import DEFAULT_LOG, LogStore
 from siltlog.streaming.ingest import (
     finalize,
     parse_stream,
-    start_counts_sink,
+    read_counts,
+    start_counts,
     start_ingest,
     stream_lines,
-    tumbling_counts,
 )
 
 def log_row():
@@ -177,12 +176,6 @@ def accepted_files(x):
     )
 
 
-@query("a15_generated_lines")
-def generated_lines(x):
-    made = generate_lines(x.events.select(F.col("event_id").alias("pos")), seed=7)
-    return formats.parse(made, "apache").select(*log_row())
-
-
 @query("b11_missing_values", f"SELECT line_number, coalesce({ISO.format('ts')}, 'N/A') AS ts, coalesce(nullif(user_agent, ''), 'N/A') AS agent FROM logs", "access")
 def missing_values(x):
     return x.parsed("access").select(
@@ -332,15 +325,7 @@ def text_functions(x):
     )
 
 
-_SIGNATURES_SQL = {
-    "PATH_TRAVERSAL": r"(?:/etc/passwd|\.\./|\.\.\\|/proc/|/var/log)",
-    "SQL_INJECTION": r"(?:['\"]?\s*(?:OR|AND|UNION)\s+\d|SELECT\s+.*FROM|DROP\s+TABLE|--\s*$|%27|%22.*(?:OR|AND))",
-    "XSS_PROBE": r"(?:<script|javascript:|onerror\s*=|onload\s*=|<xsstag>|domxss|<img\s+src)",
-    "ADMIN_BRUTE_FORCE": r"(?:/administrator/|/admin/|/wp-admin|/login).*(?:POST|5\d{2})",
-    "DIRECTORY_FORBIDDEN": r"(?:Directory index forbidden|forbidden by rule)",
-    "CREDENTIAL_PROBE": r"(?:task=user\.login|task=registration|/wp-login|auth|token)",
-    "SCANNER_SIGNATURE": r"(?:acunetix|nikto|sqlmap|nmap|wvstest|dirbuster)",
-}
+_SIGNATURES_SQL = dict(SIGNATURES)
 
 
 def signals_sql(table: str, text: str, keep: str) -> str:
@@ -393,9 +378,10 @@ def iso_times(x):
 
 @query("k1_streamed_ingest", f"SELECT pos, {LOG_SQL} FROM logs")
 def streamed_ingest(x):
+    """One micro-batch per file; files are given ages in the order of their lines."""
     folder, sink = x.text_files(parts=4), working_path(x.spark, "stream-sink")
-    # All files in one micro-batch: written together, they have no order by age.
-    stream = stream_lines(x.spark, folder)
+    set_ages(x.spark, folder)
+    stream = stream_lines(x.spark, folder, files_per_batch=1)
     start_ingest(stream, sink, working_path(x.spark, "stream-state"), "apache").awaitTermination()
     return finalize(x.spark, sink).logs.select("pos", *log_row())
 
@@ -403,15 +389,13 @@ def streamed_ingest(x):
 @query(
     "k2_streamed_counts",
     f"""SELECT {ISO.format("time_bucket(INTERVAL 15 MINUTE, ts)")} AS bucket, level, count(*) AS n FROM logs
-        WHERE time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE
-              <= (SELECT max(ts) - INTERVAL 1 HOUR FROM logs) GROUP BY ALL""",
+        WHERE ts IS NOT NULL GROUP BY ALL""",
 )
 def streamed_counts(x):
-    stream = stream_lines(x.spark, x.text_files())
-    counts = tumbling_counts(parse_stream(stream, "apache"))
+    stream = stream_lines(x.spark, x.text_files(), files_per_batch=1)
     path = working_path(x.spark, "counts-sink")
-    start_counts_sink(counts, path, working_path(x.spark, "counts-state")).awaitTermination()
-    return x.spark.read.parquet(path).select(iso_text(F.col("bucket")).alias("bucket"), "level", "n")
+    start_counts(parse_stream(stream, "apache"), path, working_path(x.spark, "counts-state")).awaitTermination()
+    return read_counts(x.spark, path).select(iso_text(F.col("bucket")).alias("bucket"), "level", "n")
 
 
 @query(

@@ -8,7 +8,7 @@ from checks.registry import query
 from siltlog.functions.text import contains_all_of
 from siltlog.functions.times import iso_text
 from siltlog.operators import chains, context, patterns as P, sampling, select, signals, stats
-from siltlog.operators.order import chronological, dense_index
+from siltlog.operators.order import dense_index
 from siltlog.plans.prompts import scope_text
 from siltlog.plans.reports import patterns_by_hour
 from siltlog.schema import is_failure, is_problem, severity_tier
@@ -211,16 +211,6 @@ def pattern_context(x):
     return context.pattern_context(x.logs, batches).select("batch_id", *row())
 
 
-@query(
-    "c06_range_with_all_patterns",
-    f"""SELECT (SELECT count(*) FROM logs WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06') AS rows_in_range,
-        (SELECT count(*) FROM patterns) AS patterns""",
-)
-def range_with_all_patterns(x):
-    in_range = select.by_time_range(x.logs, "2024-01-05", "2024-01-06").agg(F.count("*").alias("rows_in_range"))
-    return in_range.withColumn("patterns", x.patterns.agg(F.count("*")).scalar())
-
-
 @query(
     "c07_requested_context",
     f"""SELECT row_number() OVER (ORDER BY request_ord, pos) - 1 AS context_ord, pos, id FROM
@@ -533,7 +523,7 @@ def first_and_last(x):
 @query("f01_stable_order", "SELECT line_number, pos AS ord FROM logs ORDER BY pos")
 def stable_order(x):
     # `pos` is the rank under this order; both are returned so that they can be compared.
-    return x.logs.orderBy(*chronological()).select("line_number", F.col("pos").alias("ord"))
+    return x.logs.orderBy(F.col("ts").asc_nulls_last(), "line_number").select("line_number", F.col("pos").alias("ord"))
 
 
 @query(

@@ -1,7 +1,8 @@
-"""Model functions that leave some prompts unanswered. Importable in workers."""
+"""Model functions that leave some prompts unanswered or answer them unreadably."""
 
 import pandas as pd
 
+from checks.rule_model import rule_model
 from siltlog.plans.model import TOKEN_COLUMNS
 
 
@@ -16,3 +17,21 @@ def no_thirds(requests: pd.DataFrame) -> pd.DataFrame:
     """Answers only prompts not divisible by three in length."""
     answered = requests["user_prompt"].str.len() % 3 != 0
     return requests.assign(text=pd.Series("backup", requests.index).where(answered), **{c: 2 for c in TOKEN_COLUMNS})
+
+
+def _listed(prompt: str) -> str:
+    """The part of a prompt that lists patterns."""
+    for title in ("=== ERROR/WARNING PATTERNS BY TIME WINDOW ===", "=== ERROR PATTERNS ==="):
+        if title in prompt:
+            return prompt.split(title)[1].split("\n===")[0]
+    return prompt
+
+
+def garbled(requests: pd.DataFrame) -> pd.DataFrame:
+    """The rule model, but batches that list a forbidden page are cut short and other
+    batches that list a slow backend get no answer."""
+    done = rule_model(requests)
+    listed = requests["user_prompt"].map(_listed)
+    cut, lost = listed.str.contains("forbidden by"), listed.str.contains("slow backend")
+    text = done["text"].mask(cut, done["text"].str[:20]).mask(lost & ~cut, "")
+    return done.assign(text=text)

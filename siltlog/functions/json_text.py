@@ -52,25 +52,33 @@ def without_fence(text: Column) -> Column:
     ).otherwise(text)
 
 
-def _is_present(value: Column) -> Column:
-    """Not null, empty text, zero or false. The type matters for such values only."""
-    text = F.try_variant_get(value, "$", "string")
-    zero = F.coalesce(text.try_cast("double") == 0, F.lit(False))
-    doubtful = text.isin("", "false") | zero
-    return text.isNotNull() & (
-        ~doubtful | ((text != "") & (F.schema_of_variant(value) == "STRING"))
-    )
+# What a text must start with to be false or a number that is zero.
+_DOUBTFUL = ("f", "0", "-", "+", ".", " ")
+
+
+def _usable(item: Column, name: str) -> Column:
+    """A member as text; null if it is missing, empty, zero or false.
+
+    The type matters for the words ``0`` and ``false`` only, so it is looked up for
+    texts that begin like one of them.
+    """
+    text = F.try_variant_get(item, f"$.{name}", "string")
+    unset = (text == "false") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
+    quoted = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant")) == "STRING"
+    doubtful = F.substring(text, 1, 1).isin(*_DOUBTFUL)
+    return F.when(text.isNull() | (text == ""), None).when(doubtful & unset & ~quoted, None).otherwise(text)
 
 
 def member(item: Column, *names: str) -> Column:
     """First usable member among the names, as a variant."""
-    found = F.array(*[F.try_variant_get(item, f"$.{n}", "variant") for n in names])
-    return F.get(F.filter(found, _is_present), F.lit(0))
+    return F.coalesce(
+        *[F.when(_usable(item, n).isNotNull(), F.try_variant_get(item, f"$.{n}", "variant")) for n in names]
+    )
 
 
 def text_of(item: Column, names: tuple[str, ...], default: str | None = None) -> Column:
-    value = F.try_variant_get(member(item, *names), "$", "string")
-    return value if default is None else F.coalesce(value, F.lit(default))
+    found = [_usable(item, n) for n in names]
+    return F.coalesce(*found, F.lit(default)) if default is not None else F.coalesce(*found)
 
 
 def items_of(item: Column, *names: str) -> Column:

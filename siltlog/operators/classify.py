@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from siltlog.operators.order import running_sum
+from siltlog.session import materialize
 
 _RESULT = ("category", "confidence", "severity", "explanation", "insight")
 
@@ -106,15 +109,19 @@ def in_display_order(distribution_rows: DataFrame) -> DataFrame:
 
 
 def cumulative_share(distribution_rows: DataFrame) -> DataFrame:
-    """Start and end of each category's share of the whole; one row per category."""
-    upto = Window.orderBy(F.col("log_count").desc(), "first_ord")
-    total = distribution_rows.agg(F.sum("log_count")).scalar()
-    running = F.sum("log_count").over(upto.rowsBetween(Window.unboundedPreceding, 0))
-    return distribution_rows.where(total > 0).select(
+    """Start and end of each category's share of the whole; one row per category.
+
+    Categories are the model's own words and may be many, so the running sum
+    goes through a range shuffle.
+    """
+    rows = materialize(distribution_rows.select("category", "log_count", "first_ord"), "shares")
+    total = rows.agg(F.sum("log_count")).head()[0] or 0
+    upto = running_sum(rows, [-F.col("log_count"), F.col("first_ord")], "log_count", "_upto")
+    return upto.where(F.lit(total > 0)).select(
         "category",
         "log_count",
-        ((running - F.col("log_count")) / total).alias("share_start"),
-        (running / total).alias("share_end"),
+        ((F.col("_upto") - F.col("log_count")) / F.lit(total)).alias("share_start"),
+        (F.col("_upto") / F.lit(total)).alias("share_end"),
     )
 
 

@@ -27,7 +27,6 @@ from siltlog.schema import (
 )
 from siltlog.session import broadcast_if_small
 
-FEW_CENTRES = 50_000
 FEW_POSITIONS = 1_000_000
 
 
@@ -58,16 +57,18 @@ def rows_near(
     logs: DataFrame,
     flag: Column,
     k: int = CONTEXT_ROWS,
-    few: int = FEW_CENTRES,
+    few: int = FEW_POSITIONS,
     rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """All rows within ``k`` positions of a flagged row, each once.
 
-    Few flagged rows (counted first): their positions are broadcast and the
-    table is only scanned. Otherwise one shuffle by position block with a halo.
+    At most ``few`` positions (flagged rows counted first, times the width of a
+    window): they are broadcast and the table is only scanned. Otherwise one
+    shuffle by position block with a halo.
     """
     centres = logs.where(flag).select("pos")
-    if centres.limit(few + 1).count() <= few:
+    most = few // (2 * k + 1)
+    if centres.limit(most + 1).count() <= most:
         wanted = window_positions(centres, k, k).select(F.col("at").alias("pos")).distinct()
         return logs.join(F.broadcast(wanted), "pos", "left_semi")
     near = F.max(flag).over(halo_frame(k, k))
@@ -79,7 +80,7 @@ def rows_near(
     )
 
 
-def error_context(logs: DataFrame, k: int = CONTEXT_ROWS, few: int = FEW_CENTRES) -> DataFrame:
+def error_context(logs: DataFrame, k: int = CONTEXT_ROWS, few: int = FEW_POSITIONS) -> DataFrame:
     """Problem rows with ``k`` rows on each side and an ``is_error`` flag."""
     near = rows_near(logs, is_problem(F.col("level")), k, few)
     return near.withColumn("is_error", is_error_flag())
@@ -174,8 +175,8 @@ def narrative(logs: DataFrame) -> DataFrame:
 def context_groups(context: DataFrame, by: Sequence[str] = (), keep_ids: int = 5) -> DataFrame:
     """Context rows per fingerprint: count, first row, first and last time, first ids.
 
-    Members are indexed block-wise, so no group is ever gathered whole: the
-    first member is the representative and only the first few ids are listed.
+    The first few rows of a group are a rank filter, which keeps no more than
+    that per group and task before anything is shuffled; all else is aggregates.
     """
     key = [*by, "fingerprint"]
     totals = context.groupBy(*key).agg(
@@ -183,9 +184,11 @@ def context_groups(context: DataFrame, by: Sequence[str] = (), keep_ids: int = 5
         F.min_by("ts", "pos").alias("first_ts"),
         F.max_by("ts", "pos").alias("last_ts"),
     )
-    members = dense_index(context.select(*key, "pos", "id", "level", "message"), "member", by=key)
+    member = F.row_number().over(Window.partitionBy(*key).orderBy("pos"))
     heads = (
-        members.where(F.col("member") < keep_ids)
+        context.select(*key, "pos", "id", "level", "message")
+        .withColumn("member", member)
+        .where(F.col("member") <= keep_ids)
         .groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.struct("member", "pos", "id", "level", "message"))).alias("_head"))
     )

@@ -9,19 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BLOCK_ROWS = 65536
 BLOCKS_PER_GROUP = 4096
 UNDATED = "unknown"
 
-_SEQ_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
-
-
-def chronological() -> list[Column]:
-    """Stable time order: undated rows last, ties by line number."""
-    return [F.col("ts").asc_nulls_last(), F.col("line_number").asc()]
+RANGE_ROWS = 1 << 20
+FEW_ROWS = 10_000
+SAMPLES_PER_RANGE = 64
 
 
 def with_log_date(logs: DataFrame) -> DataFrame:
@@ -30,41 +26,90 @@ def with_log_date(logs: DataFrame) -> DataFrame:
     return logs.withColumn("log_date", F.coalesce(day, F.lit(UNDATED)))
 
 
-def global_index(
-    df: DataFrame, keys: Sequence[Column], name: str, partitions: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Add the 0-based index of each row under a total order on unique keys.
+def lower_bound(values: Column, at: Column) -> Column:
+    """How many items of a sorted array lie below ``at``; a binary search."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+    # 31 halvings are enough for any array; a finished search stays where it is.
+    middle = lambda s: ((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def halve(s: Column, _: Column) -> Column:
+        below = F.get(values, middle(s)) < at
+        return F.when(s["lo"] >= s["hi"], s).otherwise(
+            F.struct(
+                F.when(below, middle(s) + 1).otherwise(s["lo"]).alias("lo"),
+                F.when(below, s["hi"]).otherwise(middle(s)).alias("hi"),
+            )
+        )
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(values) + F.lit(1.0))).cast("int") + 1)
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
+
+
+def _in_ranges(df: DataFrame, keys: Sequence[Column], ranges: int | None) -> tuple[DataFrame, int]:
+    """Add ``_range``, the number of a run of rows in key order, and count the runs.
+
+    Bounds are taken from a hash sample of the keys, about 64 per run, so they
+    are the same whenever the rows are read and no key value, however frequent,
+    fills a run: the keys together are unique.
+    """
+    total = df.count()
+    if ranges is None:
+        parallel = df.sparkSession.sparkContext.defaultParallelism
+        ranges = max(1, -(-total // RANGE_ROWS), min(parallel, -(-total // FEW_ROWS)))
+    named = [k.cast("long").alias(f"k{i}") for i, k in enumerate(keys)]
+    thin = max(1, total // (ranges * SAMPLES_PER_RANGE))
+    sample = df.select(*named).where(F.pmod(F.xxhash64(*[f"k{i}" for i in range(len(keys))]), F.lit(thin)) == 0)
+    picked = sorted(tuple(r) for r in sample.collect())
+    bounds = sorted({picked[len(picked) * i // ranges] for i in range(1, ranges)}) if picked else []
+    if not bounds:
+        return df.withColumn("_range", F.lit(0)), 1
+    listed = ", ".join(
+        "named_struct(" + ", ".join(f"'k{i}', {v}L" for i, v in enumerate(bound)) + ")" for bound in bounds
+    )
+    return df.withColumn("_range", lower_bound(F.expr(f"array({listed})"), F.struct(*named))), len(bounds) + 1
+
+
+def _before_ranges(ranged: DataFrame, total: Column, count: int) -> DataFrame:
+    """``_range, _start``: what the runs before each one add up to; one row per run."""
+    sums = {r["_range"]: r["_sum"] for r in ranged.groupBy("_range").agg(total.alias("_sum")).collect()}
+    starts, at = [], 0
+    for i in range(count):
+        starts.append((i, at))
+        at += sums.get(i) or 0
+    return F.broadcast(ranged.sparkSession.createDataFrame(starts, "_range int, _start long"))
+
+
+def global_index(df: DataFrame, keys: Sequence[Column], name: str, ranges: int | None = None) -> DataFrame:
+    """Add the 0-based index of each row in the order of ``keys``.
 
-    One range shuffle, so no key value, however frequent, fills a task. The
-    sorted ranges are kept on disk because the row counts per range and the rows
-    themselves must come from the same range bounds; unpersist the second frame
-    returned once the first has been written.
+    ``df`` must be a stored table, as it is read three times: for a sample of the
+    keys, for the number of rows in each run, and for the rows themselves, which
+    are shuffled once. ``keys`` are whole numbers, not null and unique together.
     """
-    args = list(keys) if partitions is None else [partitions, *keys]
-    ranged = (
-        df.repartitionByRange(*args)
-        .sortWithinPartitions(*keys)
-        .withColumn("_seq", F.monotonically_increasing_id())
-        .persist(StorageLevel.DISK_ONLY)
+    ranged, count = _in_ranges(df, keys, ranges)
+    in_range = Window.partitionBy("_range").orderBy(*keys)
+    return (
+        ranged.join(_before_ranges(ranged, F.count("*"), count), "_range")
+        .withColumn(name, F.col("_start") + F.row_number().over(in_range) - 1)
+        .drop("_range", "_start")
     )
-    part = F.shiftright("_seq", _SEQ_BITS)
-    in_part = F.col("_seq") - F.shiftleft(part, _SEQ_BITS)
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    # One row per range partition, so the broadcast is bounded by the shuffle width.
-    indexed = (
-        ranged.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + in_part)
-        .drop("_part", "_start", "_seq")
+
+
+def running_sum(df: DataFrame, keys: Sequence[Column], value: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Add the sum of ``value`` over all rows up to and with each one, as :func:`global_index`."""
+    ranged, count = _in_ranges(df, keys, ranges)
+    upto = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        ranged.join(_before_ranges(ranged, F.sum(value), count), "_range")
+        .withColumn(name, F.col("_start") + F.sum(value).over(upto))
+        .drop("_range", "_start")
     )
-    return indexed, ranged
 
 
-def with_positions(logs: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Add ``log_date`` and ``pos``; see :func:`global_index` for the pair returned."""
-    keys = [F.col("log_date").asc(), *chronological()]
+def with_positions(logs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Add ``log_date`` and ``pos`` to a stored table; see :func:`global_index`."""
+    undated = F.lit((1 << 63) - 1)
+    keys = [F.coalesce(F.unix_micros("ts"), undated), F.col("line_number")]
     return global_index(with_log_date(logs), keys, "pos", partitions)
 
 
@@ -137,24 +182,30 @@ def rows_at_ranks(
 
     ``ranges`` holds ``(low, high)``, or ``(key, low, high)`` for ranks within
     ``by``. Block counts locate the blocks first, so only those blocks are read
-    and ranked. The driver sees at most one count per requested rank.
+    and ranked; the wanted ranks are then joined. Ranks and the blocks that hold
+    them are bounded by the caller's list.
     """
     keys = [by] if by else []
-    keyed = [r if by else (None, *r) for r in ranges]
-
-    def any_of(test) -> Column:
-        match = F.lit(False)
-        for key, low, high in keyed:
-            hit = test(low, high)
-            match = match | ((F.col(by) == key) & hit if by else hit)
-        return match
-
+    wanted: dict = {}
+    for *key, low, high in ranges:
+        wanted.setdefault(key[0] if by else None, set()).update(range(low, high + 1))
+    if not wanted:
+        return df.withColumn(name, F.lit(0).cast("long")).limit(0)
+    spark = df.sparkSession
     starts = block_starts(df, keys, rows)
-    overlap = any_of(lambda low, high: (F.col("_start") <= high) & (F.col("_start") + F.col("_n") > low))
-    blocks = starts.where(overlap).drop("_n")
-    found = blocks.collect()
-    spans = [(b["_block"] * rows, b["_block"] * rows + rows - 1) for b in found]
-    local = df.sparkSession.createDataFrame(found, blocks.schema)
+    if by:
+        lists = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(sorted(v)).cast("array<long>"))])
+        sought = F.try_element_at(lists, F.col(by))
+    else:
+        sought = F.lit(sorted(wanted[None])).cast("array<long>")
+    holds = lower_bound(sought, F.col("_start") + F.col("_n")) > lower_bound(sought, F.col("_start"))
+    found = starts.where(F.when(sought.isNotNull(), holds)).drop("_n")
+    blocks = found.collect()
+    spans = [(b["_block"] * rows, b["_block"] * rows + rows - 1) for b in blocks]
+    local = spark.createDataFrame(blocks, found.schema)
+    ranks = [(k, r) if by else (r,) for k, v in wanted.items() for r in sorted(v)]
+    schema = [f for f in df.schema.fields if f.name == by]
+    ranked = spark.createDataFrame(ranks, T.StructType([*schema, T.StructField(name, T.LongType())]))
     in_block = Window.partitionBy(*keys, "_block").orderBy("pos")
     return (
         df.where(any_range("pos", spans))
@@ -162,8 +213,8 @@ def rows_at_ranks(
         .withColumn("_rn", F.row_number().over(in_block))
         .join(F.broadcast(local), [*keys, "_block"])
         .withColumn(name, F.col("_start") + F.col("_rn") - 1)
-        .where(any_of(lambda low, high: F.col(name).between(low, high)))
-        .drop("_block", "_rn", "_start")
+        .join(F.broadcast(ranked), [*keys, name])
+        .select(*df.columns, name)
     )
 
 

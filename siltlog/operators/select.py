@@ -20,8 +20,16 @@ def by_level(logs: DataFrame, level: str) -> DataFrame:
 
 
 def by_time_range(logs: DataFrame, start: str, end: str) -> DataFrame:
-    """Inclusive range; undated rows drop out and an unreadable bound gives nothing."""
-    return logs.where(F.col("ts").between(bound_time(start), bound_time(end)))
+    """Inclusive range; undated rows drop out and an unreadable bound gives nothing.
+
+    Of a stored table only the days of the range are listed and read.
+    """
+    low, high = bound_time(start), bound_time(end)
+    within = logs.where(F.col("ts").between(low, high))
+    if "log_date" not in logs.columns:
+        return within
+    day = lambda bound: F.date_format(bound, "yyyy-MM-dd")
+    return within.where(F.col("log_date").between(day(low), day(high)))
 
 
 def search(logs: DataFrame, query: str) -> DataFrame:

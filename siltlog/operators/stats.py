@@ -11,14 +11,6 @@ def count_by_level(logs: DataFrame) -> DataFrame:
     return logs.groupBy("level").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
 
 
-def level_map(logs: DataFrame) -> DataFrame:
-    """One row: level -> count."""
-    entries = F.collect_list(F.struct("level", "n"))
-    return logs.groupBy("level").agg(F.count("*").alias("n")).agg(
-        F.map_from_entries(entries).alias("count_by_level")
-    )
-
-
 def time_range(logs: DataFrame) -> DataFrame:
     return logs.agg(F.min("ts").alias("range_start"), F.max("ts").alias("range_end"))
 

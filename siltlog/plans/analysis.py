@@ -15,7 +15,7 @@ from siltlog.operators.patterns import batch_count, in_batches, most_frequent
 from siltlog.operators.select import by_symptom, focus, patterns_by_ids, problems
 from siltlog.operators.stats import analysis_metadata
 from siltlog.plans import prompts
-from siltlog.plans.model import ModelFunction, ask, usage_of
+from siltlog.plans.model import ModelFunction, ask, failed_batches, usage_of
 from siltlog.plans.reports import (
     DatasetFacts,
     classification_contexts,
@@ -23,13 +23,12 @@ from siltlog.plans.reports import (
     pattern_batch_contexts,
     timeline_contexts,
 )
-from siltlog.plans.rule_model import rule_model
 from siltlog.schema import CLASSIFICATION_BATCH, ROOT_CAUSE_BATCH, TIMELINE_BATCH
 from siltlog.session import materialize
 from siltlog.sources.store import LogStore
 
 Models = ModelFunction | Sequence[ModelFunction]
-SYNTHESIS_FAN_IN = 50
+FAN_IN = 50
 
 
 def _requests(contexts: DataFrame, stage: str, system: str, prompt) -> DataFrame:
@@ -43,8 +42,12 @@ def _requests(contexts: DataFrame, stage: str, system: str, prompt) -> DataFrame
 
 @dataclass(frozen=True)
 class Classification:
+    """``failed`` lists the batches whose patterns have default rows for want of an answer."""
+
     classified: DataFrame
     responses: DataFrame
+    failed: DataFrame
+    batch_size: int = CLASSIFICATION_BATCH
 
     def summary(self) -> DataFrame:
         return C.summary(self.classified)
@@ -53,26 +56,40 @@ class Classification:
         return C.distribution(self.classified)
 
     def totals(self) -> DataFrame:
-        return C.totals(self.classified, CLASSIFICATION_BATCH)
+        return C.totals(self.classified, self.batch_size)
 
     def usage(self) -> DataFrame:
         return C.usage_by_stage(usage_of(self.responses))
 
 
-def classify_patterns(patterns: DataFrame, facts: DatasetFacts, models: Models = rule_model) -> Classification:
-    """Classify patterns in batches of 150 and merge the answers back."""
-    batches = in_batches(patterns, CLASSIFICATION_BATCH)
+def classify_patterns(
+    patterns: DataFrame,
+    facts: DatasetFacts,
+    models: Models,
+    batch_size: int = CLASSIFICATION_BATCH,
+    on_failed: str = "raise",
+) -> Classification:
+    """Classify patterns in batches and merge the answers back.
+
+    A batch without a readable answer raises :class:`LostAnswers`; with ``on_failed="keep"``
+    its patterns get default rows and ``failed`` names it.
+    """
+    batches = materialize(in_batches(patterns, batch_size), "batches")
     contexts = classification_contexts(batches, facts)
     prompt = prompts.classification_prompt(F.col("context"))
     responses = ask(
         _requests(contexts, "classification", prompts.CLASSIFICATION_SYSTEM, prompt), models
     )
+    failed = failed_batches(responses, on_failed)
     results = classification_rows(responses.select("batch_id", "text"))
-    return Classification(materialize(C.merge_results(batches, results), "classified"), responses)
+    merged = materialize(C.merge_results(batches, results), "classified")
+    return Classification(merged, responses, failed, batch_size)
 
 
-def classify(store: LogStore, models: Models = rule_model) -> Classification:
-    return classify_patterns(store.patterns, DatasetFacts.of(store), models)
+def classify(
+    store: LogStore, models: Models, batch_size: int = CLASSIFICATION_BATCH, on_failed: str = "raise"
+) -> Classification:
+    return classify_patterns(store.patterns, DatasetFacts.of(store), models, batch_size, on_failed)
 
 
 def lines_as_patterns(parsed: DataFrame) -> DataFrame:
@@ -98,15 +115,14 @@ def merge_events(events: DataFrame, max_events: int | None = None) -> DataFrame:
     timeline is a top-k; an uncapped one grows with the answers, so it is
     numbered through a range shuffle.
     """
-    order = [F.col("event_ts").asc_nulls_last(), F.col("batch_id").asc(), F.col("item_ord").asc()]
     timed = events.withColumn("event_ts", report_time(F.col("timestamp")))
     if max_events:
+        order = [F.col("event_ts").asc_nulls_last(), F.col("batch_id").asc(), F.col("item_ord").asc()]
         numbered = F.row_number().over(Window.orderBy(*order))
         return timed.orderBy(*order).limit(max_events).withColumn("sequence", numbered.cast("long"))
-    indexed, cached = global_index(timed, order, "sequence")
-    written = materialize(indexed.withColumn("sequence", F.col("sequence") + 1), "timeline-events")
-    cached.unpersist()
-    return written
+    timed = materialize(timed, "timed-events")
+    keys = [F.coalesce(F.unix_micros("event_ts"), F.lit((1 << 63) - 1)), F.col("batch_id"), F.col("item_ord")]
+    return global_index(timed, keys, "sequence").withColumn("sequence", F.col("sequence") + 1)
 
 
 def batch_summaries(events: DataFrame) -> DataFrame:
@@ -115,40 +131,52 @@ def batch_summaries(events: DataFrame) -> DataFrame:
     return per_batch.where(F.nullif("summary", F.lit("")).isNotNull())
 
 
-def joined_summaries(events: DataFrame) -> DataFrame:
-    """One text of the batch summaries, in batch order, blank lines between."""
-    listed = F.array_sort(F.collect_list(F.struct("batch_id", "summary")))
-    return batch_summaries(events).agg(
-        F.array_join(F.transform(listed, lambda x: x["summary"]), "\n\n").alias("overall_summary")
-    )
-
-
 @dataclass(frozen=True)
 class Timeline:
+    """``summaries`` has one row per batch, to be read in ``batch_id`` order; ``metadata`` is one row."""
+
     events: DataFrame
-    overall_summary: DataFrame
+    summaries: DataFrame
+    metadata: DataFrame
     responses: DataFrame
+    failed: DataFrame
 
 
 def timeline(
     store: LogStore,
+    models: Models,
     focus_on: str | None = None,
     max_events: int | None = None,
     start: str | None = None,
     end: str | None = None,
-    models: Models = rule_model,
+    batch_size: int = TIMELINE_BATCH,
+    on_failed: str = "raise",
 ) -> Timeline:
-    """Incident timeline over pattern batches of 1000."""
+    """Incident timeline over pattern batches.
+
+    A batch without a readable answer raises :class:`LostAnswers`; with ``on_failed="keep"``
+    the timeline lacks its events and ``failed`` names it.
+    """
     facts = DatasetFacts.of(store)
     targets = focus(store.patterns, focus_on)
-    batches = in_batches(targets, TIMELINE_BATCH)
-    share = events_per_batch(max_events, batch_count(targets.count(), TIMELINE_BATCH, empty_batch=True))
+    batches = materialize(in_batches(targets, batch_size), "batches")
+    used = batches.count()
+    share = events_per_batch(max_events, batch_count(used, batch_size, empty_batch=True))
     contexts = timeline_contexts(store, batches, facts, start, end)
     prompt = prompts.timeline_prompt(F.col("context"), focus_on, share)
     responses = ask(_requests(contexts, "timeline", prompts.TIMELINE_SYSTEM, prompt), models)
+    failed = failed_batches(responses, on_failed)
     found = timeline_rows(responses.select("batch_id", "text"))
-    events = merge_events(found.where(F.col("item_ord").isNotNull()), max_events)
-    return Timeline(events, joined_summaries(found), responses)
+    events = materialize(merge_events(found.where(F.col("item_ord").isNotNull()), max_events), "timeline-events")
+    metadata = events.agg(
+        F.lit(facts.total_logs).cast("long").alias("total_logs_analyzed"),
+        F.lit(used).cast("long").alias("unique_patterns_used"),
+        F.lit(facts.range_start).alias("range_start"),
+        F.lit(facts.range_end).alias("range_end"),
+        F.lit(focus_on or "all").alias("focus"),
+        F.count("*").alias("events_generated"),
+    )
+    return Timeline(events, batch_summaries(found), metadata, responses, failed)
 
 
 @dataclass(frozen=True)
@@ -156,6 +184,7 @@ class RootCause:
     report: DataFrame
     metadata: DataFrame
     responses: DataFrame
+    failed: DataFrame
 
 
 def root_cause_targets(
@@ -168,49 +197,70 @@ def root_cause_targets(
     return problems(patterns)
 
 
-def _synthesize(reports: DataFrame, models: Models) -> tuple[DataFrame, DataFrame | None]:
-    """Merge batch reports into one, at most fifty per call and in rounds beyond that."""
+def _synthesize(reports: DataFrame, models: Models, fan_in: int) -> tuple[DataFrame, DataFrame | None]:
+    """Merge batch reports into one, ``fan_in`` per call and in rounds beyond that.
+
+    A report that is alone in its group is passed on as it is.
+    """
     calls = None
-    while reports.count() > 1:
+    left = reports.count()
+    while left > 1:
+        group = F.expr(f"batch_id div {int(fan_in)}")
         body = F.to_json(F.struct(*[c for c in reports.columns if c != "batch_id"]))
         listed = F.array_sort(F.collect_list(F.struct("batch_id", body.alias("body"))))
         joined = F.array_join(F.transform(listed, lambda x: x["body"]), ",\n")
-        grouped = reports.groupBy(F.expr(f"batch_id div {SYNTHESIS_FAN_IN}").alias("batch_id")).agg(
-            F.concat(F.lit("["), joined, F.lit("]")).alias("context")
+        grouped = reports.groupBy(group.alias("batch_id")).agg(
+            F.count("*").alias("n"), F.concat(F.lit("["), joined, F.lit("]")).alias("context")
         )
+        grouped = materialize(grouped, "report-groups")
         prompt = prompts.synthesis_prompt(F.col("context"))
         answers = ask(
-            _requests(grouped, "root_cause_synthesis", prompts.SYNTHESIS_SYSTEM, prompt), models
+            _requests(grouped.where("n > 1"), "root_cause_synthesis", prompts.SYNTHESIS_SYSTEM, prompt), models
         )
+        failed_batches(answers)
         calls = answers if calls is None else calls.unionByName(answers)
-        merged = root_cause_rows(answers.select("batch_id", "text"))
-        if merged.count() < grouped.count():
-            raise ValueError("a root-cause synthesis answer could not be read")
-        reports = merged
+        alone = grouped.where("n = 1").select(F.col("batch_id").alias("_group"))
+        kept = reports.withColumn("_group", group).join(alone, "_group", "left_semi")
+        kept = kept.withColumn("batch_id", F.col("_group")).select(*reports.columns)
+        reports = materialize(root_cause_rows(answers.select("batch_id", "text")).unionByName(kept), "reports")
+        left = grouped.count()
     return reports, calls
 
 
 def root_cause(
     store: LogStore,
+    models: Models,
     ids: Sequence[str] | None = None,
     time_range: tuple[str, str] | None = None,
     symptom: str | None = None,
-    models: Models = rule_model,
+    batch_size: int = ROOT_CAUSE_BATCH,
+    fan_in: int = FAN_IN,
+    on_failed: str = "raise",
 ) -> RootCause:
-    """Root-cause report. A time range only names the scope: the patterns decide what is read."""
+    """Root-cause report. A time range only names the scope: the patterns decide what is read.
+
+    The reports of all batches are merged by the model, at most ``fan_in`` in one
+    call, so more of them take rounds. A batch without a readable answer raises
+    :class:`LostAnswers`; with ``on_failed="keep"`` the others are merged, if there
+    are any, and ``failed`` names it. A merge that fails always raises.
+    """
+    if fan_in < 2:
+        raise ValueError("fan_in must be 2 or more")
     facts = DatasetFacts.of(store)
     targets = root_cause_targets(store.patterns, ids, symptom)
-    batches = in_batches(targets, ROOT_CAUSE_BATCH)
-    if targets.isEmpty():
+    batches = materialize(in_batches(targets, batch_size), "batches")
+    if batches.isEmpty():
         contexts = empty_root_cause_context(store, facts)
     else:
         contexts = pattern_batch_contexts(store, batches, facts)
     prompt = prompts.root_cause_prompt(F.col("context"), symptom)
     responses = ask(_requests(contexts, "root_cause", prompts.ROOT_CAUSE_SYSTEM, prompt), models)
-    report, calls = _synthesize(root_cause_rows(responses.select("batch_id", "text")), models)
+    failed = failed_batches(responses, on_failed)
+    reports = materialize(root_cause_rows(responses.select("batch_id", "text")), "reports")
+    report, calls = _synthesize(reports, models, fan_in)
     scope = prompts.scope_text(list(ids) if ids is not None else None, time_range, symptom)
     metadata = analysis_metadata(store.logs, most_frequent(store.patterns), scope)
-    return RootCause(report, metadata, responses if calls is None else responses.unionByName(calls))
+    return RootCause(report, metadata, responses if calls is None else responses.unionByName(calls), failed)
 
 
 @dataclass(frozen=True)
@@ -225,12 +275,12 @@ class FullAnalysis:
         return C.usage_by_stage(every)
 
 
-def analyze(store: LogStore, models: Models = rule_model, max_events: int = 8) -> FullAnalysis:
+def analyze(store: LogStore, models: Models, max_events: int = 8, on_failed: str = "raise") -> FullAnalysis:
     """Classify, draft the error timeline, then look for the dominant category's root cause."""
-    classified = classify(store, models)
+    classified = classify(store, models, on_failed=on_failed)
     dominant = classified.summary().head()["dominant_category"]
     return FullAnalysis(
         classified,
-        timeline(store, "errors", max_events, models=models),
-        root_cause(store, symptom=dominant, models=models),
+        timeline(store, models, "errors", max_events, on_failed=on_failed),
+        root_cause(store, models, symptom=dominant, on_failed=on_failed),
     )

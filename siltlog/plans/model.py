@@ -1,8 +1,7 @@
 """Calling a model function on prompts, with a fallback.
 
 A model function maps a frame with ``system_prompt`` and ``user_prompt`` to the
-same rows with ``text`` and the three token counts. It runs in the workers, one
-Arrow batch at a time.
+same rows with ``text`` and the three token counts. It runs in the workers.
 """
 
 from __future__ import annotations
@@ -49,10 +48,15 @@ def _answer(pdf: pd.DataFrame, models: Sequence[ModelFunction]) -> pd.DataFrame:
 
 
 def ask(
-    requests: DataFrame, models: ModelFunction | Sequence[ModelFunction], parallelism: int | None = None
+    requests: DataFrame,
+    models: ModelFunction | Sequence[ModelFunction],
+    parallelism: int | None = None,
+    prompts_per_call: int = 1,
 ) -> DataFrame:
     """Answer ``(stage, batch_id, system_prompt, user_prompt)`` rows.
 
+    A model gets ``prompts_per_call`` rows at a time, and what it cannot answer of
+    them goes to the next model; other rows are not touched by its failure.
     Answers are costly and may differ between calls, so they are written once
     and every later step reads that table.
     """
@@ -61,13 +65,42 @@ def ask(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield _answer(pdf, chain)[columns]
+            for first in range(0, len(pdf), prompts_per_call):
+                yield _answer(pdf.iloc[first : first + prompts_per_call], chain)[columns]
 
     tasks = parallelism or requests.sparkSession.sparkContext.defaultParallelism
     spread = requests.select("stage", "batch_id", "system_prompt", "user_prompt").repartition(tasks)
     return materialize(spread.mapInPandas(run, RESPONSE_SCHEMA), "model-answers")
 
 
+def answer_status(responses: DataFrame) -> DataFrame:
+    """``stage, batch_id, status, error``: ``answered``, ``no_answer`` or ``unreadable``."""
+    parsed = json_in_text(F.col("text"))
+    status = (
+        F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "no_answer")
+        .when(parsed.isNull() | F.is_variant_null(parsed), "unreadable")
+        .otherwise("answered")
+    )
+    return responses.select("stage", "batch_id", status.alias("status"), "error")
+
+
+class LostAnswers(ValueError):
+    """Some batches have no readable answer, so a result would be incomplete."""
+
+
+def failed_batches(responses: DataFrame, on_failed: str = "raise") -> DataFrame:
+    """The batches without a readable answer; with ``raise`` there must be none."""
+    if on_failed not in ("raise", "keep"):
+        raise ValueError("on_failed is 'raise' or 'keep'")
+    failed = answer_status(responses).where("status <> 'answered'")
+    if on_failed == "raise":
+        some = failed.orderBy("batch_id").limit(5).collect()
+        if some:
+            told = ", ".join(f"{r['stage']} batch {r['batch_id']}: {r['status']}" for r in some)
+            raise LostAnswers(f"answers are missing ({told}, ...); on_failed='keep' gives what there is")
+    return failed
+
+
 def usage_of(responses: DataFrame) -> DataFrame:
     return responses.select("stage", *TOKEN_COLUMNS)
 

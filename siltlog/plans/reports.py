@@ -7,6 +7,7 @@ A batch is at most 1000 patterns, so its text is put together in one group;
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -26,11 +27,11 @@ from siltlog.operators.sampling import (
 )
 from siltlog.operators.select import by_time_range
 from siltlog.operators.signals import pattern_signals
-from siltlog.schema import ROOT_CAUSE_PATTERN_CAP, ROOT_CAUSE_SAMPLE
+from siltlog.schema import NAMED_LEVELS, ROOT_CAUSE_PATTERN_CAP, ROOT_CAUSE_SAMPLE
 from siltlog.session import materialize
 from siltlog.sources.store import LogStore
 
-SHARED_SIGNALS = 10_000
+SIGNALS_PER_BATCH = 1000
 CONTEXT_COLUMNS = ("pos", "id", "ts", "level", "message", "fingerprint")
 
 
@@ -46,21 +47,34 @@ class DatasetFacts:
 
     @classmethod
     def of(cls, store: LogStore) -> DatasetFacts:
+        """Levels are whatever a line names, so only those of ``NAMED_LEVELS`` are listed;
+        the others are counted together."""
         levels = store.logs.groupBy("level").agg(
             F.count("*").alias("n"),
             F.min("pos").alias("first_pos"),
             F.min("ts").alias("lo"),
             F.max("ts").alias("hi"),
         )
-        listed = F.array_sort(F.collect_list(F.struct("first_pos", "level", "n")))
-        by_level = F.map_from_entries(F.transform(listed, lambda x: F.struct(x["level"], x["n"])))
-        row = levels.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        shown = F.when(F.col("level").isin(*NAMED_LEVELS), F.col("level"))
+        rows = levels.groupBy(shown.alias("name")).agg(
+            F.count("*").alias("kinds"),
+            F.sum("n").alias("n"),
+            F.min("first_pos").alias("first_pos"),
             iso_text(F.min("lo")).alias("lo"),
             iso_text(F.max("hi")).alias("hi"),
-            F.to_json(by_level).alias("levels"),
-        ).head()
-        return cls(row["total"], store.patterns.count(), row["lo"], row["hi"], row["levels"])
+        )
+        rows = sorted(rows.collect(), key=lambda r: r["first_pos"])
+        text = json.dumps({r["name"]: r["n"] for r in rows if r["name"]}, separators=(",", ":"))
+        for r in rows:
+            if not r["name"]:
+                text += f" (other levels: {r['kinds']} kinds, {r['n']} rows)"
+        return cls(
+            sum(r["n"] for r in rows),
+            store.patterns.count(),
+            min((r["lo"] for r in rows if r["lo"]), default=None),
+            max((r["hi"] for r in rows if r["hi"]), default=None),
+            text,
+        )
 
     def span(self, missing: str) -> str:
         return f"{self.range_start or missing} to {self.range_end or missing}"
@@ -169,34 +183,22 @@ def _hour_sections(batches: DataFrame) -> DataFrame:
     )
 
 
-def _signal_sections(store: LogStore, batch_ids: DataFrame) -> DataFrame:
-    """Signal lines per batch.
+def _signal_sections(store: LogStore, per_batch: int) -> DataFrame:
+    """``batch_id, signals``: the lines of all signals in order, ``per_batch`` to a batch.
 
-    Up to ``SHARED_SIGNALS`` (counted) every batch lists them all. Beyond that a
-    single text would grow with the data, so the signals are dealt to the
-    batches in order: each is still reported, once.
+    Each signal is reported once, whatever their number.
     """
     title = "\n=== SECURITY SIGNALS (Critical Context) ==="
     line = _text(
         "[", F.col("type"), "] ", _tag(), " ", F.col("message"), " | x", F.col("occurrence_count").cast("string")
     )
-    signals = pattern_signals(store.patterns).select(
-        F.struct("pos", "type_ord").alias("signal_ord"), "pos", "type_ord", line.alias("line")
-    )
-    total = signals.count()
-    if total == 0:
-        return batch_ids.withColumn("signals", F.lit(None).cast("string"))
-    if total <= SHARED_SIGNALS:
-        text = signals.agg(_stacked("signal_ord", "line").alias("text"))
-        return batch_ids.withColumn("signals", _lines(title, text.scalar()))
-    batch_total = batch_ids.count()
     # Patterns carry at most seven signals each, so pos * 8 + type is unique.
-    numbered = dense_index(
-        signals.withColumn("pos", F.col("pos") * 8 + F.col("type_ord")), "signal_no"
+    signals = pattern_signals(store.patterns).select(
+        (F.col("pos") * 8 + F.col("type_ord")).alias("pos"), line.alias("line")
     )
-    dealt = numbered.withColumn("batch_id", F.expr(f"signal_no * {batch_total} div {total}"))
-    texts = dealt.groupBy("batch_id").agg(_lines(title, _stacked("signal_no", "line")).alias("signals"))
-    return batch_ids.join(texts, "batch_id", "left")
+    numbered = dense_index(materialize(signals, "signals"), "signal_no")
+    dealt = numbered.withColumn("batch_id", F.expr(f"signal_no div {int(per_batch)}"))
+    return dealt.groupBy("batch_id").agg(_lines(title, _stacked("signal_no", "line")).alias("signals"))
 
 
 def _chain_section(logs: DataFrame) -> str | None:
@@ -255,19 +257,21 @@ def timeline_contexts(
     start: str | None = None,
     end: str | None = None,
     with_supplement: bool = False,
+    signals_per_batch: int = SIGNALS_PER_BATCH,
 ) -> DataFrame:
-    """Hour sections of each batch plus signals, chains and narrative of the whole set.
+    """Hour sections of each batch with its share of the signals, and chains and narrative of
+    the whole set.
 
-    A time range limits chains and narrative only; the patterns are as given.
+    Signals are dealt to the batches in order; when there are more than the
+    batches take, batches without patterns follow. A time range limits chains
+    and narrative only; the patterns are as given. Rows are sorted by time, so a
+    range is one run of positions and neighbours are rows of the range.
     """
     logs = by_time_range(store.logs, start, end) if start and end else store.logs
-    if start and end:
-        # Positions must be dense again for neighbours to be rows of the range.
-        logs = dense_index(logs, "_in_range").drop("pos").withColumnRenamed("_in_range", "pos")
     sections = _hour_sections(batches)
     if batches.isEmpty():
         sections = store.spark.createDataFrame([(0, 0, "")], "batch_id long, n long, sections string")
-    signals = _signal_sections(store, sections.select("batch_id"))
+    signals = _signal_sections(store, signals_per_batch)
     shared = [_chain_section(logs), _narrative_section(logs)]
     if with_supplement:
         shared.append(_supplement_section(store.patterns))
@@ -282,7 +286,8 @@ def timeline_contexts(
         "=== ERROR/WARNING PATTERNS BY TIME WINDOW ===",
     ]
     body = F.when(F.col("n") > 0, F.col("sections"))
-    return sections.join(signals, "batch_id").select(
+    both = sections.join(signals, "batch_id", "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    return both.select(
         "batch_id",
         _lines(*header, body, F.col("signals"), *[s for s in shared if s]).alias("context"),
     )
@@ -381,7 +386,7 @@ def empty_root_cause_context(store: LogStore, facts: DatasetFacts) -> DataFrame:
 
 
 def whole_root_cause_context(
-    context: DataFrame, facts: DatasetFacts, cap: int | None = ROOT_CAUSE_PATTERN_CAP
+    context: DataFrame, facts: DatasetFacts, cap: int = ROOT_CAUSE_PATTERN_CAP
 ) -> DataFrame:
     """One context over any set of rows with ``pos``, however large.
 
@@ -392,7 +397,7 @@ def whole_root_cause_context(
     context = materialize(context.select(*CONTEXT_COLUMNS), "context-rows")
     groups = materialize(context_groups(context), "context-groups")
     unique = groups.count()
-    capped = cap is not None and unique > cap
+    capped = unique > cap
     listed = cap_by_count(groups, cap) if capped else groups
     list_ord = -F.col("n") if capped else F.lit(0)
     lines = listed.select(F.struct(list_ord.alias("a"), F.col("pos")).alias("ord"), _group_line().alias("line"))

@@ -9,6 +9,11 @@ LEAD_IN_LEVELS = ("info", "notice", "warn")
 CRITICAL_TIER = ("error", "crit", "critical")
 WARNING_TIER = ("warn", "warning")
 
+# Levels a report header counts by name; all others are counted together.
+NAMED_LEVELS = (
+    "emerg", "alert", "crit", "critical", "error", "warn", "warning", "notice", "info", "debug", "trace", "unknown",
+)
+
 # Batch sizes and limits of the analysis stages.
 CLASSIFICATION_BATCH = 150
 TIMELINE_BATCH = 1000
@@ -41,9 +46,24 @@ LOG_SCHEMA = T.StructType(
 
 LOG_COLUMNS = tuple(LOG_SCHEMA.fieldNames())
 
+# Fields that only access logs have; null elsewhere.
+EXTRA_SCHEMA = T.StructType(
+    [
+        T.StructField("ip", T.StringType()),
+        T.StructField("size", T.LongType()),
+        T.StructField("referrer", T.StringType()),
+        T.StructField("user_agent", T.StringType()),
+    ]
+)
+
 # Stored tables. `log_date` is the partition folder, a date or "unknown".
 STORED_LOG_SCHEMA = T.StructType(
-    [*LOG_SCHEMA.fields, T.StructField("pos", T.LongType()), T.StructField("log_date", T.StringType())]
+    [
+        *LOG_SCHEMA.fields,
+        *EXTRA_SCHEMA.fields,
+        T.StructField("pos", T.LongType()),
+        T.StructField("log_date", T.StringType()),
+    ]
 )
 PATTERN_SCHEMA = T.StructType(
     [

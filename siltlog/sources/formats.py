@@ -43,32 +43,50 @@ class LogFormat:
     extras: tuple[str, ...] = ()
 
 
+# Stands between groups; a line that holds it is matched group by group.
+MARK = "\x01"
+
+
+def _groups(raw: Column, layout: str, count: int) -> Column:
+    """The groups of a layout that covers the whole line, from one match per line.
+
+    A line that does not match is its own only piece, so its groups are empty.
+    """
+    marked = F.regexp_replace(raw, layout, MARK.join(f"${i}" for i in range(1, count + 1)))
+    pieces = F.split(marked, MARK)
+    slow = F.array(*[F.regexp_extract(raw, layout, i) for i in range(1, count + 1)])
+    none = F.array(*[F.lit("")] * count)
+    return F.when(raw.contains(MARK), slow).when(F.size(pieces) == count, pieces).otherwise(none)
+
+
+def _group(i: int) -> Column:
+    return F.get("_groups", F.lit(i - 1))
+
+
 def _error_captures(raw: Column) -> dict[str, Column]:
-    return {
-        "_time": F.regexp_extract(raw, ERROR_LINE, 1),
-        "_level": F.regexp_extract(raw, ERROR_LINE, 2),
-        "_text": F.regexp_extract(raw, ERROR_LINE, 3),
-        "matched": F.regexp_extract(raw, ERROR_LINE, 2) != "",
-    }
+    groups = _groups(raw, ERROR_LINE, 3)
+    return {"_groups": groups, "matched": F.get(groups, F.lit(1)) != ""}
 
 
 def _error_fields() -> dict[str, Column]:
     return {
-        "ts": error_log_time(F.col("_time")),
-        "level": F.lower("_level"),
-        "message": trimmed(F.col("_text")),
+        "ts": error_log_time(_group(1)),
+        "level": F.lower(_group(2)),
+        "message": trimmed(_group(3)),
         # The hash takes the level as written, before it is lower-cased.
-        "fp_level": F.col("_level"),
-        "fp_text": F.col("_text"),
+        "fp_level": _group(2),
+        "fp_text": _group(3),
     }
 
 
 def _access_captures(raw: Column) -> dict[str, Column]:
+    groups = _groups(raw, rf"{ACCESS_LINE}{ANY}*\z", 7)
+
     def group(i: int) -> Column:
-        return F.regexp_extract(raw, ACCESS_LINE, i)
+        return F.get(groups, F.lit(i - 1))
 
     return {
-        "_time": group(2),
+        "_groups": groups,
         "_request": F.split(group(3), " "),
         "_status": group(4).try_cast("int"),
         "matched": group(4) != "",
@@ -90,7 +108,7 @@ def _access_fields() -> dict[str, Column]:
     url = F.coalesce(F.get("_request", F.lit(1)), F.lit(""))
     status = F.col("_status").cast("string")
     return {
-        "ts": access_log_time(F.col("_time")),
+        "ts": access_log_time(_group(2)),
         "level": status_level(F.col("_status")),
         "message": F.concat(method, F.lit(" "), url, F.lit(" - Status "), status),
         "fp_level": status_level(F.col("_status")),
@@ -161,31 +179,42 @@ def detect_format(lines: DataFrame) -> LogFormat:
     return FORMATS[best["format"]]
 
 
+PLACE = ("_file", "_block")
+
+
 def parse(lines: DataFrame, fmt: LogFormat | str, extras: bool = False) -> DataFrame:
-    """Turn ``(line_number, value)`` into log records; unmatched lines stay, as ``unknown``."""
+    """Turn ``(line_number, value)`` into log records; unmatched lines stay, as ``unknown``.
+
+    Lines that are not numbered yet (with ``_file`` and ``_block`` instead of a
+    number) give records without ``id`` and ``line_number``; see :func:`numbered`.
+    """
     if isinstance(fmt, str):
         fmt = format_by_name(fmt)
     raw = F.col("raw")
-    captured = lines.select("line_number", trimmed(F.col("value")).alias("raw")).select(
-        "line_number", "raw", *[c.alias(n) for n, c in fmt.captures(raw).items()]
+    place = ["line_number"] if "line_number" in lines.columns else list(PLACE)
+    captured = lines.select(*place, trimmed(F.col("value")).alias("raw")).select(
+        *place, "raw", *[c.alias(n) for n, c in fmt.captures(raw).items()]
     )
     fields = fmt.fields()
     hit = F.col("matched")
     fp_level = F.when(hit, fields["fp_level"]).otherwise("unknown")
     fp_text = F.when(hit, fields["fp_text"]).otherwise(raw)
     columns = {
-        "id": log_id(F.col("line_number")),
         "raw": raw,
         "ts": F.when(hit, fields["ts"]),
         "level": F.when(hit, fields["level"]).otherwise("unknown"),
         "message": F.when(hit, fields["message"]).otherwise(raw),
         "fingerprint": fingerprint(fp_level, fp_text),
-        "line_number": F.col("line_number"),
     }
-    kept = [columns[name].alias(name) for name in LOG_COLUMNS]
-    if extras:
-        kept += [F.col(name) for name in fmt.extras]
-    return captured.select(*kept)
+    more = [F.col(name) for name in fmt.extras] if extras else []
+    records = captured.select(*place, *[c.alias(n) for n, c in columns.items()], *more)
+    return numbered(records) if place == ["line_number"] else records
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """Add the id that a line number gives, columns in the order of the log table."""
+    rest = [c for c in records.columns if c not in LOG_COLUMNS]
+    return records.withColumn("id", log_id(F.col("line_number"))).select(*LOG_COLUMNS, *rest)
 
 
 def unmatched(parsed: DataFrame) -> DataFrame:

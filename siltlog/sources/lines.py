@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siltlog.functions.text import is_blank
-from siltlog.session import materialize
+from siltlog.session import broadcast_if_small, materialize
 from siltlog.sources.formats import DETECTION_LINES, LogFormat, detect_format
 
 # Accepted file names.
 ACCEPTED_FILES = "*.{log,txt}"
+FEW_BLOCKS = 200_000
+FILES_TOGETHER = 64
 
 
 def _text(spark: SparkSession, path) -> DataFrame:
@@ -25,17 +29,30 @@ def with_block(lines: DataFrame) -> DataFrame:
     )
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """``line_number`` in (file, offset) order over the lines of :func:`with_block`.
+def landed(lines: DataFrame, path: str | None = None) -> DataFrame:
+    """Write lines (or what was parsed from them) with their place in the input, once.
+
+    ``_file`` and ``_block`` say where a line comes from and ``_seq`` orders the
+    lines of a block. Counts and rows must come from one reading of the files: a
+    second one may cut them into other blocks, or find them longer.
+    """
+    marked = lines.withColumn("_seq", F.monotonically_increasing_id())
+    if path is None:
+        return materialize(marked, "landed-lines")
+    marked.write.mode("overwrite").parquet(path)
+    return marked.sparkSession.read.schema(marked.schema).parquet(path)
+
+
+def number_landed(rows: DataFrame, first: int = 1) -> DataFrame:
+    """Replace the place of each landed row by its ``line_number``, from ``first``.
 
     A line's number is the count of lines in earlier file blocks plus its place
-    in its own block. Only the per-block counts are ordered globally; the lines
-    themselves are not shuffled while that table is under the broadcast limit,
-    and past it each join group is one file block.
+    in its own block. Only the per-block counts, a column-pruned read, are
+    ordered globally. Block counts are one row per split and are broadcast while
+    they are few; beyond that each join group is one file block.
     """
     block = ["_file", "_block"]
-    lines = lines.withColumn("_seq", F.monotonically_increasing_id())
-    counts = lines.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    counts = rows.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
     before = (Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(*before)
     # One row per file: the only globally ordered step, on file metadata.
@@ -45,19 +62,32 @@ def number_lines(lines: DataFrame) -> DataFrame:
         .agg(F.sum("_n").alias("_n"))
         .select("_file", F.coalesce(F.sum("_n").over(over_files), F.lit(0)).alias("_file_start"))
     )
-    starts = (
-        counts.withColumn("_in_file", F.coalesce(F.sum("_n").over(in_file), F.lit(0)))
-        .join(file_start, "_file")
-        .select(*block, (F.col("_file_start") + F.col("_in_file") - F.col("_first")).alias("_shift"))
-    )
-    return lines.join(materialize(starts, "block-starts"), block).select(
-        (F.col("_seq") + F.col("_shift") + 1).alias("line_number"), "value"
+    starts = counts.withColumn("_in_file", F.coalesce(F.sum("_n").over(in_file), F.lit(0))).join(file_start, "_file")
+    starts = materialize(
+        starts.select(*block, "_n", (F.col("_file_start") + F.col("_in_file") - F.col("_first")).alias("_shift")),
+        "block-starts",
     )
+    total, held = rows.count(), starts.agg(F.coalesce(F.sum("_n"), F.lit(0))).head()[0]
+    if total != held:
+        raise RuntimeError(f"{total} landed lines, but {held} counted")
+    few = broadcast_if_small(starts.drop("_n"), FEW_BLOCKS)
+    rest = [c for c in rows.columns if c not in (*block, "_seq")]
+    return rows.join(few, block).select((F.col("_seq") + F.col("_shift") + first).alias("line_number"), *rest)
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """``line_number`` and ``value`` in (file, offset) order over the lines of :func:`with_block`."""
+    return number_landed(landed(lines))
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """Splittable text scan of one or more paths, numbered over non-blank lines."""
-    return number_lines(with_block(_text(spark, path)))
+    return number_lines(placed_lines(spark, path))
+
+
+def placed_lines(spark: SparkSession, path) -> DataFrame:
+    """Non-blank lines with the file and block they come from."""
+    return with_block(_text(spark, path))
 
 
 def read_accepted(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,14 +97,23 @@ def read_accepted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detect_file_format(spark: SparkSession, path) -> LogFormat:
-    """Detect from the head of the first files; stops after five non-blank lines."""
+    """Detect from the head of the first files; stops after five non-blank lines.
+
+    Files are looked at in groups that grow, so many empty ones cost few jobs; of
+    each file at most five lines are read.
+    """
     head: list[str] = []
-    for name in sorted(spark.read.text(path).inputFiles()):
-        rows = _text(spark, name).limit(DETECTION_LINES - len(head)).collect()
-        head += [r["value"] for r in rows]
-        if len(head) >= DETECTION_LINES:
-            break
-    return detect_format(lines_from_list(spark, head))
+    names = sorted(spark.read.text(path).inputFiles())
+    at, size = 0, 1
+    while at < len(names) and len(head) < DETECTION_LINES:
+        heads = [
+            _text(spark, name).limit(DETECTION_LINES).select(F.lit(i).alias("file"), "value")
+            for i, name in enumerate(names[at : at + size])
+        ]
+        rows = reduce(DataFrame.unionByName, heads).collect()
+        head += [r["value"] for r in sorted(rows, key=lambda r: r["file"])]
+        at, size = at + size, min(8 * size, FILES_TOGETHER)
+    return detect_format(lines_from_list(spark, head[:DETECTION_LINES]))
 
 
 def lines_from_list(spark: SparkSession, values) -> DataFrame:

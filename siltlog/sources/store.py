@@ -13,15 +13,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltlog.operators.order import with_positions
 from siltlog.operators.patterns import patterns_of
-from siltlog.schema import LOG_COLUMNS, PATTERN_SCHEMA, STORED_LOG_SCHEMA
-from siltlog.session import materialize, utc_session, working_path
-from siltlog.sources.formats import LogFormat, parse
-from siltlog.sources.lines import detect_file_format, read_lines
+from siltlog.schema import EXTRA_SCHEMA, LOG_COLUMNS, PATTERN_SCHEMA, STORED_LOG_SCHEMA
+from siltlog.session import remove, utc_session, working_path
+from siltlog.sources.formats import LogFormat, numbered, parse
+from siltlog.sources.lines import detect_file_format, landed, number_landed, placed_lines
 
 # Fixed value: file name of the sample log.
 DEFAULT_LOG = "Apache_2k.log"
 
 
+def _with_extras(parsed: DataFrame) -> DataFrame:
+    """The columns of the log table; fields the format lacks are null."""
+    extras = [
+        F.col(f.name) if f.name in parsed.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in EXTRA_SCHEMA.fields
+    ]
+    return parsed.select(*LOG_COLUMNS, *extras)
+
+
 @dataclass(frozen=True)
 class LogStore:
     spark: SparkSession
@@ -53,33 +62,50 @@ class LogStore:
     ) -> LogStore:
         """Order parsed rows, write both tables and return the store.
 
-        A range shuffle reads its input twice, once to sample the bounds, so the
-        parsed rows are written first instead of being parsed twice. ``landed``
-        says that ``parsed`` is a plain table scan already.
+        Positions need the rows three times, for a sample, for counts and for the
+        one shuffle, so parsed rows are staged below ``path`` first and the stage is
+        removed once both tables are written. ``landed`` says that ``parsed`` is
+        a plain table scan already.
         """
         spark = utc_session(parsed.sparkSession)
         store = cls(spark, path or working_path(spark, "log-store"), source)
-        rows = parsed.select(*LOG_COLUMNS)
+        rows = _with_extras(parsed)
         if not landed:
-            rows = materialize(rows, "parsed-lines")
-        positioned, cached = with_positions(rows, partitions)
+            rows.write.mode("overwrite").parquet(f"{store._staging}/parsed")
+            rows = spark.read.schema(rows.schema).parquet(f"{store._staging}/parsed")
+        store._write(rows, partitions)
+        remove(spark, store._staging)
+        return store
+
+    @property
+    def _staging(self) -> str:
+        return f"{self.path}/_staging"
+
+    def _write(self, rows: DataFrame, partitions: int | None = None) -> None:
         (
-            positioned.write.mode("overwrite")
+            with_positions(rows, partitions)
+            .sortWithinPartitions("log_date", "pos")
+            .write.mode("overwrite")
             .partitionBy("log_date")
-            .parquet(f"{store.path}/logs")
+            .parquet(f"{self.path}/logs")
         )
-        cached.unpersist()
-        patterns_of(store.logs).write.mode("overwrite").parquet(f"{store.path}/patterns")
-        return store
+        patterns_of(self.logs).write.mode("overwrite").parquet(f"{self.path}/patterns")
 
     @classmethod
     def ingest_file(
         cls, spark: SparkSession, source, path: str | None = None, fmt: LogFormat | str | None = None
     ) -> LogStore:
-        """Read text files, detect the format unless named, parse and store."""
-        utc_session(spark)
-        lines = read_lines(spark, source)
-        return cls.ingest(parse(lines, fmt or detect_file_format(spark, source)), path, str(source))
+        """Read text files, detect the format unless named, parse and store.
+
+        The text is read once: parsed lines are staged with their place in the
+        files, numbered from that stage and shuffled once into the store.
+        """
+        store = cls(utc_session(spark), path or working_path(spark, "log-store"), str(source))
+        found = parse(placed_lines(spark, source), fmt or detect_file_format(spark, source), extras=True)
+        rows = numbered(number_landed(landed(found, f"{store._staging}/parsed")))
+        store._write(_with_extras(rows))
+        remove(spark, store._staging)
+        return store
 
     @classmethod
     def load_default(cls, spark: SparkSession, folder: str, path: str | None = None) -> LogStore:

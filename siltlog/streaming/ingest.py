@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from siltlog.functions.text import is_blank
+from siltlog.functions.times import bucket_start
 from siltlog.schema import LOG_SCHEMA
-from siltlog.sources.formats import LogFormat, parse
-from siltlog.sources.lines import number_lines, with_block
+from siltlog.session import remove
+from siltlog.sources.formats import LogFormat, numbered, parse
+from siltlog.sources.lines import landed, number_landed, with_block
 from siltlog.sources.store import LogStore
 
 
@@ -45,9 +47,11 @@ def start_ingest(lines: DataFrame, sink: str, checkpoint: str, fmt: LogFormat |
     """
 
     def land(batch: DataFrame, epoch: int) -> None:
-        earlier = _last_line(batch.sparkSession, sink, epoch)
-        shifted = number_lines(batch).withColumn("line_number", F.col("line_number") + earlier)
-        parse(shifted, fmt).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        spark = batch.sparkSession
+        stage = f"{sink}-staging/epoch={epoch}"
+        rows = number_landed(landed(parse(batch, fmt, extras=True), stage), _last_line(spark, sink, epoch) + 1)
+        numbered(rows).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+        remove(spark, stage)
 
     return (
         lines.writeStream.foreachBatch(land)
@@ -62,23 +66,34 @@ def finalize(spark: SparkSession, sink: str, path: str | None = None) -> LogStor
     return LogStore.ingest(spark.read.parquet(sink), path, sink, landed=True)
 
 
-def tumbling_counts(parsed: DataFrame, minutes: int = 15, lateness: str = "1 hour") -> DataFrame:
-    """Rows per level and N-minute window, emitted once the watermark passes."""
+def window_counts(parsed: DataFrame, minutes: int = 15) -> DataFrame:
+    """Rows per level and N-minute window; undated rows are in none."""
     return (
         parsed.where(F.col("ts").isNotNull())
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", f"{minutes} minutes"), "level")
+        .groupBy(bucket_start(F.col("ts"), minutes).alias("bucket"), "level")
         .agg(F.count("*").alias("n"))
-        .select(F.col("window.start").alias("bucket"), "level", "n")
     )
 
 
-def start_counts_sink(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append closed windows as Parquet."""
+def start_counts(parsed: DataFrame, path: str, checkpoint: str, minutes: int = 15) -> StreamingQuery:
+    """Write the counts of each micro-batch; :func:`read_counts` adds them up.
+
+    Each batch owns one ``epoch`` folder and overwrites it, so replays are safe. No
+    window is ever closed, so late lines and the end of the data count as well.
+    """
+
+    def land(batch: DataFrame, epoch: int) -> None:
+        window_counts(batch, minutes).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
     return (
-        counts.writeStream.format("parquet")
-        .outputMode("append")
+        parsed.writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(path)
+        .start()
     )
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``bucket, level, n`` over everything the stream has counted so far."""
+    parts = spark.read.schema("bucket timestamp, level string, n long").parquet(path)
+    return parts.groupBy("bucket", "level").agg(F.sum("n").alias("n"))

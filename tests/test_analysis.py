@@ -7,18 +7,19 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+import checks.rule_model
 import siltlog.plans.model
-import siltlog.plans.rule_model
+from checks.rule_model import rule_model
 from siltlog.functions import json_text as J
 from siltlog.operators import classify as C
 from siltlog.operators import patterns as P
 from siltlog.plans import analysis, prompts, reports
-from siltlog.plans.model import TOKEN_COLUMNS, ask, audit_records
+from siltlog.plans.model import TOKEN_COLUMNS, LostAnswers, ask, audit_records
 from siltlog.sources.formats import parse
-from siltlog.sources.generator import generate
 from siltlog.sources.store import LogStore
+from tests.generator import generate
 
-for module in (siltlog.plans.model, siltlog.plans.rule_model):
+for module in (siltlog.plans.model, checks.rule_model):
     cloudpickle.register_pickle_by_value(module)
 
 STAMP = "[Sun Dec 04 04:{:02d}:{:02d} 2005] [{}] {}"
@@ -281,18 +282,26 @@ def test_capped_report_adds_the_supplement(store):
     assert lines[-2:] == ["=== SUPPLEMENTARY: TOP NON-ERROR PATTERNS ===", "[INFO] GET /page0 | x30"]
 
 
-def test_signals_are_dealt_when_too_many_to_repeat(ingested, monkeypatch):
+def test_signals_are_dealt_to_batches(ingested):
     names = ["one", "two", "three", "four", "five", "six"]
     store = ingested([STAMP.format(0, i, "error", f"nikto {n}") for i, n in enumerate(names)])
     facts = reports.DatasetFacts.of(store)
     batches = P.in_batches(store.patterns, 2)
 
-    def signal_lines():
-        return [x for x in lines_of(reports.timeline_contexts(store, batches, facts)) if x.startswith("[SCANNER")]
+    def signal_lines(per_batch):
+        contexts = reports.timeline_contexts(store, batches, facts, signals_per_batch=per_batch)
+        rows = reports.context_lines(contexts).where("line LIKE '[SCANNER%'").orderBy("batch_id", "line_no").collect()
+        return contexts.count(), [r["batch_id"] for r in rows], [r["line"] for r in rows]
 
-    assert len(signal_lines()) == 18
-    monkeypatch.setattr(reports, "SHARED_SIGNALS", 3)
-    assert signal_lines() == [f"[SCANNER_SIGNATURE] [ERROR] nikto {n} | x1" for n in names]
+    every = [f"[SCANNER_SIGNATURE] [ERROR] nikto {n} | x1" for n in names]
+    assert signal_lines(1000) == (3, [0] * 6, every)
+    assert signal_lines(2) == (3, [0, 0, 1, 1, 2, 2], every)
+    assert signal_lines(1) == (6, list(range(6)), every)  # three batches without patterns
+
+
+def test_header_counts_other_levels_together(ingested):
+    store = ingested([STAMP.format(0, i, level, "x") for i, level in enumerate(["odd", "error", "rare", "rare"])])
+    assert reports.DatasetFacts.of(store).levels_json == '{"error":1} (other levels: 2 kinds, 3 rows)'
 
 
 def test_root_cause_report_cap(ingested):
@@ -317,7 +326,7 @@ def test_entry_list(levels_table):
 
 
 def test_full_analysis(store):
-    full = analysis.analyze(store)
+    full = analysis.analyze(store, rule_model)
     assert full.classification.summary().head()["dominant_category"] == "Request Processing"
     rows = full.timeline.events.orderBy("sequence").collect()
     assert [(r["sequence"], r["severity"]) for r in rows] == [(1, "error")]
@@ -331,26 +340,78 @@ def test_full_analysis(store):
 
 def test_timeline_without_problem_patterns(ingested):
     store = ingested([STAMP.format(0, 0, "info", "fine")])
-    result = analysis.timeline(store, "errors", 8)
+    result = analysis.timeline(store, rule_model, "errors", 8)
     assert result.responses.count() == 1
     assert "Error/Warning patterns: 0" in result.responses.head()["user_prompt"]
-    assert analysis.root_cause(store).report.count() == 1
+    assert analysis.root_cause(store, rule_model).report.count() == 1
+
 
+def kinds(ingested, n=9):
+    return ingested([STAMP.format(0, i, "error", f"kind {c}") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz"[:n])])
 
-def test_many_reports_are_merged_in_rounds(spark, ingested, monkeypatch):
-    names = "abcdefghijklmnopqrstuvwxyz"[:9]
-    store = ingested([STAMP.format(0, i, "error", f"kind {n}") for i, n in enumerate(names)])
-    monkeypatch.setattr(analysis, "ROOT_CAUSE_BATCH", 1)
-    monkeypatch.setattr(analysis, "SYNTHESIS_FAN_IN", 4)
-    result = analysis.root_cause(store)
+
+def test_many_reports_are_merged_in_rounds(ingested):
+    result = analysis.root_cause(kinds(ingested), rule_model, batch_size=1, fan_in=4)
     stages = {r["stage"]: r["count"] for r in result.responses.groupBy("stage").count().collect()}
-    assert stages == {"root_cause": 9, "root_cause_synthesis": 3 + 1}
+    # Groups of four, four and one; the one needs no call.
+    assert stages == {"root_cause": 9, "root_cause_synthesis": 2 + 1}
     assert result.report.count() == 1
 
 
+def sulking(requests: pd.DataFrame) -> pd.DataFrame:
+    """The rule model, with an unreadable answer about kind b and none about kind c."""
+    done = rule_model(requests)
+    section = requests["user_prompt"].str.split("=== CHRONOLOGICAL").str[0]
+    text = done["text"].mask(section.str.contains("kind b"), "{cut").mask(section.str.contains("kind c"), "")
+    return done.assign(text=text)
+
+
+@pytest.mark.parametrize("stage", ["classify", "timeline", "root_cause"])
+def test_lost_answers_are_told(ingested, stage):
+    store = kinds(ingested, 5)
+    run = getattr(analysis, stage)
+    extra = {"focus_on": "errors"} if stage == "timeline" else {}
+    if stage == "root_cause":
+        extra = {"fan_in": 50}
+
+    def garble(requests):
+        done = rule_model(requests)
+        first = requests["user_prompt"].str.contains("kind b") & ~requests["user_prompt"].str.contains("SYNTH")
+        return done.assign(text=done["text"].mask(first, "{cut"))
+
+    with pytest.raises(LostAnswers):
+        run(store, garble, batch_size=2, **extra)
+
+
+def test_kept_batches_are_listed(ingested):
+    store = kinds(ingested, 5)
+    done = analysis.classify(store, sulking, batch_size=1, on_failed="keep")
+    assert {(r["batch_id"], r["status"]) for r in done.failed.collect()} == {(1, "unreadable"), (2, "no_answer")}
+    assert done.classified.count() == 5
+    timeline = analysis.timeline(store, rule_model, "errors", batch_size=2)
+    assert timeline.events.count() == 3 and timeline.summaries.count() == 3 and timeline.failed.count() == 0
+    meta = timeline.metadata.head()
+    assert (meta["total_logs_analyzed"], meta["unique_patterns_used"], meta["focus"], meta["events_generated"]) == (5, 5, "errors", 3)
+
+
+def picky(requests: pd.DataFrame) -> pd.DataFrame:
+    if (requests["user_prompt"] == "bad").any():
+        raise RuntimeError("bad prompt")
+    return echo(requests)
+
+
+def backup(requests: pd.DataFrame) -> pd.DataFrame:
+    return echo(requests).assign(text="backup")
+
+
+def test_fallback_is_per_prompt(spark):
+    rows = ask(requests(spark, ["a", "bad", "c"]), [picky, backup], parallelism=1).orderBy("batch_id").collect()
+    assert [(r["text"], r["model_ord"]) for r in rows] == [("a", 0), ("backup", 1), ("c", 0)]
+
+
 def test_classify_covers_every_generated_pattern(spark):
     store = LogStore.ingest(parse(generate(spark, 800, 4), "apache"))
-    done = analysis.classify(store)
+    done = analysis.classify(store, rule_model)
     assert done.classified.count() == store.patterns.count()
     assert done.totals().head()["total_logs_represented"] == 800
     shares = done.distribution().agg(F.sum("percentage")).head()[0]

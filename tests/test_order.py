@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 
 from siltlog.operators import chains, context, sampling, select
 from siltlog.operators.order import (
+    _in_ranges,
     dense_index,
     halo_frame,
     own_block,
+    lower_bound,
     rows_at_ranks,
+    running_sum,
     with_halo,
+    with_log_date,
     with_positions,
 )
 from siltlog.operators.sampling import equal_step_ranks
+from siltlog.session import materialize
 from siltlog.sources.formats import parse
-from siltlog.sources.generator import generate, generate_lines
+from tests.generator import generate, generate_lines
 from siltlog.sources.store import LogStore
 
 LEVELS = ["info", "notice", "warn", "error", "crit", "debug", "unknown", "warning", "critical"]
@@ -33,9 +38,7 @@ def random_levels(seed, n=400):
 def test_positions_with_ties_and_undated_rows(spark, numbered):
     stamp = "[Sun Dec 04 04:47:{:02d} 2005] [info] x{}"
     lines = [stamp.format(i * 7 % 5, i) if i % 4 else f"undated {i}" for i in range(200)]
-    positioned, cached = with_positions(parse(numbered(lines), "apache"), partitions=7)
-    rows = positioned.orderBy("pos").collect()
-    cached.unpersist()
+    rows = with_positions(parse(numbered(lines), "apache"), partitions=7).orderBy("pos").collect()
     order = sorted(range(200), key=lambda i: (i % 4 == 0, (i * 7 % 5) if i % 4 else 0, i))
     assert [r["pos"] for r in rows] == list(range(200))
     assert [r["line_number"] - 1 for r in rows] == order
@@ -43,10 +46,34 @@ def test_positions_with_ties_and_undated_rows(spark, numbered):
 
 def test_one_timestamp_is_spread_over_tasks(spark, numbered):
     lines = ["[Sun Dec 04 04:47:44 2005] [info] same"] * 4000
-    positioned, cached = with_positions(parse(numbered(lines), "apache"), partitions=8)
-    sizes = positioned.groupBy(F.spark_partition_id()).count().collect()
-    cached.unpersist()
-    assert len(sizes) > 4 and max(r["count"] for r in sizes) < 2000
+    table = materialize(with_log_date(parse(numbered(lines), "apache")), "same-second")
+    ranged, count = _in_ranges(table, [F.unix_micros("ts"), F.col("line_number")], 8)
+    sizes = ranged.groupBy("_range").count().collect()
+    assert count == 8 and len(sizes) == 8 and max(r["count"] for r in sizes) < 1000
+    rows = with_positions(table, partitions=8).orderBy("pos").select("pos", "line_number").collect()
+    assert [(r["pos"], r["line_number"]) for r in rows] == [(i, i + 1) for i in range(4000)]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 50])
+def test_running_sum(spark, ranges):
+    df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "k long, v long")
+    rows = running_sum(df, [F.col("k")], "v", "total", ranges).orderBy("k").collect()
+    total = 0
+    for row in rows:
+        total += row["v"]
+        assert row["total"] == total
+
+
+def test_lower_bound(spark):
+    df = spark.createDataFrame([([], 3), ([5], 5), ([1, 3, 5], 4), ([1, 3, 5], 9), (None, 1)], "a array<long>, x long")
+    assert [r[0] for r in df.select(lower_bound(F.col("a"), F.col("x"))).collect()] == [0, 0, 2, 3, None]
+
+
+def test_many_wanted_ranks(levels_table):
+    df = levels_table(["x"] * 3000)
+    wanted = list(range(0, 3000, 2))
+    found = rows_at_ranks(df, [(r, r) for r in wanted], rows=64)
+    assert sorted(r["rank"] for r in found.collect()) == wanted
 
 
 @pytest.mark.parametrize("rows", [1, 3, 64, 10_000])

@@ -35,6 +35,7 @@ def test_filters_reach_the_scan(inputs):
     text = plan(select.by_time_range(select.by_level(inputs.logs, "warn"), "2024-01-05T00:00:00Z", "2024-01-06T00:00:00Z"))
     pushed = re.search(r"PushedFilters: (.*)", text).group(1)
     assert "EqualTo(level,warn)" in pushed and "GreaterThanOrEqual(ts" in pushed
+    assert "log_date" in re.search(r"PartitionFilters: (.*)", text).group(1)
 
 
 def test_page_reads_by_position(inputs):
@@ -94,3 +95,33 @@ def test_queries_import_without_a_session():
 def test_dense_rank_of_levels(inputs):
     total = inputs.logs.groupBy("level").agg(F.count("*").alias("n")).agg(F.sum("n")).head()[0]
     assert total == inputs.events.count()
+
+
+def test_lines_survive_other_splits(spark, tmp_path):
+    """The text is read once: later changes of the split size, or of the files, lose nothing."""
+    from siltlog.sources.lines import read_lines
+
+    (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(10_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        lines = read_lines(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        (tmp_path / "a.log").write_text("gone")
+        rows = lines.orderBy("line_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["line_number"], r["value"]) for r in rows] == [(i + 1, f"line {i}") for i in range(10_000)]
+
+
+def test_ingest_leaves_no_stage(spark, tmp_path):
+    import os
+
+    from siltlog.sources.store import LogStore
+
+    (tmp_path / "a.log").write_text('10.0.0.1 - - [04/Dec/2005:04:47:44 +0000] "GET / HTTP/1.1" 200 12 "-" "curl"\n' * 20)
+    store = LogStore.ingest_file(spark, str(tmp_path / "a.log"), str(tmp_path / "store"))
+    assert sorted(os.listdir(tmp_path / "store")) == ["logs", "patterns"]
+    row = store.logs.head()
+    assert (row["ip"], row["size"], row["user_agent"], store.logs.count()) == ("10.0.0.1", 12, "curl", 20)

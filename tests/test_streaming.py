@@ -8,10 +8,10 @@ from siltlog.sources.store import LogStore
 from siltlog.streaming.ingest import (
     finalize,
     parse_stream,
-    start_counts_sink,
+    read_counts,
+    start_counts,
     start_ingest,
     stream_lines,
-    tumbling_counts,
 )
 
 STAMP = "[Sun Dec 04 {:02d}:{:02d}:00 2005] [{}] message {}"
@@ -39,12 +39,17 @@ def test_ingest_over_restarts_equals_batch(spark, tmp_path):
     assert len(streamed) == 121
 
 
-def test_counts_are_emitted_once_the_watermark_passes(spark, tmp_path):
+def test_counts_hold_late_lines_and_the_end(spark, tmp_path):
     folder, sink, state = tmp_path / "in", str(tmp_path / "sink"), str(tmp_path / "state")
-    write(folder, "a.log", lines(0, 300) + ["loose"])
-    counts = tumbling_counts(parse_stream(stream_lines(spark, str(folder)), "apache"))
-    start_counts_sink(counts, sink, state).awaitTermination()
-    got = spark.read.parquet(sink)
-    # Last row at 04:59, one hour of lateness: windows that end by 03:59 are closed.
-    assert got.agg(F.sum("n")).head()[0] == 3 * 60 + 45
-    assert got.select("bucket").distinct().count() == 15
+
+    def run():
+        start_counts(parse_stream(stream_lines(spark, str(folder)), "apache"), sink, state).awaitTermination()
+
+    write(folder, "a.log", lines(200, 100) + ["loose"])
+    run()
+    write(folder, "b.log", lines(0, 200))  # hours late
+    run()
+    got = read_counts(spark, sink)
+    assert got.agg(F.sum("n")).head()[0] == 300
+    assert got.select("bucket").distinct().count() == 20
+    assert got.where("bucket = timestamp '2005-12-04 03:15:00' AND level = 'warn'").head()["n"] == 10
