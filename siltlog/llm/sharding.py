@@ -259,4 +259,4 @@ def rewrite_shards(
     placed = unpack(apply_plan(todo, plan), ["shard", "slot"]).drop("input_shard")
     placed.withColumn("_folder", F.col("shard")).write.partitionBy("_folder").parquet(path)
     kept = manifest.where(~F.col("shard").isin(changed))
-    return _manifest(spark.read.parquet(path), path, kept), plan
+    return _manifest(spark.read.schema(placed.schema).parquet(path), path, kept), plan
