@@ -3,7 +3,7 @@
 Two first-order models, one of random strings and one of ordinary identifiers,
 are counted from labelled samples. A long token whose log-likelihood ratio
 between the two is high enough is a secret, whatever it looks like. Everything is
-column expressions; the model is a constant array of at most 65 * 65 weights.
+column expressions; the model is a constant array of 67 * 67 weights.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ LEAST_VALUE = 6
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _CLASSES = len(ALPHABET) + 1  # the last is any other character
+PAIRS = _CLASSES**2
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{5,}"
 THRESHOLD = 10.0
@@ -123,7 +124,7 @@ def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Weights ``[previous * 65 + next]`` of the log-likelihood ratio, from labelled
+    """Weights ``[previous * 67 + next]`` of the log-likelihood ratio, from labelled
     strings ``sample, random``.
 
     Pairs of characters are counted by grouped aggregation; the driver sees the
@@ -147,7 +148,7 @@ def train(samples: DataFrame) -> list[float]:
         seen[random][place.get(pair[0], _CLASSES - 1)][place.get(pair[1], _CLASSES - 1)] += n
         labels.add(random)
     if len(labels) < 2:
-        return [0.0] * _CLASSES**2
+        return [0.0] * PAIRS
     weights = []
     for a in range(_CLASSES):
         yes, no = seen[True][a], seen[False][a]
