@@ -57,7 +57,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_addressed_archive")
+_OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest FROM pages
+)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(sha1(body), (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> newest THEN newest END AS refers_to, TRUE AS verified
+FROM p
+"""
+
+
+@query("op8_addressed_archive", _OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as an archive and read back."""
     return warc.archived(table(spark, sf_dir, "pages")).select(
@@ -65,7 +78,33 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_positional_index")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP9_SQL = rf"""
+WITH item AS (
+  SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
+  FROM item, unnest(range(1, len(w) - least(10, len(w)) + 2)) r(i) WHERE len(w) > 0
+), doc AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), gram AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM doc, (SELECT DISTINCT n FROM win), unnest(range(1, len(w) - n + 2)) r(i)
+), hit AS (
+  SELECT doc_id, i, n, item_id FROM gram JOIN win USING (n, s)
+), pos AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, range(10) r(k) WHERE k < n GROUP BY doc_id
+), ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
+@query("op9_positional_index", _OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, hit words and benchmark items of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -80,7 +119,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_star_minhash")
+_OP10_SQL = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+  FROM doc, unnest(range(1, len(w) - least(5, len(w)) + 2)) r(i) WHERE len(w) > 0
+), size AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), least_id AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least_id LEFT JOIN size USING (doc_id)
+"""
+
+
+@query("op10_star_minhash", _OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
