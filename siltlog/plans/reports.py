@@ -31,6 +31,7 @@ from siltlog.schema import NAMED_LEVELS, ROOT_CAUSE_PATTERN_CAP, ROOT_CAUSE_SAMP
 from siltlog.session import materialize
 from siltlog.sources.store import LogStore
 
+# The section titles below are fixed values.
 SIGNALS_PER_BATCH = 1000
 CONTEXT_COLUMNS = ("pos", "id", "ts", "level", "message", "fingerprint")
 

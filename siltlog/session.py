@@ -33,17 +33,30 @@ def working_path(spark: SparkSession, name: str) -> str:
     return f"{working_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
     Cuts lineage durably and gives the optimizer the real size, so that joins
-    against the result are broadcast only when it is below the threshold.
+    against the result are broadcast only when it is below the threshold. Results
+    read these tables, so they stay until :func:`release` is called.
     """
     path = working_path(df.sparkSession, name)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the working tables of this application, once no result needs them."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder this library has written, on whatever file system it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -125,3 +125,13 @@ def test_ingest_leaves_no_stage(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "store")) == ["logs", "patterns"]
     row = store.logs.head()
     assert (row["ip"], row["size"], row["user_agent"], store.logs.count()) == ("10.0.0.1", 12, "curl", 20)
+
+
+def test_release_deletes_working_tables(spark, monkeypatch, tmp_path):
+    import os
+
+    from siltlog import session
+
+    monkeypatch.setattr(session, "_WRITTEN", {})
+    path = session.materialize(spark.range(3).toDF("x"), "scrap").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and session.release(spark) == 1 and not os.path.exists(path)
