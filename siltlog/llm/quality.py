@@ -141,8 +141,8 @@ def _strength(sites: DataFrame, parent: Column) -> float:
     return float(min(max(spread["binomial"] / spread["n"] / between - 1, STRENGTH[0]), STRENGTH[1]))
 
 
-def _scored(docs: DataFrame, model: Classifier, host: Column, path: Column, text: str) -> DataFrame:
-    rows = pack(docs, host=host, path=path, evidence=model.evidence(F.col(text)))
+def _scored(docs: DataFrame, model: Classifier, host: Column, path: Column, text: str, keep: Sequence[str]) -> DataFrame:
+    rows = pack(docs, keep, host=host, path=path, evidence=model.evidence(F.col(text)))
     q = _posterior(F.col("evidence") + F.lit(_logit(model.prior)))
     return rows.withColumn("q", F.round(q * UNIT).cast("long"))
 
@@ -176,16 +176,24 @@ def judge(
     text: str = "text",
     threshold: float = THRESHOLD,
     most_labelled: int = MOST_LABELLED,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``evidence, host_rate, path_rate, score double`` and ``kept boolean``.
+    """``docs`` (or its columns ``keep``) with ``evidence, host_rate, path_rate, score double`` and ``kept boolean``.
 
     ``score`` is the posterior that a document is good; it is kept at
     ``threshold`` or above. Null and empty texts are judged as empty ones; a null
     host or path is one of its own. Rates lie between 1 % and 99 %. Input columns
     named like an added one come back as ``input_<name>``. No rows give no rows.
+
+    With the text among the returned columns the texts are read twice, so that no
+    copy of them is written; without it the scores are stored.
     """
-    scored = _scored(docs, fit(docs, labels, label, most_labelled), host, path, text)
-    light = materialize(scored.select("host", "path", "q"), "posteriors")
+    keep = docs.columns if keep is None else list(keep)
+    scored = _scored(docs, fit(docs, labels, label, most_labelled), host, path, text, keep)
+    if text in keep:
+        light = materialize(scored.select("host", "path", "q"), "posteriors")
+    else:
+        light = scored = materialize(scored, "posteriors")
     return _with_sites(scored, site_rates(light), threshold)
 
 

@@ -201,7 +201,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality posterior of every document, with the source as host and the language as path."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     host, path = quality.document_sites(docs)
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"), host, path)
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"), host, path, keep=["doc_id"])
     return judged.select("doc_id", "evidence", "host_rate", "path_rate", "score", "kept")
 
 

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def pack(df: DataFrame, **added: Column) -> DataFrame:
-    """All of ``df`` as the one column ``row``, and ``added`` next to it.
+def pack(df: DataFrame, keep: Sequence[str] | None = None, /, **added: Column) -> DataFrame:
+    """All of ``df``, or its columns ``keep``, as the one column ``row``, and ``added`` next to it.
 
     No name an operator uses can then clash with a column of the caller.
     """
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in added.items()])
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias("row"), *[c.alias(n) for n, c in added.items()])
 
 
 def unpack(df: DataFrame, added: Sequence[str] = ()) -> DataFrame:
