@@ -4,10 +4,15 @@ One hash of every shingle is all a document costs: its top bits choose a bin, th
 smallest value of a bin is the bin's entry, and empty bins copy a full one that
 a hash of the bin's number finds (optimal densification). Runs of entries are
 band keys. In each bucket of a band only the edges of a star are tried: every
-document against one centre. Where a bucket still holds several components
-afterwards, its documents outside the largest one become centres in turn, so
-no pair that shares a bucket and may still join two components goes untested.
-All links are confirmed on full shingle sets.
+document against one centre, the one that shares the most buckets with others.
+
+A star alone would lose links between two documents of a bucket when one of them
+is unlike the centre ``c``. Such documents ``x`` and ``y`` have at most
+``min(|x & c|, |y & c|)`` shingles in common inside the centre, and outside it at
+most as many as either of them shares with documents of other components.
+Pairs of one star that this bound and their sizes leave possible are tested too,
+so no link of two documents that meet in a bucket is lost. All links are
+confirmed on full shingle sets.
 
 Documents with the same set are one node from the start, so copies never meet in
 a bucket. Links, components and sets stay in tables.
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siltlog.llm import words as W
 from siltlog.llm.graph import components
@@ -30,7 +35,6 @@ PERCENT = 75
 BANDS = 32
 BAND_ROWS = 4
 BINS = BANDS * BAND_ROWS
-CENTRES = 32
 BROADCAST_ROWS = 500_000
 
 _ODD = W.mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -146,13 +150,19 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_signatures, f"{keys}, n_shingles long, node long, node_check long, bands array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``u, v`` whose full sets are at least 75 % alike."""
-    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
-    two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
-    both = F.size(F.array_intersect("su", "sv")).cast("long")
-    union = F.size("su") + F.size("sv") - both
-    return pairs.join(two, "v").join(one, "u").where(100 * both >= PERCENT * union).select("u", "v")
+def _common(pairs: DataFrame, sets: DataFrame, extra: bool = False) -> DataFrame:
+    """Add to pairs ``c, m`` the sizes ``nc, nm``, the shingles in ``both``, whether they
+    are ``linked``, and with ``extra`` the shingles of ``m`` outside ``c``."""
+    one = sets.select(F.col("node").alias("c"), F.col("shingles").alias("sc"))
+    two = sets.select(F.col("node").alias("m"), F.col("shingles").alias("sm"))
+    joined = pairs.join(two, "m").join(one, "c")
+    outside = F.array_except("sm", "sc")
+    found = joined.select("c", "m", F.size("sc").alias("nc"), F.size("sm").alias("nm"), outside.alias("extra"))
+    both = (F.col("nm") - F.size("extra")).cast("long")
+    found = found.withColumn("both", both).withColumn(
+        "linked", 100 * F.col("both") >= PERCENT * (F.col("nc") + F.col("nm") - F.col("both"))
+    )
+    return found if extra else found.drop("extra")
 
 
 def _sets_of(docs: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -164,36 +174,67 @@ def _sets_of(docs: DataFrame, sigs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(texts.mapInArrow(_sets, "node long, shingles array<long>"), "shingle-sets")
 
 
-def _more_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame, used: DataFrame, sizes: DataFrame):
-    """Centres and pairs of the next round: per bucket that holds several components,
-    some documents outside its largest one that were no centre yet, against all
-    documents of other components. Returns ``bucket, node`` and ``u, v``."""
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    placed = materialize(placed.join(mixed, "bucket", "left_semi"), "mixed-buckets")
-    held = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = held.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top")).select("bucket", F.col("top.root").alias("main"))
-    free = placed.join(largest, "bucket").where("root <> main").join(used, ["bucket", "node"], "left_anti")
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-    centres = materialize(
-        free.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= CENTRES).select("bucket", "node", "root"), "centres"
-    )
-    spokes = placed.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    pairs = (
-        centres.join(spokes, "bucket")
-        .where("root <> other_root")
-        .select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"))
-        .distinct()
+def _star_edges(members: DataFrame) -> DataFrame:
+    """``c, m``: each member of a bucket with the bucket's centre.
+
+    ``members`` is ``bucket, node, held`` with the size of the bucket. The centre has
+    the largest buckets in sum: what a group of near copies has in common is
+    what most of its members share, so the least edited one meets the most.
+    """
+    weight = members.groupBy("node").agg(F.sum("held").alias("weight"))
+    weighed = members.join(weight, "node")
+    centre = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top"))
+    chosen = weighed.join(centre.select("bucket", F.col("top.node").alias("c")), "bucket")
+    return chosen.where("node <> c").select("c", F.col("node").alias("m")).distinct()
+
+
+def _could_link(common: Column, one: Column, other: Column) -> Column:
+    """Whether sets of two sizes could be alike enough with so many shingles in common."""
+    return (100 + PERCENT) * common >= PERCENT * (one + other)
+
+
+def _open_members(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of stars that still hold several components, one of them unlike the centre."""
+    placed = stars.join(roots.withColumnRenamed("node", "m"), "m", "left").withColumn("root", F.coalesce("root", "m"))
+    open_ = placed.groupBy("c").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("nm").alias("least"), F.min("linked").alias("all")
     )
-    return centres, _alike_in_size(pairs, sizes).join(tested, ["u", "v"], "left_anti")
+    open_ = open_.where("lo <> hi AND NOT all").select("c", "least")
+    return placed.join(open_, "c")
+
+
+def _possible_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``c, m`` of members of one star and different components that could be linked.
+
+    A member's outside shingles count when several components hold them. Members
+    that could be linked with no other, however their shingles fall, go first; of
+    the rest those outside the star's largest component meet the others.
+    """
+    tokens = members.select("c", "m", "root", F.explode("extra").alias("token"))
+    shared = tokens.groupBy("c", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    more = tokens.join(shared.select("c", "token"), ["c", "token"]).groupBy("c", "m").agg(F.count("*").alias("more"))
+    able = members.drop("extra").join(more, ["c", "m"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    able = materialize(able.where(_could_link(F.col("both") + F.col("more"), F.col("nm"), F.col("least"))), "able")
+    held = able.groupBy("c", "root").agg(F.count("*").alias("n"))
+    main = held.groupBy("c").agg(F.max(F.struct("n", "root")).alias("top")).select("c", F.col("top.root").alias("main"))
+
+    def side(rows: DataFrame, end: str) -> DataFrame:
+        return rows.select("c", *[F.col(name).alias(name + end) for name in ("m", "nm", "both", "more", "root")])
 
+    one, two = side(able.join(main, "c").where("root <> main"), "1"), side(able, "2").withColumnRenamed("c", "c2")
+    common = F.least("both1", "both2") + F.least("more1", "more2")
+    fits = _could_link(common, F.col("nm1"), F.col("nm2")) & (F.col("root1") != F.col("root2"))
+    pairs = one.join(two, (F.col("c") == F.col("c2")) & fits)
+    return pairs.select(F.least("m1", "m2").alias("c"), F.greatest("m1", "m2").alias("m")).distinct()
 
-def _alike_in_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Drop pairs whose sizes alone rule the similarity out."""
-    one = sizes.select(F.col("node").alias("u"), F.col("n_shingles").alias("nu"))
-    two = sizes.select(F.col("node").alias("v"), F.col("n_shingles").alias("nv"))
-    near = 100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")
-    return pairs.join(one, "u").join(two, "v").where(near).select("u", "v")
+
+def _joined(links: DataFrame | None, tested: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add the links among tested pairs, and the components if there are any."""
+    fresh = materialize(tested.where("linked").select(F.col("c").alias("u"), F.col("m").alias("v")), "links")
+    if fresh.isEmpty():
+        return links, roots
+    links = fresh if links is None else links.unionByName(fresh)
+    return links, materialize(components(links), "roots")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,29 +250,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     sigs = materialize(signatures(docs), "signatures")
     nodes = sigs.where("node IS NOT NULL")
-    slots = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    members = slots.join(shared.select("bucket", "lo"), "bucket").distinct()
-    members = materialize(members, "buckets")
-    sizes = materialize(members.select("node", "n_shingles").distinct(), "sizes")
-    sets = _sets_of(docs, nodes, sizes.select("node"))
-    star = members.where("node <> lo").select(F.col("lo").alias("u"), F.col("node").alias("v")).distinct()
-    tested = materialize(_alike_in_size(star, sizes), "tested")
-    links = materialize(_confirmed(tested, sets), "links")
-    roots = materialize(components(links), "roots")
-    members = members.select("bucket", "node")
-    spark = docs.sparkSession
-    used = spark.createDataFrame([], "bucket long, node long")
-    while True:
-        centres, pairs = _more_pairs(members, roots, tested, used, sizes)
-        if centres.isEmpty():
-            break
-        pairs = materialize(pairs, "tested")
-        fresh = materialize(_confirmed(pairs, sets), "links")
-        tested, used = tested.unionByName(pairs), used.unionByName(centres.select("bucket", "node"))
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            roots = materialize(components(links), "roots")
+    slots = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = slots.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("held"))
+    shared = shared.where("lo <> hi").select("bucket", "held")
+    members = materialize(slots.join(shared, "bucket").distinct(), "buckets")
+    sets = _sets_of(docs, nodes, members.select("node").distinct())
+    stars = materialize(_common(_star_edges(members), sets, extra=True), "stars")
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    links, roots = _joined(None, stars, roots)
+    pairs = materialize(_possible_pairs(materialize(_open_members(stars, roots), "open-stars")), "pairs")
+    links, roots = _joined(links, _common(pairs, sets), roots)
     placed = sigs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialize(placed.select("doc_id", "n_shingles", "root"), "placed")
     names = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
