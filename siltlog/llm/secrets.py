@@ -25,12 +25,10 @@ LEAST_VALUE = 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _CLASSES = len(ALPHABET) + 1  # the last is any other character
 PAIRS = _CLASSES**2
+_OTHER = "."
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{5,}"
 THRESHOLD = 10.0
-MOST_SAMPLES = 20_000
-SAMPLE_LENGTH = 64
-SAMPLE_TEXTS = 2_000
 _BLOCK = 128
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -102,45 +100,37 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``sample, random``: values that the fixed patterns find in all texts, and
-    identifiers of at most ``SAMPLE_TEXTS`` texts, chosen by hash. At most
-    ``MOST_SAMPLES`` of each, chosen by hash too."""
+    """``sample, random``: the values that the fixed patterns find and the other
+    identifiers, of all texts and at full length, each once a label."""
     values = []
     for pattern, group in ((ASSIGN, 1), (ACCESS, 0), (HEX, 0)):
         found = F.when(F.col(text).rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
-        values.append(docs.select(F.explode(found).alias("sample")).where(F.length("sample") >= 20))
+        values.append(docs.select(F.explode(F.array_distinct(found)).alias("sample")).where(F.length("sample") >= 20))
     random = values[0].unionByName(values[1]).unionByName(values[2])
-    order = F.xxhash64(*[c for c in docs.columns if c != text])
-    first = docs.select(order.alias("h")).orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h")).head()[0]
-    some = docs.where(order <= F.lit(first if first is not None else 0))
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)))).alias("sample"))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)))).alias("sample"))
     ordinary = words.where(~F.col("sample").rlike(f"^({ACCESS}|{HEX})"))
-
-    def bounded(samples: DataFrame, label: bool) -> DataFrame:
-        short = samples.select(F.substring("sample", 1, SAMPLE_LENGTH).alias("sample")).distinct()
-        return short.orderBy(F.xxhash64("sample"), "sample").limit(MOST_SAMPLES).withColumn("random", F.lit(label))
-
-    return bounded(random, True).unionByName(bounded(ordinary, False))
+    return random.withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False))).distinct()
 
 
 def train(samples: DataFrame) -> list[float]:
     """Weights ``[previous * 67 + next]`` of the log-likelihood ratio, from labelled
     strings ``sample, random``.
 
-    Pairs of characters are counted by grouped aggregation; the driver sees the
-    pair counts. Half a count is added to each pair. Without samples of either
-    label the models are the same and every weight is zero.
+    Pairs of characters are counted by grouped aggregation, all other characters as
+    one; the driver sees at most 67 * 67 counts of each label. Half a count is added
+    to each pair. Without samples of either label the models are the same and every
+    weight is zero.
     """
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.substring("sample", i, F.lit(2))
+    # Split once: substring would look for its place from the start of the string every time.
+    chars = samples.where(F.length("sample") >= 2).select(
+        "random", F.split(F.regexp_replace("sample", "[^A-Za-z0-9+/_-]", _OTHER), "").alias("chars")
     )
-    counts = (
-        samples.where(F.length("sample") >= 2)
-        .select("random", F.explode(pairs).alias("pair"))
-        .groupBy("random", "pair")
-        .count()
-        .collect()
+    pairs = F.zip_with(
+        F.slice("chars", F.lit(1), F.size("chars") - 1),
+        F.slice("chars", F.lit(2), F.size("chars") - 1),
+        lambda a, b: F.concat(a, b),
     )
+    counts = chars.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count().collect()
     place = {c: k for k, c in enumerate(ALPHABET)}
     seen = {label: [[0.5] * _CLASSES for _ in range(_CLASSES)] for label in (True, False)}
     labels = set()

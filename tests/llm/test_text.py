@@ -1,5 +1,6 @@
 """Secrets, personal data, quality and quotes."""
 
+import math
 import random
 import re
 
@@ -54,6 +55,38 @@ def test_markov_models_tell_secrets_from_identifiers(spark):
     assert secrets.train(samples.where("false")) == [0.0] * secrets.PAIRS
 
 
+def test_samples_are_of_all_texts_at_full_length(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh_", k=12)) for _ in range(10))) for i in range(2_500)]
+    rows.append((2_500, f"{'long_' * 40} token={'Q7' * 60}"))
+    want = {w for _, t in rows for w in re.findall(r"[A-Za-z_][A-Za-z0-9_-]{5,}", t)}
+    samples = secrets.labelled_samples(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = [(r["sample"], r["random"]) for r in samples.collect()]
+    assert len(want) > 20_000 and len(found) == len(set(found)) and set(found) == {(w, False) for w in want} | {("Q7" * 60, True)}
+
+
+def test_pairs_of_long_and_other_strings_are_all_counted(spark):
+    rows = [("ab" * 100 + "é\n😀.", True), ("x" * 200_000, False)]
+    weights = secrets.train(spark.createDataFrame(rows, "sample string, random boolean"))
+    n, place = secrets._CLASSES, secrets.ALPHABET.index
+    a, b, x, other = place("a"), place("b"), place("x"), n - 1
+    assert weights[a * n + b] == pytest.approx(math.log(100.5 / (100 + n / 2) * n))
+    assert weights[other * n + other] == pytest.approx(math.log(3.5 / (3 + n / 2) * n))
+    assert weights[x * n + x] == pytest.approx(-math.log(199_999.5 / (199_999 + n / 2) * n))
+
+
+def test_recall_of_the_model_as_trained_by_the_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    weights = secrets.train(secrets.labelled_samples(docs))
+    rng = random.Random(7)
+    for letters in (secrets.ALPHABET[:26] + "0123456789", secrets.ALPHABET[:62]):
+        hidden = [(i, f"see {''.join(rng.choices(letters, k=32))} there") for i in range(300)]
+        found = secrets.find_secrets(spark.createDataFrame(hidden, "doc_id long, text string"), weights)
+        assert found.where("n_markov > 0").count() >= 291
+    # Tokens of the corpus itself are told apart as well.
+    assert secrets.find_secrets(docs.where("doc_id % 10 = 0"), weights).where("n_markov > 0").count() == 0
+
+
 def test_secret_edges(spark, edges, nothing):
     assert secrets.find_secrets(edges, [0.0] * secrets.PAIRS).count() == edges.count()
     assert secrets.find_secrets(nothing, secrets.train(secrets.labelled_samples(nothing.select("doc_id", "text")))).count() == 0
