@@ -237,6 +237,11 @@ def _joined(links: DataFrame | None, tested: DataFrame, roots: DataFrame) -> tup
     return links, materialize(components(links), "roots")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``doc_id, text``.
 
@@ -244,10 +249,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least 75 % alike; components are closed under links and named by their
     smallest doc_id. A text of fewer words is one shingle; null or empty texts
     have none, are linked with nothing and are kept. Other columns are ignored.
-    Rows that repeat a doc_id are documents of their own with the same name. A
-    null doc_id names a component only when it has no other.
+    Rows that repeat a doc_id are documents of their own with the same name; if
+    several rows of a component have its name, one is kept, with its exact
+    repeats. A null doc_id names a component only when it has no other.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    return _judged(docs).drop("row_key")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """:func:`near_duplicates` with the ``row_key`` of each row."""
+    docs = docs.select("doc_id", "text", _row_key(docs).alias("row_key"))
     sigs = materialize(signatures(docs), "signatures")
     nodes = sigs.where("node IS NOT NULL")
     slots = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -261,31 +272,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = materialize(_possible_pairs(materialize(_open_members(stars, roots), "open-stars")), "pairs")
     links, roots = _joined(links, _common(pairs, sets), roots)
     placed = sigs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialize(placed.select("doc_id", "n_shingles", "root"), "placed")
-    names = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    placed = materialize(placed.select("doc_id", "row_key", "n_shingles", "root"), "placed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("least")
+    names = placed.where("root IS NOT NULL").groupBy("root").agg(first)
+    named = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row_key") == F.col("least.row_key"))
     return placed.join(names, "root", "left").select(
         "doc_id",
+        "row_key",
         "n_shingles",
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
-        (F.col("root").isNull() | F.col("doc_id").eqNullSafe(F.col("least"))).alias("kept"),
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        (F.col("root").isNull() | named).alias("kept"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, with all columns of ``docs``.
 
-    The dropped ids are broadcast only when they are counted to be few. Of rows
+    Rows are dropped by id and text, so no other row of a dropped row's id goes with
+    it. The dropped rows are broadcast only when they are counted to be few. Of rows
     that repeat a kept row's id and text one stays.
     """
-    found = materialize(near_duplicates(docs), "near-duplicates")
-    drop = materialize(found.where("NOT kept").select(F.col("doc_id").alias("_drop")).distinct(), "dropped")
-    out = docs.join(broadcast_if_small(drop, BROADCAST_ROWS), docs["doc_id"].eqNullSafe(F.col("_drop")), "left_anti")
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    found = materialize(_judged(docs), "near-duplicates")
+    keys = [F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")]
+    drop = materialize(found.where("NOT kept").select(*keys).distinct(), "dropped")
+
+    def listed(rows: DataFrame) -> Column:
+        return rows["doc_id"].eqNullSafe(F.col("_id")) & (_row_key(rows) == F.col("_key"))
+
+    out = docs.join(broadcast_if_small(drop, BROADCAST_ROWS), listed(docs), "left_anti")
+    repeated = found.where("kept").groupBy("doc_id", "row_key").count().where("count > 1").select(*keys)
     repeated = materialize(repeated, "repeated")
     if repeated.isEmpty():
         return out
     again = broadcast_if_small(repeated, BROADCAST_ROWS)
-    same = out["doc_id"].eqNullSafe(F.col("_again"))
-    return out.join(again, same, "left_anti").unionByName(
-        out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, listed(out), "left_anti").unionByName(
+        out.join(again, listed(out), "left_semi").dropDuplicates(["doc_id", "text"])
     )

@@ -75,6 +75,29 @@ def test_repeated_kept_rows_stay_once(spark):
     assert sorted(r["doc_id"] for r in neardup.deduplicated(df).collect()) == [1, 2]
 
 
+def test_rows_of_one_id_are_judged_apart(spark):
+    rows = [(2, "t"), (5, "t"), (5, "another text"), (5, "another text")]
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in kept.collect()) == [(2, "t"), (5, "another text")]
+
+    rows = [(None, "t"), (1, "t"), (None, "of no other"), (None, None), (None, "u u"), (None, "u u")]
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [
+        ("1", "t"), ("None", "None"), ("None", "of no other"), ("None", "u u"),
+    ]
+
+
+def test_one_of_several_near_copies_with_the_least_id_is_kept(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join([*base[:-1], "y"])]
+    for least in (1, None):
+        rows = [(least, texts[0]), (least, texts[1]), (least if least is None else 9, texts[2])]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        found = neardup.near_duplicates(df).collect()
+        assert [r["component_id"] for r in found] == [least] * 3 and sum(r["kept"] for r in found) == 1
+        assert [r["doc_id"] for r in neardup.deduplicated(df).collect()] == [least]
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 60)] + [(7, 7), (3, 2)]
     rows = graph.components(spark.createDataFrame(edges, "u long, v long")).collect()
