@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siltlog.llm import decontaminate, mixing, neardup, quality, sharding
 from siltlog.llm.registry import query, table
@@ -32,9 +32,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot; they come from shards by source."""
-    old = F.pmod(F.crc32(F.col("source").cast("string")), F.lit(SHARDS))
-    return sharding.reshard(docs, SHARDS, old)
+    """Documents with their shard and slot.
+
+    They come from shards by a hash of the row, so each final shard holds the sources
+    in the shares of the mix. The few copies of a document the mix took count as
+    different rows, so they do not stand next to each other.
+    """
+    copies = Window.partitionBy("doc_id", "text").orderBy("doc_id")
+    told = docs.withColumn("_copy", F.row_number().over(copies))
+    old = F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "text", "_copy"), F.lit(SHARDS))
+    return sharding.reshard(told, SHARDS, old, key=("doc_id", "text", "_copy")).drop("_copy")
 
 
 STAGES = [
