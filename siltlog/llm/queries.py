@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltlog.llm import decontaminate, kdtree, mixing, neardup, pii, quality, quotes, secrets, sharding, warc, words
+from siltlog.llm import decontaminate, kdtree, mixing, naming, neardup, pii, quality, quotes, secrets, sharding, warc, words
 from siltlog.llm.registry import query, table
 from siltlog.session import materialize
 
 # Workers may run without the package on their path.
-for module in (words, decontaminate, kdtree, neardup, pii):
+for module in (words, decontaminate, kdtree, naming, neardup, pii):
     cloudpickle.register_pickle_by_value(module)
 
 
@@ -209,3 +209,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without its quotes, with its thread."""
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+_OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+
+@query("op13_block_naming", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document."""
+    return naming.exact_groups(table(spark, sf_dir, "documents"), ["doc_id"])
