@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltlog.llm import decontaminate, kdtree, mixing, naming, neardup, pii, quality, quotes, secrets, sharding, warc, words
+from siltlog.llm import decontaminate, kdtree, mixing, naming, neardup, negatives, pii, quality, quotes, repair, secrets, sharding, warc, words
 from siltlog.llm.registry import query, table
 from siltlog.session import materialize
 
 # Workers may run without the package on their path.
-for module in (words, decontaminate, kdtree, naming, neardup, pii):
+for module in (words, decontaminate, kdtree, naming, neardup, negatives, pii, repair):
     cloudpickle.register_pickle_by_value(module)
 
 
@@ -211,6 +211,49 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
 
 
+_OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score
+  FROM v a, v c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER w <= 5
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+"""
+
+
+@query("op11_slot_negatives", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with the labels of every seventh moved on by one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_search_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with rows damaged by a checksum of their place, and their cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    repaired = repair.repair(repair.damaged(rows)).withColumnRenamed("conv_id", "repaired_id")
+    ids = rows.select("conv_id").distinct()
+    joined = ids.join(repaired, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 _OP13_SQL = f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

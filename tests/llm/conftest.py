@@ -1,9 +1,9 @@
 import pytest
 from pyspark import cloudpickle
 
-from siltlog.llm import decontaminate, kdtree, naming, neardup, pii, words
+from siltlog.llm import decontaminate, kdtree, naming, neardup, negatives, pii, repair, words
 
-for module in (words, decontaminate, kdtree, naming, neardup, pii):
+for module in (words, decontaminate, kdtree, naming, neardup, negatives, pii, repair):
     cloudpickle.register_pickle_by_value(module)
 
 # Null, empty and repeated rows, and columns named like those the operators add.
