@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from siltlog.session import materialize
+
 BLOCK_ROWS = 65536
 BLOCKS_PER_GROUP = 4096
 UNDATED = "unknown"
@@ -18,6 +20,10 @@ UNDATED = "unknown"
 RANGE_ROWS = 1 << 20
 FEW_ROWS = 10_000
 SAMPLES_PER_RANGE = 64
+# Runs whose bounds the driver may hold, runs at all, and sampled keys it may collect.
+COARSE_RANGES = 1024
+MOST_RANGES = 1 << 20
+MOST_SAMPLED = 8 * COARSE_RANGES * SAMPLES_PER_RANGE
 
 
 def with_log_date(logs: DataFrame) -> DataFrame:
@@ -45,38 +51,88 @@ def lower_bound(values: Column, at: Column) -> Column:
     return F.aggregate(steps, start, halve, lambda s: s["lo"])
 
 
+def _thinned(keyed: DataFrame, names: Sequence[str], total: int, wanted: int) -> DataFrame:
+    """About ``wanted`` keys, chosen by a hash so that they are the same on every reading."""
+    thin = max(1, total // wanted)
+    return keyed.where(F.pmod(F.xxhash64(*names), F.lit(thin)) == 0)
+
+
+def _coarse_bounds(sample: Sequence[tuple], ranges: int) -> Column | None:
+    """At most ``ranges - 1`` bounds as a literal array; none if there is nothing to split."""
+    picked = sorted(sample)
+    bounds = sorted({picked[len(picked) * i // ranges] for i in range(1, ranges)}) if picked else []
+    if not bounds:
+        return None
+    listed = ", ".join(
+        "named_struct(" + ", ".join(f"'k{i}', {v}L" for i, v in enumerate(bound)) + ")" for bound in bounds
+    )
+    return F.expr(f"array({listed})")
+
+
+def _fine_bounds(sample: DataFrame, names: Sequence[str], parts: int) -> DataFrame:
+    """``_coarse, _fine``: sorted bounds that cut each coarse range into ``parts``, found by
+    the task that holds the range's sample."""
+    held = sample.groupBy("_coarse").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("keys"))
+    place = lambda i: F.floor(F.size("keys") * i / parts).cast("int") + 1
+    picked = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.element_at("keys", place(i)))
+    return held.select("_coarse", F.array_distinct(picked).alias("_fine"))
+
+
 def _in_ranges(df: DataFrame, keys: Sequence[Column], ranges: int | None) -> tuple[DataFrame, int]:
     """Add ``_range``, the number of a run of rows in key order, and count the runs.
 
-    Bounds are taken from a hash sample of the keys, about 64 per run, so they
-    are the same whenever the rows are read and no key value, however frequent,
-    fills a run: the keys together are unique.
+    Bounds are taken from hash samples of the keys, about 64 per run, so they are
+    the same whenever the rows are read and no key value, however frequent, fills
+    a run: the keys together are unique. There are two levels. The bounds of at
+    most 1,024 coarse ranges pass through the driver and are literals of the plan; if
+    there are more runs, each coarse range is cut further by bounds that a task
+    of its own finds. Those are at most ``MOST_RANGES`` keys in all and are broadcast.
     """
     total = df.count()
     if ranges is None:
         parallel = df.sparkSession.sparkContext.defaultParallelism
         ranges = max(1, -(-total // RANGE_ROWS), min(parallel, -(-total // FEW_ROWS)))
-    named = [k.cast("long").alias(f"k{i}") for i, k in enumerate(keys)]
-    thin = max(1, total // (ranges * SAMPLES_PER_RANGE))
-    sample = df.select(*named).where(F.pmod(F.xxhash64(*[f"k{i}" for i in range(len(keys))]), F.lit(thin)) == 0)
-    picked = sorted(tuple(r) for r in sample.collect())
-    bounds = sorted({picked[len(picked) * i // ranges] for i in range(1, ranges)}) if picked else []
-    if not bounds:
+    ranges = min(ranges, MOST_RANGES)
+    names = [f"k{i}" for i in range(len(keys))]
+    named = [k.cast("long").alias(name) for k, name in zip(keys, names)]
+    coarse = min(ranges, COARSE_RANGES)
+    sample = _thinned(df.select(*named), names, total, coarse * SAMPLES_PER_RANGE).limit(MOST_SAMPLED)
+    bounds = _coarse_bounds([tuple(r) for r in sample.collect()], coarse)
+    if bounds is None:
         return df.withColumn("_range", F.lit(0)), 1
-    listed = ", ".join(
-        "named_struct(" + ", ".join(f"'k{i}', {v}L" for i, v in enumerate(bound)) + ")" for bound in bounds
-    )
-    return df.withColumn("_range", lower_bound(F.expr(f"array({listed})"), F.struct(*named))), len(bounds) + 1
+    if ranges == coarse:
+        return df.withColumn("_range", lower_bound(bounds, F.struct(*named))), coarse
+    parts = -(-ranges // coarse)
+    fine = _thinned(df.select(*named), names, total, ranges * SAMPLES_PER_RANGE)
+    fine = _fine_bounds(fine.withColumn("_coarse", lower_bound(bounds, F.struct(*names))), names, parts)
+    fine = F.broadcast(materialize(fine, "range-bounds"))
+    placed = df.withColumn("_coarse", lower_bound(bounds, F.struct(*named))).join(fine, "_coarse", "left")
+    inside = F.coalesce(lower_bound(F.col("_fine"), F.struct(*named)), F.lit(0))
+    return placed.withColumn("_range", F.col("_coarse") * parts + inside).drop("_coarse", "_fine"), coarse * parts
 
 
 def _before_ranges(ranged: DataFrame, total: Column, count: int) -> DataFrame:
-    """``_range, _start``: what the runs before each one add up to; one row per run."""
-    sums = {r["_range"]: r["_sum"] for r in ranged.groupBy("_range").agg(total.alias("_sum")).collect()}
-    starts, at = [], 0
-    for i in range(count):
-        starts.append((i, at))
-        at += sums.get(i) or 0
-    return F.broadcast(ranged.sparkSession.createDataFrame(starts, "_range int, _start long"))
+    """``_range, _start``: what the runs before each one add up to; one row per run.
+
+    A few runs are added up by the driver. Beyond that sums are taken in groups of
+    1,024 runs and over the groups; the result has at most ``MOST_RANGES`` rows.
+    """
+    sums = ranged.groupBy("_range").agg(total.alias("_sum"))
+    if count <= COARSE_RANGES:
+        known = {r["_range"]: r["_sum"] for r in sums.collect()}
+        starts, at = [], 0
+        for i in range(count):
+            starts.append((i, at))
+            at += known.get(i) or 0
+        return F.broadcast(ranged.sparkSession.createDataFrame(starts, "_range int, _start long"))
+    sums = materialize(sums.withColumn("_of", F.floor(F.col("_range") / COARSE_RANGES)), "range-sums")
+    before = (Window.unboundedPreceding, -1)
+    inside = F.sum("_sum").over(Window.partitionBy("_of").orderBy("_range").rowsBetween(*before))
+    groups = sums.groupBy("_of").agg(F.sum("_sum").alias("_held"))
+    over = F.sum("_held").over(Window.orderBy("_of").rowsBetween(*before))  # at most 1,024 rows
+    groups = groups.select("_of", F.coalesce(over, F.lit(0)).alias("_base"))
+    starts = sums.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(groups, "_of")
+    return F.broadcast(materialize(starts.select("_range", (F.col("_base") + F.col("_inside")).alias("_start")), "range-starts"))
 
 
 def global_index(df: DataFrame, keys: Sequence[Column], name: str, ranges: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltlog.operators import chains, context, sampling, select
+from siltlog.operators import chains, context, order, sampling, select
 from siltlog.operators.order import (
     _in_ranges,
     dense_index,
@@ -54,6 +54,41 @@ def test_one_timestamp_is_spread_over_tasks(spark, numbered):
     assert [(r["pos"], r["line_number"]) for r in rows] == [(i, i + 1) for i in range(4000)]
 
 
+def test_two_levels_of_bounds_give_the_same_order(spark, monkeypatch):
+    monkeypatch.setattr(order, "COARSE_RANGES", 8)
+    rng = random.Random(4)
+    keys = [(rng.choice([0, 0, 0, rng.randrange(10**6)]), i) for i in range(5000)]
+    df = spark.createDataFrame(rng.sample(keys, len(keys)), "a long, b long").repartition(6)
+    ranged, count = _in_ranges(df, [F.col("a"), F.col("b")], 200)
+    rows = ranged.collect()
+    place = {(r["a"], r["b"]): r["_range"] for r in rows}
+    order_of = [place[k] for k in sorted(keys)]
+    assert len(rows) == 5000 and order_of == sorted(order_of) and 0 <= order_of[0] and order_of[-1] < count
+    sizes = [order_of.count(r) for r in set(order_of)]
+    assert len(sizes) > 150 and max(sizes) < 150
+    indexed = order.global_index(df, [F.col("a"), F.col("b")], "i", 200).orderBy("i").collect()
+    assert [(r["a"], r["b"], r["i"]) for r in indexed] == [(*k, i) for i, k in enumerate(sorted(keys))]
+    assert running_sum(df, [F.col("a"), F.col("b")], "a", "s", 200).agg(F.max("s")).head()[0] == sum(a for a, _ in keys)
+    one = order.global_index(df.limit(1), [F.col("a"), F.col("b")], "i", 200).collect()
+    assert [r["i"] for r in one] == [0] and order.global_index(df.limit(0), [F.col("a")], "i", 200).count() == 0
+
+
+def test_driver_and_plan_stay_small_with_a_million_ranges(spark, monkeypatch):
+    df = materialize(spark.range(300_000).selectExpr("id * 7 AS a"), "many-keys")
+    seen, frame = [], type(df)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    plans = []
+    for ranges in (20_000, 1_000_000):
+        seen.clear()
+        indexed = order.global_index(df, [F.col("a")], "i", ranges)
+        assert max(map(len, seen)) <= 3 * order.COARSE_RANGES * order.SAMPLES_PER_RANGE
+        plans.append(len(indexed._jdf.queryExecution().optimizedPlan().toString()))
+    assert indexed.where("i * 7 <> a").count() == 0 and indexed.count() == 300_000
+    # Literal bounds are those of the coarse ranges, however many runs there are.
+    assert plans[1] < 1.02 * plans[0]
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 50])
 def test_running_sum(spark, ranges):
     df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "k long, v long")
