@@ -23,7 +23,7 @@ from siltlog.operators import classify as C
 from siltlog.operators import context, select
 from siltlog.operators import patterns as P
 from siltlog.plans import analysis, prompts, reports
-from siltlog.plans.model import ask, save_audit
+from siltlog.plans.model import ask, read_audit, save_audit
 from siltlog.session import working_path
 from siltlog.functions.times import iso_text
 
@@ -748,6 +748,21 @@ def audit(x):
     return records.select("stage", "batch_id", items.cast("long").alias("items"))
 
 
+@query(
+    "a16_ledger_contents",
+    _CLASSIFIED + " SELECT 'classification' AS stage, ordinal // 150 AS batch_id, id, category, confidence, severity, explanation, insight FROM clsi",
+    "access",
+)
+def ledger_contents(x):
+    """Every answer of an analysis that ran twice, from its ledger: one record a call."""
+    ledger = working_path(x.spark, "ledger")
+    for _ in range(2):
+        analysis.classify(x.store("access"), rule_model, ledger=ledger)
+    items = "array<struct<id string, category string, confidence double, severity string, explanation string, insight string>>"
+    records = read_audit(x.spark, ledger)
+    return records.select("stage", "batch_id", F.explode(F.from_json("parsed", items)).alias("item")).select("stage", "batch_id", "item.*")
+
+
 @query(
     "j5_full_analysis",
     _CLASSIFIED

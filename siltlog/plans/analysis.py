@@ -68,6 +68,7 @@ def classify_patterns(
     models: Models,
     batch_size: int = CLASSIFICATION_BATCH,
     on_failed: str = "raise",
+    ledger: str | None = None,
 ) -> Classification:
     """Classify patterns in batches and merge the answers back.
 
@@ -78,7 +79,7 @@ def classify_patterns(
     contexts = classification_contexts(batches, facts)
     prompt = prompts.classification_prompt(F.col("context"))
     responses = ask(
-        _requests(contexts, "classification", prompts.CLASSIFICATION_SYSTEM, prompt), models
+        _requests(contexts, "classification", prompts.CLASSIFICATION_SYSTEM, prompt), models, ledger=ledger
     )
     failed = failed_batches(responses, on_failed)
     results = classification_rows(responses.select("batch_id", "text"))
@@ -87,9 +88,13 @@ def classify_patterns(
 
 
 def classify(
-    store: LogStore, models: Models, batch_size: int = CLASSIFICATION_BATCH, on_failed: str = "raise"
+    store: LogStore,
+    models: Models,
+    batch_size: int = CLASSIFICATION_BATCH,
+    on_failed: str = "raise",
+    ledger: str | None = None,
 ) -> Classification:
-    return classify_patterns(store.patterns, DatasetFacts.of(store), models, batch_size, on_failed)
+    return classify_patterns(store.patterns, DatasetFacts.of(store), models, batch_size, on_failed, ledger)
 
 
 def lines_as_patterns(parsed: DataFrame) -> DataFrame:
@@ -151,6 +156,7 @@ def timeline(
     end: str | None = None,
     batch_size: int = TIMELINE_BATCH,
     on_failed: str = "raise",
+    ledger: str | None = None,
 ) -> Timeline:
     """Incident timeline over pattern batches.
 
@@ -164,7 +170,7 @@ def timeline(
     share = events_per_batch(max_events, batch_count(used, batch_size, empty_batch=True))
     contexts = timeline_contexts(store, batches, facts, start, end)
     prompt = prompts.timeline_prompt(F.col("context"), focus_on, share)
-    responses = ask(_requests(contexts, "timeline", prompts.TIMELINE_SYSTEM, prompt), models)
+    responses = ask(_requests(contexts, "timeline", prompts.TIMELINE_SYSTEM, prompt), models, ledger=ledger)
     failed = failed_batches(responses, on_failed)
     found = timeline_rows(responses.select("batch_id", "text"))
     events = materialize(merge_events(found.where(F.col("item_ord").isNotNull()), max_events), "timeline-events")
@@ -197,7 +203,9 @@ def root_cause_targets(
     return problems(patterns)
 
 
-def _synthesize(reports: DataFrame, models: Models, fan_in: int) -> tuple[DataFrame, DataFrame | None]:
+def _synthesize(
+    reports: DataFrame, models: Models, fan_in: int, ledger: str | None = None
+) -> tuple[DataFrame, DataFrame | None]:
     """Merge batch reports into one, ``fan_in`` per call and in rounds beyond that.
 
     A report that is alone in its group is passed on as it is.
@@ -214,9 +222,8 @@ def _synthesize(reports: DataFrame, models: Models, fan_in: int) -> tuple[DataFr
         )
         grouped = materialize(grouped, "report-groups")
         prompt = prompts.synthesis_prompt(F.col("context"))
-        answers = ask(
-            _requests(grouped.where("n > 1"), "root_cause_synthesis", prompts.SYNTHESIS_SYSTEM, prompt), models
-        )
+        requests = _requests(grouped.where("n > 1"), "root_cause_synthesis", prompts.SYNTHESIS_SYSTEM, prompt)
+        answers = ask(requests, models, ledger=ledger)
         failed_batches(answers)
         calls = answers if calls is None else calls.unionByName(answers)
         alone = grouped.where("n = 1").select(F.col("batch_id").alias("_group"))
@@ -236,6 +243,7 @@ def root_cause(
     batch_size: int = ROOT_CAUSE_BATCH,
     fan_in: int = FAN_IN,
     on_failed: str = "raise",
+    ledger: str | None = None,
 ) -> RootCause:
     """Root-cause report. A time range only names the scope: the patterns decide what is read.
 
@@ -254,10 +262,10 @@ def root_cause(
     else:
         contexts = pattern_batch_contexts(store, batches, facts)
     prompt = prompts.root_cause_prompt(F.col("context"), symptom)
-    responses = ask(_requests(contexts, "root_cause", prompts.ROOT_CAUSE_SYSTEM, prompt), models)
+    responses = ask(_requests(contexts, "root_cause", prompts.ROOT_CAUSE_SYSTEM, prompt), models, ledger=ledger)
     failed = failed_batches(responses, on_failed)
     reports = materialize(root_cause_rows(responses.select("batch_id", "text")), "reports")
-    report, calls = _synthesize(reports, models, fan_in)
+    report, calls = _synthesize(reports, models, fan_in, ledger)
     scope = prompts.scope_text(list(ids) if ids is not None else None, time_range, symptom)
     metadata = analysis_metadata(store.logs, most_frequent(store.patterns), scope)
     return RootCause(report, metadata, responses if calls is None else responses.unionByName(calls), failed)
@@ -275,12 +283,18 @@ class FullAnalysis:
         return C.usage_by_stage(every)
 
 
-def analyze(store: LogStore, models: Models, max_events: int = 8, on_failed: str = "raise") -> FullAnalysis:
-    """Classify, draft the error timeline, then look for the dominant category's root cause."""
-    classified = classify(store, models, on_failed=on_failed)
+def analyze(
+    store: LogStore, models: Models, max_events: int = 8, on_failed: str = "raise", ledger: str | None = None
+) -> FullAnalysis:
+    """Classify, draft the error timeline, then look for the dominant category's root cause.
+
+    With a ``ledger`` folder every call is kept there as it is made, and a repeated
+    analysis pays only for what was not answered before.
+    """
+    classified = classify(store, models, on_failed=on_failed, ledger=ledger)
     dominant = classified.summary().head()["dominant_category"]
     return FullAnalysis(
         classified,
-        timeline(store, models, "errors", max_events, on_failed=on_failed),
-        root_cause(store, models, symptom=dominant, on_failed=on_failed),
+        timeline(store, models, "errors", max_events, on_failed=on_failed, ledger=ledger),
+        root_cause(store, models, symptom=dominant, on_failed=on_failed, ledger=ledger),
     )

@@ -7,11 +7,13 @@ same rows with ``text`` and the three token counts. It runs in the workers.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltlog.functions.json_text import json_in_text, without_fence
+from siltlog.plans.ledger import Ledger, call_key, model_name, read_ledger
 from siltlog.session import materialize
 
 ModelFunction = Callable[[pd.DataFrame], pd.DataFrame]
@@ -24,8 +26,11 @@ RESPONSE_SCHEMA = (
 )
 
 
-def _answer(pdf: pd.DataFrame, models: Sequence[ModelFunction]) -> pd.DataFrame:
-    """Ask each model in turn for the rows that still have no answer."""
+def _answer(pdf: pd.DataFrame, models: Sequence[ModelFunction], note: Note | None = None) -> pd.DataFrame:
+    """Ask each model in turn for the rows that still have no answer.
+
+    ``note(row, order, error)`` hears of each row and model as soon as the model has replied.
+    """
     out = pdf.assign(text=None, model_ord=None, error=None, **{c: 0 for c in TOKEN_COLUMNS})
     out = out.astype({"text": object, "error": object, "model_ord": object})
     for order, model in enumerate(models):
@@ -36,37 +41,74 @@ def _answer(pdf: pd.DataFrame, models: Sequence[ModelFunction]) -> pd.DataFrame:
             reply = model(pdf.loc[open_rows, ["system_prompt", "user_prompt"]])
         except Exception as problem:  # a failed model leaves its rows to the next one
             out.loc[open_rows, "error"] = f"{type(problem).__name__}: {problem}"
-            continue
-        given = reply.index[reply["text"].notna() & (reply["text"] != "")]
-        for column in ("text", *TOKEN_COLUMNS):
-            out.loc[given, column] = reply.loc[given, column]
-        out.loc[given, "model_ord"] = order
-        out.loc[given, "error"] = None
-        empty = open_rows.difference(given)
-        out.loc[empty, "error"] = out.loc[empty, "error"].fillna("no answer")
+            given = open_rows[:0]
+        else:
+            given = reply.index[reply["text"].notna() & (reply["text"] != "")]
+            for column in ("text", *TOKEN_COLUMNS):
+                out.loc[given, column] = reply.loc[given, column]
+            out.loc[given, "model_ord"] = order
+            out.loc[given, "error"] = None
+            empty = open_rows.difference(given)
+            out.loc[empty, "error"] = out.loc[empty, "error"].fillna("no answer")
+        if note:
+            for i in open_rows:
+                note(out.loc[i], order, out.at[i, "error"])
     return out
 
 
+Note = Callable[[pd.Series, int, str | None], None]
+
+
+def _answer_once(pdf: pd.DataFrame, models: Sequence[ModelFunction], ledger: Ledger) -> pd.DataFrame:
+    """:func:`_answer` for the rows the ledger has no answer for; every call is kept in it."""
+    names = [model_name(m) for m in models]
+    keys = [call_key(*r) for r in zip(pdf["stage"], [names] * len(pdf), pdf["system_prompt"], pdf["user_prompt"])]
+    key_of = dict(zip(pdf.index, keys))
+    known = {i: found for i, key in key_of.items() if (found := ledger.answer(key)) is not None}
+
+    def note(row: pd.Series, order: int, error: str | None) -> None:
+        text = None if pd.isna(row["text"]) else str(row["text"])
+        tokens = {c: int(row[c]) for c in TOKEN_COLUMNS}
+        own = {c: row[c] for c in ("stage", "system_prompt", "user_prompt")} | {"batch_id": int(row["batch_id"])}
+        ledger.keep(key_of[row.name], own | tokens | {"model_ord": order, "model": names[order], "text": text, "error": error})
+
+    asked = _answer(pdf.drop(index=list(known)), models, note)
+    if not known:
+        return asked
+    answered = pdf.loc[list(known)].assign(
+        **{c: [known[i][c] for i in known] for c in ("text", *TOKEN_COLUMNS, "model_ord")}, error=None
+    )
+    return answered if asked.empty else pd.concat([asked, answered])
+
+
 def ask(
     requests: DataFrame,
     models: ModelFunction | Sequence[ModelFunction],
     parallelism: int | None = None,
     prompts_per_call: int = 1,
+    ledger: str | None = None,
+    at_once: int = 1,
 ) -> DataFrame:
     """Answer ``(stage, batch_id, system_prompt, user_prompt)`` rows.
 
     A model gets ``prompts_per_call`` rows at a time, and what it cannot answer of
-    them goes to the next model; other rows are not touched by its failure.
-    Answers are costly and may differ between calls, so they are written once
-    and every later step reads that table.
+    them goes to the next model; other rows are not touched by its failure. A task
+    has up to ``at_once`` calls under way. Answers are costly and may differ between
+    calls, so they are written once and every later step reads that table. With a
+    ``ledger``, a folder that tasks can reach, each call is kept there as it is
+    answered and never paid twice; see :mod:`siltlog.plans.ledger`.
     """
     chain = [models] if callable(models) else list(models)
     columns = [name.split()[0] for name in RESPONSE_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for first in range(0, len(pdf), prompts_per_call):
-                yield _answer(pdf.iloc[first : first + prompts_per_call], chain)[columns]
+        kept = Ledger(ledger) if ledger else None
+        answer = (lambda pdf: _answer_once(pdf, chain, kept)) if kept else (lambda pdf: _answer(pdf, chain))
+        with ThreadPoolExecutor(at_once) as calls:
+            for pdf in batches:
+                parts = [pdf.iloc[first : first + prompts_per_call] for first in range(0, len(pdf), prompts_per_call)]
+                for out in calls.map(answer, parts):
+                    yield out[columns]
 
     tasks = parallelism or requests.sparkSession.sparkContext.defaultParallelism
     spread = requests.select("stage", "batch_id", "system_prompt", "user_prompt").repartition(tasks)
@@ -119,4 +161,16 @@ def audit_records(responses: DataFrame) -> DataFrame:
 
 
 def save_audit(responses: DataFrame, path: str) -> None:
-    audit_records(responses).write.mode("append").json(path)
+    """Write the records of :func:`audit_records`, by stage and batch.
+
+    Records written again for a batch replace the ones before, so a repeated run
+    leaves one record for each call.
+    """
+    records = audit_records(responses).withColumns({"of_stage": F.col("stage"), "of_batch": F.col("batch_id")})
+    written = records.write.partitionBy("of_stage", "of_batch").mode("overwrite")
+    written.option("partitionOverwriteMode", "dynamic").json(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a ledger, with the answers as :func:`audit_records` gives them."""
+    return audit_records(read_ledger(spark, path))
