@@ -58,9 +58,9 @@ class Inputs:
     def patterns(self) -> DataFrame:
         return self.store().patterns
 
-    def text_files(self, variant: str = "error", suffix: str = "", parts: int = 4) -> str:
+    def text_files(self, variant: str = "error", suffix: str = "", parts: int = 4, path: str | None = None) -> str:
         """The lines as text files, a blank line after every tenth."""
-        path = working_path(self.spark, f"text-{variant}") + suffix
+        path = path or working_path(self.spark, f"text-{variant}") + suffix
         blanks = F.when(F.col("line_number") % 10 == 0, F.array("value", F.lit("  "))).otherwise(
             F.array("value")
         )

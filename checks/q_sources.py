@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import ACCESS_RE, ERROR_RE, ISO, set_ages
+from checks.fixtures import ACCESS_RE, ERROR_RE, ISO, ctes, set_ages
 from checks.registry import query
 from siltlog.functions.fingerprint import fingerprint, mask
 from siltlog.functions.security import SIGNATURES, signal_types
@@ -104,6 +104,35 @@ def file_format(x):
     )
 
 
+# Two folders, one of access and one of error logs; the first comes first in file order.
+_BOTH = f"""
+WITH both_logs AS (
+  SELECT line_number, raw, ts, level, message, fingerprint, ip FROM ({ctes("access")} SELECT * FROM parsed)
+  UNION ALL
+  SELECT line_number + (SELECT count(*) FROM events), raw, ts, level, message, fingerprint, NULL FROM ({ctes("error")} SELECT * FROM parsed)
+)
+SELECT row_number() OVER (ORDER BY ts NULLS LAST, line_number) - 1 AS pos, line_number, printf('log_%05d', line_number) AS id, raw,
+  {ISO.format("ts")} AS ts, level, message, fingerprint, ip FROM both_logs
+"""
+
+
+@query("a05_format_per_file", _BOTH, None)
+def format_per_file(x):
+    """A folder of error and access logs: each file is read in its own format."""
+    paths = [x.text_files("access", suffix=".log"), x.text_files("error", suffix=".log")]
+    return LogStore.ingest_file(x.spark, paths).logs.select("pos", *log_row(), "ip")
+
+
+@query("k1_streamed_formats", _BOTH, None)
+def streamed_formats(x):
+    """The same by stream, all files in one batch, without a named format."""
+    folder, sink = working_path(x.spark, "mixed-logs"), working_path(x.spark, "mixed-sink")
+    for name in ("access", "error"):
+        x.text_files(name, path=f"{folder}/{name}")
+    start_ingest(stream_lines(x.spark, f"{folder}/*"), sink, working_path(x.spark, "mixed-state")).awaitTermination()
+    return finalize(x.spark, sink).logs.select("pos", *log_row(), "ip")
+
+
 @query(
     "a06_named_format",
     "SELECT 'unknown' AS level, count(*) AS n, count(DISTINCT raw) AS raws FROM logs",

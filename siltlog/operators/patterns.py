@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,32 +24,50 @@ def _tallies() -> list:
     ]
 
 
-def pattern_counts(logs: DataFrame) -> DataFrame:
+def pattern_counts(logs: DataFrame, by: Sequence[str] = ("fingerprint",)) -> DataFrame:
     """Count, first and last row per fingerprint.
 
     All buffers are fixed-width, so this stays a hash aggregate with map-side
     combining and a hot fingerprint costs nothing extra.
     """
-    return logs.groupBy("fingerprint").agg(F.min("pos").alias("first_pos"), *_tallies())
+    return logs.groupBy(*by).agg(F.min("pos").alias("first_pos"), *_tallies())
 
 
-def patterns_of(logs: DataFrame, few: int = FEW_PATTERNS) -> DataFrame:
+def patterns_of(logs: DataFrame, few: int = FEW_PATTERNS, by: Sequence[str] = ("fingerprint",)) -> DataFrame:
     """Each fingerprint with its first log row; ordered by ``pos``.
 
     The narrow counts come first. Up to ``few`` patterns (counted) their first
     positions are broadcast and the first rows picked in a second scan. With
     more, one aggregate carries the first row along instead: each task ships its
-    distinct patterns only, where a join would shuffle every line.
+    distinct patterns only, where a join would shuffle every line. With more columns
+    in ``by``, the day for example, these are the patterns of each of their values.
     """
-    counts = materialize(pattern_counts(logs), "pattern-counts")
+    more = [c for c in by if c != "fingerprint"]
+    counts = materialize(pattern_counts(logs, by), "pattern-counts")
     if counts.count() <= few:
         wanted = F.broadcast(counts.select(F.col("first_pos").alias("pos")))
-        first = logs.join(wanted, "pos", "left_semi").drop("fingerprint")
+        first = logs.join(wanted, "pos", "left_semi").drop(*by)
         rows = first.join(counts, first.pos == counts.first_pos)
     else:
-        first = F.min_by(F.struct("pos", "id", "raw", "ts", "level", "message", "line_number"), "pos")
-        rows = logs.groupBy("fingerprint").agg(first.alias("_first"), *_tallies()).select("*", "_first.*")
-    return rows.select(*PATTERN_SCHEMA.fieldNames())
+        first = F.min_by(F.struct(*FIRST_ROW), "pos")
+        rows = logs.groupBy(*by).agg(first.alias("_first"), *_tallies()).select("*", "_first.*")
+    return rows.select(*PATTERN_SCHEMA.fieldNames(), *more)
+
+
+FIRST_ROW = ("pos", "id", "raw", "ts", "level", "message", "line_number")
+
+
+def merged_patterns(parts: DataFrame) -> DataFrame:
+    """Patterns of all rows from those of disjoint parts of them, such as days."""
+    # A part with an undated row has no last time, and then the whole has none.
+    merged = parts.groupBy("fingerprint").agg(
+        F.min_by(F.struct(*FIRST_ROW), "pos").alias("_first"),
+        F.sum("occurrence_count").alias("occurrence_count"),
+        F.max("last_pos").alias("last_pos"),
+        F.min("first_seen").alias("first_seen"),
+        F.when(F.count("last_seen") == F.count("*"), F.max("last_seen")).alias("last_seen"),
+    )
+    return merged.select("*", "_first.*").select(*PATTERN_SCHEMA.fieldNames())
 
 
 def pattern_members(logs: DataFrame) -> DataFrame:

@@ -36,6 +36,11 @@ def working_path(spark: SparkSession, name: str) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def release_later(spark: SparkSession, *paths: str) -> None:
+    """Let :func:`release` delete folders that are no longer needed then."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).extend(paths)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -44,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     read these tables, so they stay until :func:`release` is called.
     """
     path = working_path(df.sparkSession, name)
-    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    release_later(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -211,6 +212,88 @@ def parse(lines: DataFrame, fmt: LogFormat | str, extras: bool = False) -> DataF
     return numbered(records) if place == ["line_number"] else records
 
 
+def _extras() -> list[str]:
+    """Names of the fields that only some registered formats have."""
+    return list(dict.fromkeys(name for fmt in FORMATS.values() for name in fmt.extras))
+
+
+def _tried(rows: DataFrame, tries: Callable[[int, str], Column]) -> DataFrame:
+    """Replace ``raw`` by itself and the record of the one format that is tried and matches.
+
+    ``tries(i, name)`` says of which rows format ``i`` is tried; the records of earlier
+    formats are the columns ``_r0``, ``_r1`` and so on. ``_format`` is the format that matched.
+    """
+    own = rows.columns
+    for i, fmt in enumerate(FORMATS.values()):
+        tried = tries(i, fmt.name)
+        captures = {n: F.when(tried, c) for n, c in fmt.captures(F.col("raw")).items()}
+        captured = rows.select(*rows.columns, *[c.alias(n) for n, c in captures.items()])
+        fields = fmt.fields()
+        values = {
+            "ts": fields["ts"],
+            "level": fields["level"],
+            "message": fields["message"],
+            "fingerprint": fingerprint(fields["fp_level"], fields["fp_text"]),
+        } | {name: F.col(name) for name in fmt.extras}
+        record = F.struct(*[c.alias(n) for n, c in values.items()])
+        rows = captured.select(*rows.columns, F.when(F.col("matched"), record).alias(f"_r{i}"))
+
+    def first(name: str) -> Column:
+        return F.coalesce(*[F.col(f"_r{i}.{name}") for i, f in enumerate(FORMATS.values()) if name in (*RECORD, *f.extras)])
+
+    names = [F.when(F.col(f"_r{i}").isNotNull(), F.lit(f.name)) for i, f in enumerate(FORMATS.values())]
+    return rows.select(*own, *[first(n).alias(n) for n in (*RECORD, *_extras())], F.coalesce(*names).alias("_format"))
+
+
+RECORD = ("ts", "level", "message", "fingerprint")
+
+
+def parse_any(lines: DataFrame) -> DataFrame:
+    """Records by the first registered format that matches each line, its name in ``_format``.
+
+    Lines come with their place in the files. Which format a line is to be read in is
+    its file's to say, see :func:`by_elected_format`; ``_value`` keeps the line where
+    trimming changed it, as formats are detected on lines as they are.
+    """
+    raw, value = trimmed(F.col("value")), F.col("value")
+    rows = lines.select(*PLACE, raw.alias("raw"), F.when(raw != value, value).alias("_value"))
+    return _tried(rows, lambda i, name: _none_of(i))
+
+
+def _none_of(n: int) -> Column:
+    """No format before the ``n``-th one has matched."""
+    return F.lit(True) if n == 0 else reduce(lambda a, b: a & b, [F.col(f"_r{j}").isNull() for j in range(n)])
+
+
+def by_elected_format(rows: DataFrame) -> DataFrame:
+    """Final records of :func:`parse_any` rows that have the format of their file as ``_elected``.
+
+    A record made by that format stands; a line that another one matched first is
+    matched again, and what the file's format doesn't match is ``unknown``.
+    """
+    place = [c for c in rows.columns if c not in ("raw", "_value", "_format", "_elected", *RECORD, *_extras())]
+    fine = F.coalesce(F.col("_format") == F.col("_elected"), F.lit(False))
+    doubtful = F.col("_format").isNotNull() & ~fine
+    kept = F.struct(*RECORD, *_extras())
+    held = rows.select(*place, "raw", "_elected", doubtful.alias("_again"), F.when(fine, kept).alias("_kept"))
+    again = _tried(held, lambda i, name: F.col("_again") & (F.col("_elected") == name))
+    value = {n: F.coalesce(F.col(f"_kept.{n}"), F.col(n)) for n in (*RECORD, *_extras())}
+    lost = F.col("_kept").isNull() & F.col("_format").isNull()
+    unknown = {"level": F.lit("unknown"), "message": F.col("raw"), "fingerprint": fingerprint(F.lit("unknown"), F.col("raw"))}
+    return again.select(
+        *place, "raw", *[F.when(lost, unknown[n]).otherwise(c).alias(n) if n in unknown else c.alias(n) for n, c in value.items()]
+    )
+
+
+def elected_formats(heads: DataFrame) -> DataFrame:
+    """``_file, tested, format``: the first registered format that matches at least half of a
+    file's first lines; null if none does. ``heads`` is ``_file, value`` of those lines."""
+    shares = [F.avg(F.col("value").rlike(fmt.detect).cast("double")).alias(f"_s{i}") for i, fmt in enumerate(FORMATS.values())]
+    chosen = [F.when(F.col(f"_s{i}") >= DETECTION_SHARE, F.lit(name)) for i, name in enumerate(FORMATS)]
+    votes = heads.groupBy("_file").agg(F.count("*").alias("tested"), *shares)
+    return votes.select("_file", "tested", F.coalesce(*chosen, F.lit(None).cast("string")).alias("format"))
+
+
 def numbered(records: DataFrame) -> DataFrame:
     """Add the id that a line number gives, columns in the order of the log table."""
     rest = [c for c in records.columns if c not in LOG_COLUMNS]

@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siltlog.functions.text import is_blank
 from siltlog.session import broadcast_if_small, materialize
-from siltlog.sources.formats import DETECTION_LINES, LogFormat, detect_format
+from siltlog.sources.formats import (
+    DETECTION_LINES,
+    FORMATS,
+    LogFormat,
+    by_elected_format,
+    detect_format,
+    elected_formats,
+    parse,
+    parse_any,
+)
 
 # Accepted file names.
 ACCEPTED_FILES = "*.{log,txt}"
@@ -43,6 +52,47 @@ def landed(lines: DataFrame, path: str | None = None) -> DataFrame:
     return marked.sparkSession.read.schema(marked.schema).parquet(path)
 
 
+def first_lines(rows: DataFrame, n: int = DETECTION_LINES) -> DataFrame:
+    """``_file, value``: the first ``n`` lines of each file of landed rows.
+
+    Line counts of the blocks say which blocks hold them; only those lines travel.
+    """
+    block = ["_file", "_block"]
+    counts = rows.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(in_file), F.lit(0))).where(F.col("_before") < n)
+    needed = broadcast_if_small(materialize(needed.drop("_n"), "first-blocks"), FEW_BLOCKS)
+    value = F.coalesce("_value", "raw") if "_value" in rows.columns else F.col("value")
+    heads = rows.select(*block, "_seq", value.alias("value")).join(needed, block)
+    return heads.where(F.col("_before") + F.col("_seq") - F.col("_first") < n).select("_file", "value")
+
+
+def in_own_format(rows: DataFrame, undetected: str = "raise") -> DataFrame:
+    """Landed rows of :func:`parse_any`, each by the format of its file.
+
+    A file's format is the first one that matches half of its first five lines. If a
+    file has none, ``undetected="raise"`` names up to five of them and ``"keep"``
+    takes their lines as ``unknown``.
+    """
+    if undetected not in ("raise", "keep"):
+        raise ValueError("undetected is 'raise' or 'keep'")
+    found = materialize(elected_formats(first_lines(rows)), "file-formats")
+    if undetected == "raise":
+        lost = [r["_file"] for r in found.where("format IS NULL").orderBy("_file").limit(5).collect()]
+        if lost or found.isEmpty():
+            told = f" of {', '.join(lost)}" if lost else ""
+            raise ValueError(f"Unable to detect log format{told}. Supported formats: " + ", ".join(FORMATS))
+    elected = broadcast_if_small(found.select("_file", F.col("format").alias("_elected")), FEW_BLOCKS)
+    return by_elected_format(rows.join(elected, "_file"))
+
+
+def landed_records(lines: DataFrame, path: str, fmt: LogFormat | str | None = None) -> DataFrame:
+    """Parse lines in one reading and land them: all in ``fmt``, or each file in its own format."""
+    if fmt is not None:
+        return landed(parse(lines, fmt, extras=True), path)
+    return in_own_format(landed(parse_any(lines), path))
+
+
 def number_landed(rows: DataFrame, first: int = 1) -> DataFrame:
     """Replace the place of each landed row by its ``line_number``, from ``first``.
 

@@ -10,7 +10,8 @@ from siltlog.functions.times import bucket_start
 from siltlog.schema import LOG_SCHEMA
 from siltlog.session import remove
 from siltlog.sources.formats import LogFormat, numbered, parse
-from siltlog.sources.lines import landed, number_landed, with_block
+from siltlog.sources.lines import landed_records, number_landed, with_block
+from siltlog.sources import versions
 from siltlog.sources.store import LogStore
 
 
@@ -39,9 +40,12 @@ def _last_line(spark: SparkSession, sink: str, epoch: int) -> int:
     return 0
 
 
-def start_ingest(lines: DataFrame, sink: str, checkpoint: str, fmt: LogFormat | str) -> StreamingQuery:
+def start_ingest(lines: DataFrame, sink: str, checkpoint: str, fmt: LogFormat | str | None = None) -> StreamingQuery:
     """Number, parse and append each micro-batch; line numbers continue over batches.
 
+    Without ``fmt`` each file is read in the format its first lines show; a file
+    arrives in one batch.
+
     Each batch owns one ``epoch`` folder and overwrites it, so a batch replayed
     after a failure leaves the same rows.
     """
@@ -49,7 +53,7 @@ def start_ingest(lines: DataFrame, sink: str, checkpoint: str, fmt: LogFormat |
     def land(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         stage = f"{sink}-staging/epoch={epoch}"
-        rows = number_landed(landed(parse(batch, fmt, extras=True), stage), _last_line(spark, sink, epoch) + 1)
+        rows = number_landed(landed_records(batch, stage, fmt), _last_line(spark, sink, epoch) + 1)
         numbered(rows).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
         remove(spark, stage)
 
@@ -62,8 +66,19 @@ def start_ingest(lines: DataFrame, sink: str, checkpoint: str, fmt: LogFormat |
 
 
 def finalize(spark: SparkSession, sink: str, path: str | None = None) -> LogStore:
-    """Order everything the stream has written so far into a store."""
-    return LogStore.ingest(spark.read.parquet(sink), path, sink, landed=True)
+    """Order what the stream has written into a store.
+
+    A store that holds earlier epochs already takes the new ones only: days before
+    their first row are left as they are.
+    """
+    epochs = [int(e) for e in versions.subfolders(spark, sink, "epoch")]
+    held = versions.read(spark, path) if path else None
+    rows = spark.read.parquet(sink)
+    if held is None or not held.epochs:
+        return LogStore.ingest(rows, path, sink, landed=True, epochs=epochs)
+    store = LogStore.open(spark, path)
+    new = sorted(set(epochs) - set(held.epochs))
+    return store.append(rows.where(F.col("epoch").isin(new)).drop("epoch"), new) if new else store
 
 
 def window_counts(parsed: DataFrame, minutes: int = 15) -> DataFrame:
