@@ -1,10 +1,11 @@
 """Conversations without quotes, in reply order, by linking quotations.
 
 Messages quote earlier ones by lines that start with one or more ``>``. The lines
-of a message are grouped into passages of one quote level. Every quoted passage,
-and every line of it, is normalised and hashed; so are the unquoted lines and
-passages of all messages. A join on the hash finds the first message of the
-conversation that holds the passage. A message answers the message that its
+of a message are grouped into paragraphs: a change of the quote level and a blank
+line end one. Every quoted paragraph, its lines joined, and every line of it is
+normalised and hashed; so are the unquoted paragraphs and lines of all messages. A
+quotation may thus be wrapped anew or leave out other paragraphs. A join on the hash
+finds the first message of the conversation that holds the paragraph. A message answers the message that its
 outermost linked quotation comes from; threads are the trees of those answers.
 """
 
@@ -38,43 +39,47 @@ def normalised(body: Column) -> Column:
 
 
 def _passages(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, at, level, body``: one row per run of lines of one level.
+    """``conv_id, turn, row, at, level, bodies``: one row per paragraph that isn't blank.
 
-    A line starts a passage where the level changes; the passage's lines are those
-    up to the next start, cut from the list, so a message is worked on alone.
+    A line starts a paragraph where the level changes or a blank line meets another
+    one. Paragraphs are cut from the list of lines before they become rows, so the
+    lines are copied once and not for every paragraph.
     """
-    lines = messages.withColumn("lines", quoted_lines(F.col("text")))
-    index = F.sequence(F.lit(1), F.size("lines"))
+    lines = messages.withColumn("lines", quoted_lines(F.col("text"))).drop("text")
+    body = lambda i: F.element_at("lines", i)
+    before = lambda i: F.element_at("lines", F.greatest(i - 1, F.lit(1)))
+    blank = lambda line: normalised(line["body"]) == ""
     starts = F.filter(
-        index,
-        lambda i: (i == 1)
-        | (F.element_at("lines", i)["level"] != F.element_at("lines", F.greatest(i - 1, F.lit(1)))["level"]),
+        F.sequence(F.lit(1), F.size("lines")),
+        lambda i: (i == 1) | (body(i)["level"] != before(i)["level"]) | (blank(body(i)) != blank(before(i))),
     )
     lines = lines.withColumn("starts", starts)
     ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("lines") + 1))
-    return lines.select(
-        "conv_id", "turn", "row", F.posexplode(F.arrays_zip(F.col("starts").alias("from"), ends.alias("to"))).alias("at", "run"), "lines"
-    ).select(
-        "conv_id",
-        "turn",
-        "row",
-        "at",
-        F.element_at("lines", F.col("run.from"))["level"].alias("level"),
-        F.transform(F.slice("lines", F.col("run.from"), F.col("run.to") - F.col("run.from")), lambda x: x["body"]).alias("bodies"),
+    lines = lines.withColumn("runs", F.arrays_zip(F.col("starts").alias("from"), ends.alias("to")))
+    paragraph = lambda run: F.struct(
+        body(run["from"])["level"].alias("level"),
+        # Line by line: a slice would copy the whole list for every paragraph.
+        F.transform(F.sequence(run["from"], run["to"] - 1), lambda i: body(i)["body"]).alias("bodies"),
     )
+    lines = lines.withColumn("paragraphs", F.transform("runs", paragraph))
+    # From an inner generator Spark infers a filter on the array's size, pushes it down to
+    # the scan and there works out the lines again for every line. Each message has a
+    # paragraph, so an outer one gives the same rows.
+    cut = lines.select("conv_id", "turn", "row", F.posexplode_outer("paragraphs").alias("at", "paragraph"))
+    return cut.select("conv_id", "turn", "row", "at", "paragraph.level", "paragraph.bodies")
 
 
 def _hashed(passages: DataFrame) -> DataFrame:
-    """Add ``hash`` rows: of the whole passage (``part`` 0) and of its lines (1, 2, ...)."""
+    """Add ``hash`` rows: of the paragraph (``part`` 0) and, if there are several, of its lines (1, 2, ...)."""
     whole = normalised(F.array_join("bodies", " "))
-    parts = F.concat(F.array(whole), F.transform("bodies", normalised))
-    return passages.select("conv_id", "turn", "row", "at", "level", F.posexplode(parts).alias("part", "norm")).where(
-        "norm <> ''"
-    ).select("conv_id", "turn", "row", "at", "level", "part", F.xxhash64("norm").alias("hash"), F.xxhash64(F.lit(1), "norm").alias("check"))
+    several = F.when(F.size("bodies") > 1, F.transform("bodies", normalised)).otherwise(F.array().cast("array<string>"))
+    parts = passages.select("conv_id", "turn", "row", "at", "level", F.posexplode_outer(F.concat(F.array(whole), several)).alias("part", "norm"))
+    hashes = F.xxhash64("norm").alias("hash"), F.xxhash64(F.lit(1), "norm").alias("check")
+    return parts.where("norm <> ''").select("conv_id", "turn", "row", "at", "level", "part", *hashes)
 
 
 def linked_quotes(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, row, at, level, part, source_turn``: every quoted passage (part 0) and
+    """``conv_id, turn, row, at, level, part, source_turn``: every quoted paragraph (part 0) and
     line, and the first earlier message of the conversation that says it unquoted.
 
     First sayings are a pre-aggregated minimum per conversation and hash, so a
@@ -144,11 +149,12 @@ def _threads(messages: DataFrame, answers: DataFrame) -> DataFrame:
 def reply_ordered(conversations: DataFrame) -> DataFrame:
     """One row per message of ``conv_id, turn, role, text``: ``reply_to`` (turn of the message
     it quotes, or null), ``thread`` (turn of the first message of its thread),
-    ``depth_quoted``, ``n_quotes``, ``n_linked`` and ``body`` without quotes.
+    ``depth_quoted``, ``n_quotes`` (paragraphs), ``n_linked`` of them, ``n_partly`` of which
+    only some line is linked, and ``body`` without quotes.
 
     Conversations in reply order are the rows sorted by ``conv_id, thread, turn``: a
     message answers an earlier turn of its own thread, so it always follows it.
-    Of the linked quotations the one of the lowest level counts, whole passages
+    Of the linked quotations the one of the lowest level counts, whole paragraphs
     before lines, then the earliest in the text. A message that quotes nothing
     known starts a thread. Null texts have a null body; null turns are never
     linked. Rows that repeat a conversation and turn are messages of their own
@@ -156,13 +162,20 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     """
     messages = conversations.select("conv_id", "turn", "role", "text", F.xxhash64("conv_id", "turn", "role", "text").alias("row"))
     links = materialize(linked_quotes(messages), "links")
-    per_row = links.groupBy("conv_id", "turn", "row").agg(
-        F.count(F.when(F.col("part") == 0, 1)).alias("n_quotes"),
-        F.count(F.when((F.col("part") == 0) & F.col("source_turn").isNotNull(), 1)).alias("n_linked"),
+    linked = F.col("source_turn").isNotNull()
+    source = F.when(linked, F.struct("level", F.least("part", F.lit(1)).alias("line"), "at", "part", "source_turn"))
+    per_quote = links.groupBy("conv_id", "turn", "row", "at").agg(
+        F.max("level").alias("level"),
+        F.max((F.col("part") == 0) & linked).alias("whole"),
+        F.max(linked).alias("some"),
+        F.min(source).alias("source"),
+    )
+    per_row = per_quote.groupBy("conv_id", "turn", "row").agg(
+        F.count("*").alias("n_quotes"),
+        F.count_if("whole").alias("n_linked"),
+        F.count_if(F.col("some") & ~F.col("whole")).alias("n_partly"),
         F.max("level").alias("depth_quoted"),
-        F.min(F.when(F.col("source_turn").isNotNull(), F.struct("level", F.least("part", F.lit(1)).alias("line"), "at", "part", "source_turn")))[
-            "source_turn"
-        ].alias("reply_to"),
+        F.min("source")["source_turn"].alias("reply_to"),
     )
     per_row = materialize(per_row, "answers")
     answers = per_row.where("reply_to IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("reply_to").alias("reply_to"))
@@ -180,6 +193,6 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
         "role",
         "reply_to",
         F.coalesce("thread", "turn").alias("thread"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("depth_quoted", "n_quotes", "n_linked")],
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("depth_quoted", "n_quotes", "n_linked", "n_partly")],
         without_quotes(F.col("text")).alias("body"),
     )
