@@ -18,9 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from siltlog.llm import words as W
+from siltlog.llm.rows import pack, unpack
 from siltlog.session import broadcast_if_small, materialize
 
 WINDOW = 10
@@ -28,9 +29,14 @@ MOST_SLOP = 32
 TEST_BYTES = 256 << 20
 CANDIDATES = 1 << 20
 
+FOUND = ("n_words", "n_hit", "items", "matches")
+
+_INTS = T.ArrayType(T.IntegerType())
 _INDEX = (
-    "segment struct<base:array<long>,n_words:array<int>,terms:array<int>,counts:array<int>,positions:array<int>>"
+    "segment",
+    T.StructType().add("base", T.ArrayType(T.LongType())).add("n_words", _INTS).add("terms", _INTS).add("counts", _INTS).add("positions", _INTS),
 )
+_MATCH = T.StructType().add("item_id", "string").add("start", "integer").add("length", "integer")
 
 
 @dataclass(frozen=True)
@@ -130,11 +136,14 @@ def _segments(terms: np.ndarray, gap: int):
 def build_index(docs: DataFrame, tests: TestSet) -> DataFrame:
     """The stored index of ``docs``: all columns but ``text`` are kept as ``keys``.
 
-    Null texts are documents without words.
+    Null texts are documents without words. A column with the name of one that a
+    search adds is kept as ``input_<name>``.
     """
     W.bounded_batches(docs.sparkSession)
+    clashing = {c: f"input_{c}" for c in docs.columns if c.lower() in FOUND}
+    docs = docs.withColumnsRenamed(clashing)
     keys = docs.drop("text").schema
-    schema = f"keys array<{keys.simpleString()}>, {_INDEX}"
+    schema = T.StructType().add("keys", T.ArrayType(keys)).add(*_INDEX)
     gap = tests.windows.shape[1] + 2 * MOST_SLOP
     return materialize(docs.mapInArrow(_segments(tests.terms, gap), schema), "positional-index")
 
@@ -252,11 +261,8 @@ def search(index: DataFrame, tests: TestSet, slop: int = 0) -> DataFrame:
     if not 0 <= slop <= MOST_SLOP:
         raise ValueError(f"slop must be 0 to {MOST_SLOP}")
     W.bounded_batches(index.sparkSession)
-    keys = index.schema["keys"].dataType.elementType
-    schema = (
-        f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in keys.fields)}, n_words long, n_hit long, "
-        "items array<string>, matches array<struct<item_id:string,start:int,length:int>>"
-    )
+    schema = T.StructType([*index.schema["keys"].dataType.elementType.fields]).add("n_words", "long").add("n_hit", "long")
+    schema = schema.add("items", T.ArrayType(T.StringType())).add("matches", T.ArrayType(_MATCH))
     return index.mapInArrow(_lookup(tests, term_counts(index, tests), slop), schema)
 
 
@@ -276,4 +282,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     found = overlaps(docs.select(key.alias("key"), F.col("text")), benchmark)
     bad = materialize(found.where("n_hit > 0").select("key").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad.withColumnRenamed("key", "_bad"), 1_000_000), key == F.col("_bad"), "left_anti")
+    return unpack(pack(docs, key=key).join(broadcast_if_small(bad, 1_000_000), "key", "left_anti"))

@@ -199,8 +199,18 @@ def mix(docs: DataFrame, shuffled: bool = True, **options) -> DataFrame:
     ``shuffled`` also puts the rows in that order, by ranges, so that a shard may
     be larger than a task. Null and empty texts have no words and are taken or
     left with their block; a null source is a source. Equal rows share their
-    block. No rows give no rows.
+    block. No rows give no rows. Input columns named like an added one come back
+    as ``input_<name>``.
     """
+    return unpack(_taken(docs, shuffled, **options), ["mix_shard", "mix_pass", "mix_order"])
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of :func:`mix` in their order, with their own columns only."""
+    return unpack(_taken(docs, True, **options))
+
+
+def _taken(docs: DataFrame, shuffled: bool, **options) -> DataFrame:
     rows = digest(docs)
     plan = plan_mix(materialize(rows.drop("row"), "mix-sizes"), **options)
     taken = draw(rows, plan).select("row", "key", F.explode("copies").alias("copy"))
@@ -213,4 +223,4 @@ def mix(docs: DataFrame, shuffled: bool = True, **options) -> DataFrame:
     if shuffled:
         order = ["mix_shard", "mix_order"]
         out = out.repartitionByRange(*order).sortWithinPartitions(*order)
-    return unpack(out, ["mix_shard", "mix_pass", "mix_order"])
+    return out

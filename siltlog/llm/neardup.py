@@ -10,9 +10,9 @@ A star alone would lose links between two documents of a bucket when one of them
 is unlike the centre ``c``. Such documents ``x`` and ``y`` have at most
 ``min(|x & c|, |y & c|)`` shingles in common inside the centre, and outside it at
 most as many as either of them shares with documents of other components.
-Pairs of one star that this bound and their sizes leave possible are tested too,
-so no link of two documents that meet in a bucket is lost. All links are
-confirmed on full shingle sets.
+Pairs of one star that this bound and their sizes leave possible are tested too, if
+they meet in one of their rarest shingles, as linked ones must; so no link of two
+documents that meet in a bucket is lost. All links are confirmed on full shingle sets.
 
 Documents with the same set are one node from the start, so copies never meet in
 a bucket. Links, components and sets stay in tables.
@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltlog.llm import words as W
 from siltlog.llm.graph import components
+from siltlog.llm.rows import pack, unpack
 from siltlog.session import broadcast_if_small, materialize
 
 SHINGLE = 5
@@ -150,6 +151,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_signatures, f"{keys}, n_shingles long, node long, node_check long, bands array<long>")
 
 
+def _told_apart(sigs: DataFrame) -> DataFrame:
+    """``sigs`` with another ``node`` for sets that share the number of a different set."""
+    shared = sigs.where("node IS NOT NULL").groupBy("node").agg(F.min("node_check").alias("lo"), F.max("node_check").alias("hi"))
+    shared = materialize(shared.where("lo <> hi").select("node", F.lit(True).alias("shared")), "shared-nodes")
+    if shared.isEmpty():
+        return sigs
+    told = F.when(F.col("shared"), F.xxhash64("node", "node_check")).otherwise(F.col("node"))
+    return materialize(sigs.join(shared, "node", "left").withColumn("node", told).select(*sigs.columns), "signatures")
+
+
 def _common(pairs: DataFrame, sets: DataFrame, extra: bool = False) -> DataFrame:
     """Add to pairs ``c, m`` the sizes ``nc, nm``, the shingles in ``both``, whether they
     are ``linked``, and with ``extra`` the shingles of ``m`` outside ``c``."""
@@ -203,29 +214,45 @@ def _open_members(stars: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(open_, "c")
 
 
-def _possible_pairs(members: DataFrame) -> DataFrame:
+def _possible_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``c, m`` of members of one star and different components that could be linked.
 
     A member's outside shingles count when several components hold them. Members
-    that could be linked with no other, however their shingles fall, go first; of
-    the rest those outside the star's largest component meet the others.
+    that could be linked with no other, however their shingles fall, go first. Of the
+    rest only those meet that have one of their rarest shingles in common: linked
+    sets share three quarters of the larger one, so with the shingles of a star in
+    one order, the rarest first, a common one is among the first quarter of either.
+    No pair is lost that way, and what a whole star has in common joins nobody.
     """
     tokens = members.select("c", "m", "root", F.explode("extra").alias("token"))
     shared = tokens.groupBy("c", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     more = tokens.join(shared.select("c", "token"), ["c", "token"]).groupBy("c", "m").agg(F.count("*").alias("more"))
     able = members.drop("extra").join(more, ["c", "m"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
     able = materialize(able.where(_could_link(F.col("both") + F.col("more"), F.col("nm"), F.col("least"))), "able")
-    held = able.groupBy("c", "root").agg(F.count("*").alias("n"))
-    main = held.groupBy("c").agg(F.max(F.struct("n", "root")).alias("top")).select("c", F.col("top.root").alias("main"))
+    rare = _rarest(able.select("c", "m", "nm"), sets)
 
-    def side(rows: DataFrame, end: str) -> DataFrame:
-        return rows.select("c", *[F.col(name).alias(name + end) for name in ("m", "nm", "both", "more", "root")])
+    def side(end: str) -> DataFrame:
+        own = able.select("c", *[F.col(name).alias(name + end) for name in ("m", "nm", "both", "more", "root")])
+        return own.join(rare.withColumnRenamed("m", "m" + end), ["c", "m" + end])
 
-    one, two = side(able.join(main, "c").where("root <> main"), "1"), side(able, "2").withColumnRenamed("c", "c2")
     common = F.least("both1", "both2") + F.least("more1", "more2")
     fits = _could_link(common, F.col("nm1"), F.col("nm2")) & (F.col("root1") != F.col("root2"))
-    pairs = one.join(two, (F.col("c") == F.col("c2")) & fits)
-    return pairs.select(F.least("m1", "m2").alias("c"), F.greatest("m1", "m2").alias("m")).distinct()
+    pairs = side("1").join(side("2"), ["c", "token"]).where(fits & (F.col("m1") < F.col("m2")))
+    return pairs.select(F.col("m1").alias("c"), F.col("m2").alias("m")).distinct()
+
+
+def _rarest(able: DataFrame, sets: DataFrame) -> DataFrame:
+    """``c, m, token``: of each member the shingles among which a linked one must find a common
+    one, without those that no other member has among its own."""
+    held = able.join(sets.withColumnRenamed("node", "m"), "m").select("c", "m", "nm", F.explode("shingles").alias("token"))
+    held = materialize(held, "star-shingles")
+    holders = held.groupBy("c", "token").agg(F.count("*").alias("holders"))
+    order = Window.partitionBy("c", "m").orderBy("holders", "token")
+    needed = F.col("nm") - F.ceil(F.col("nm") * PERCENT / 100) + 1
+    ranked = held.join(holders, ["c", "token"]).withColumn("place", F.row_number().over(order))
+    rare = materialize(ranked.where((F.col("place") <= needed) & (F.col("holders") > 1)).select("c", "m", "token"), "rare-shingles")
+    met = rare.groupBy("c", "token").agg(F.count("*").alias("n")).where("n > 1").select("c", "token")
+    return materialize(rare.join(met, ["c", "token"]), "met-shingles")
 
 
 def _joined(links: DataFrame | None, tested: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,7 +286,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame) -> DataFrame:
     """:func:`near_duplicates` with the ``row_key`` of each row."""
     docs = docs.select("doc_id", "text", _row_key(docs).alias("row_key"))
-    sigs = materialize(signatures(docs), "signatures")
+    sigs = _told_apart(materialize(signatures(docs), "signatures"))
     nodes = sigs.where("node IS NOT NULL")
     slots = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("held"))
@@ -269,7 +296,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     stars = materialize(_common(_star_edges(members), sets, extra=True), "stars")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     links, roots = _joined(None, stars, roots)
-    pairs = materialize(_possible_pairs(materialize(_open_members(stars, roots), "open-stars")), "pairs")
+    pairs = materialize(_possible_pairs(materialize(_open_members(stars, roots), "open-stars"), sets), "pairs")
     links, roots = _joined(links, _common(pairs, sets), roots)
     placed = sigs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialize(placed.select("doc_id", "row_key", "n_shingles", "root"), "placed")
@@ -286,25 +313,22 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all columns of ``docs``.
+    """One document of each component, with all columns of ``docs``, whatever their names.
 
     Rows are dropped by id and text, so no other row of a dropped row's id goes with
     it. The dropped rows are broadcast only when they are counted to be few. Of rows
     that repeat a kept row's id and text one stays.
     """
     found = materialize(_judged(docs), "near-duplicates")
-    keys = [F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")]
+    keys = ["doc_id", "row_key"]
     drop = materialize(found.where("NOT kept").select(*keys).distinct(), "dropped")
-
-    def listed(rows: DataFrame) -> Column:
-        return rows["doc_id"].eqNullSafe(F.col("_id")) & (_row_key(rows) == F.col("_key"))
-
-    out = docs.join(broadcast_if_small(drop, BROADCAST_ROWS), listed(docs), "left_anti")
-    repeated = found.where("kept").groupBy("doc_id", "row_key").count().where("count > 1").select(*keys)
+    rows = pack(docs, own_id=docs["doc_id"], own_key=_row_key(docs))
+    listed = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("row_key"))
+    out = rows.join(broadcast_if_small(drop, BROADCAST_ROWS), listed, "left_anti")
+    repeated = found.where("kept").groupBy(*keys).count().where("count > 1").select(*keys)
     repeated = materialize(repeated, "repeated")
     if repeated.isEmpty():
-        return out
+        return unpack(out)
     again = broadcast_if_small(repeated, BROADCAST_ROWS)
-    return out.join(again, listed(out), "left_anti").unionByName(
-        out.join(again, listed(out), "left_semi").dropDuplicates(["doc_id", "text"])
-    )
+    once = out.join(again, listed, "left_semi").dropDuplicates(["own_id", "own_key"])
+    return unpack(out.join(again, listed, "left_anti").unionByName(once))

@@ -103,13 +103,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     each of them, up to the bound. Without labels of both kinds the evidence is
     zero and the prior is the share of good labels, one if there are none.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL")
-    chosen = known.distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    chosen = known.distinct().orderBy(F.xxhash64("id"), "id", "y").limit(most)
     # At most ``most`` ids travel to the tasks and as many rows of numbers to the driver;
     # of rows that repeat an id one counts.
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("_id", "_y", F.array(*features(docs["text"])).alias("x"))
-    got = sorted(rows.groupBy("_id", "_y").agg(F.min("x").alias("x")).collect(), key=lambda r: (r["_y"], r["x"]))
-    y = np.array([r["_y"] for r in got], dtype=float)
+    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", F.array(*features(F.col("text"))).alias("x"))
+    got = sorted(rows.groupBy("id", "y").agg(F.min("x").alias("x")).collect(), key=lambda r: (r["y"], r["x"]))
+    y = np.array([r["y"] for r in got], dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return Classifier((0.0,) * len(features(F.lit(""))), _logit(y.mean() if len(y) else 1.0), float(y.mean()) if len(y) else 1.0)
     weights, bias = fit_logistic(np.array([r["x"] for r in got], dtype=float), y)
@@ -188,6 +189,14 @@ def judge(
     With the text among the returned columns the texts are read twice, so that no
     copy of them is written; without it the scores are stored.
     """
+    judged = _judged(docs, labels, host, path, label, text, threshold, most_labelled, keep)
+    return unpack(judged, ["evidence", "host_rate", "path_rate", "score", "kept"])
+
+
+def _judged(
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, label: str, text: str, threshold: float, most_labelled: int, keep
+) -> DataFrame:
+    """:func:`judge` with the columns of ``docs`` still in ``row``."""
     keep = docs.columns if keep is None else list(keep)
     scored = _scored(docs, fit(docs, labels, label, most_labelled), host, path, text, keep)
     if text in keep:
@@ -201,13 +210,14 @@ def _with_sites(scored: DataFrame, rates: DataFrame, threshold: float) -> DataFr
     sites = rates.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", "n", "good", "k")
     same = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
     others = ((F.col("good") - F.col("q")) / UNIT + F.col("k") * F.col("host_rate")) / (F.col("n") - 1 + F.col("k"))
-    judged = (
+    # A score is never null. Saying so keeps Spark from looking for null evidence in
+    # front of the join, where it would work out all features a second time.
+    return (
         scored.join(broadcast_if_small(sites, MOST_SITES), same)
         .withColumn("path_rate", others)
         .withColumn("score", _posterior(F.col("evidence") + _log_odds(F.col("path_rate"))))
-        .withColumn("kept", F.col("score") >= threshold)
+        .withColumn("kept", F.coalesce(F.col("score") >= threshold, F.lit(False)))
     )
-    return unpack(judged, ["evidence", "host_rate", "path_rate", "score", "kept"])
 
 
 def url_sites(url: Column) -> tuple[Column, Column]:
@@ -222,10 +232,9 @@ def document_sites(docs: DataFrame) -> tuple[Column, Column]:
     return docs["source"].cast("string"), docs["lang"].cast("string")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, **options: Sequence) -> DataFrame:
+def accepted(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, most_labelled: int = MOST_LABELLED
+) -> DataFrame:
     """The rows of ``documents`` that are kept, as they are."""
     host, path = document_sites(docs)
-    plain = docs.columns
-    judged = judge(docs, labels, host, path, **options).where("kept")
-    back = [F.col(f"`input_{c}`").alias(c) if f"input_{c}" in judged.columns and f"input_{c}" not in plain else F.col(f"`{c}`") for c in plain]
-    return judged.select(*back)
+    return unpack(_judged(docs, labels, host, path, label, "text", threshold, most_labelled, None).where("kept"))

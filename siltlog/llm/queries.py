@@ -54,6 +54,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target",
         (F.col("size") * F.size("copies")).alias("taken"),
         F.size("copies").alias("times"),
+        F.transform("copies", lambda c: c["shard"]).alias("mix_shards"),
     )
 
 

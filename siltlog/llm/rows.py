@@ -17,10 +17,16 @@ def pack(df: DataFrame, keep: Sequence[str] | None = None, /, **added: Column) -
 
 def unpack(df: DataFrame, added: Sequence[str] = ()) -> DataFrame:
     """The caller's columns again, then ``added``; a column of the caller that has
-    the name of an added one comes back as ``input_<name>``."""
-    taken = {name.lower() for name in added}
-    own = [
-        F.col(f"row.`{f.name}`").alias(f"input_{f.name}" if f.name.lower() in taken else f.name)
-        for f in df.schema["row"].dataType.fields
-    ]
+    the name of an added one comes back as ``input_<name>``, or with more of
+    ``input_`` in front if the caller has that column too."""
+    names = df.schema["row"].dataType.fieldNames()
+    clashing = {name.lower() for name in added}
+    taken = clashing | {name.lower() for name in names}
+    own = []
+    for name in names:
+        new = name
+        while new.lower() in (taken if new != name else clashing):
+            new = f"input_{new}"
+        taken.add(new.lower())
+        own.append(F.col(f"row.`{name}`").alias(new))
     return df.select(*own, *added)

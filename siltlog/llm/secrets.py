@@ -12,6 +12,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siltlog.llm.rows import pack, unpack
+
 KINDS = ("assign", "access", "hex", "markov")
 
 # The patterns of the base search. Runs of a class are written with
@@ -174,9 +176,9 @@ def find_secrets(docs: DataFrame, weights: list[float], text: str = "text", thre
 
     A token of 20 characters or more is added when its log-likelihood ratio
     reaches ``threshold`` and it lies outside all base spans. Null and empty
-    texts have none. Input columns of these names are replaced.
+    texts have none. Input columns of these names come back as ``input_<name>``.
     """
-    df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    df = pack(docs, _text=F.coalesce(F.col(f"`{text}`"), F.lit("")))
     df = base_spans(df, "_text").withColumn("_base", F.concat("_assign", "_access", "_hex"))
     df = located(df, "_text", TOKEN, 3, "_tokens", lambda match: log_ratio(match, weights) >= threshold)
     free = F.filter(
@@ -184,9 +186,6 @@ def find_secrets(docs: DataFrame, weights: list[float], text: str = "text", thre
     )
     df = df.withColumn("_markov", F.coalesce(F.transform(free, lambda s: s.dropFields("match")), F.array().cast(_SPAN)))
     df = df.withColumn("_all", F.concat("_base", "_markov"))
-    return df.select(
-        *[c for c in docs.columns if c not in ("n_assign", "n_access", "n_hex", "n_markov", "base", "spans")],
-        *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
-        _listed("_base").alias("base"),
-        _listed("_all").alias("spans"),
-    )
+    counts = {f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS}
+    added = counts | {"base": _listed("_base"), "spans": _listed("_all")}
+    return unpack(df.select("row", *[c.alias(n) for n, c in added.items()]), list(added))

@@ -24,6 +24,7 @@ from siltlog.session import materialize
 BLOCKS_PER_SHARD = 256
 ROW_OVERHEAD = 16
 NO_SHARD = -1
+FILE_BYTES = 128 << 20
 
 
 def min_cost_flow(sizes: Sequence[int], capacities: Sequence[int], cost: np.ndarray | None = None) -> np.ndarray:
@@ -190,7 +191,7 @@ def reshard(
     docs: DataFrame,
     n_shards: int,
     old_shard: Column,
-    key: Sequence[str] = ("doc_id", "text"),
+    key: Sequence[str | Column] = ("doc_id", "text"),
     text: str = "text",
     capacities: Sequence[int] | None = None,
     blocks_per_shard: int = BLOCKS_PER_SHARD,
@@ -217,12 +218,22 @@ def reshard(
 # ---- files ------------------------------------------------------------------
 
 
-def write_shards(sharded: DataFrame, path: str) -> DataFrame:
+def _write_folders(placed: DataFrame, path: str, text: str, file_bytes: int) -> None:
+    """Write each shard's rows by slot into files of about ``file_bytes`` of text; a task
+    writes one file of one shard, whatever the number of shards."""
+    held = placed.groupBy("shard").agg(F.sum(text_bytes(text)).alias("held"), F.count("*").alias("n"))
+    per_file = F.greatest(F.ceil(F.col("n") / F.ceil(F.col("held") / file_bytes)), F.lit(1))
+    files = held.select(F.col("shard").alias("to_shard"), per_file.alias("per_file"))  # one row per shard
+    placed = placed.join(F.broadcast(files), F.col("shard") == F.col("to_shard"))
+    placed = placed.withColumn("to_file", F.floor(F.col("slot") / F.col("per_file"))).drop("per_file")
+    by_file = placed.repartition("to_shard", "to_file").sortWithinPartitions("to_shard", "slot").drop("to_file")
+    by_file.withColumnRenamed("to_shard", "_folder").write.partitionBy("_folder").parquet(path)
+
+
+def write_shards(sharded: DataFrame, path: str, text: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write rows with a ``shard`` column as one folder per shard; returns the
     manifest ``shard int, folder string``, also kept as ``<path>-manifest``."""
-    sharded.withColumn("_folder", F.col("shard")).repartition("shard", F.pmod(F.col("slot"), F.lit(8))).sortWithinPartitions(
-        "shard", "slot"
-    ).write.partitionBy("_folder").parquet(path)
+    _write_folders(sharded, path, text, file_bytes)
     return _manifest(sharded, path)
 
 
@@ -257,6 +268,6 @@ def rewrite_shards(
     changed = [s for s in plan.affected]
     todo = rows.where(F.col("old_shard").isin(changed))
     placed = unpack(apply_plan(todo, plan), ["shard", "slot"]).drop("input_shard")
-    placed.withColumn("_folder", F.col("shard")).write.partitionBy("_folder").parquet(path)
+    _write_folders(placed, path, text, FILE_BYTES)
     kept = manifest.where(~F.col("shard").isin(changed))
     return _manifest(spark.read.schema(placed.schema).parquet(path), path, kept), plan

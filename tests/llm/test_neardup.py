@@ -105,3 +105,10 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert len(rows) == len(roots) == 41 + 60
     assert all(roots[i] == 0 for i in range(41)) and all(roots[1000 + i] == 1000 for i in range(60))
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_sets_with_one_number_are_told_apart(spark):
+    rows = [(1, 7, 70), (2, 7, 70), (3, 7, 71), (4, 8, 80), (5, None, None)]
+    sigs = spark.createDataFrame(rows, "row_key long, node long, node_check long")
+    got = {r["row_key"]: r["node"] for r in neardup._told_apart(sigs).collect()}
+    assert got[1] == got[2] != got[3] and got[4] == 8 and got[5] is None and len({got[1], got[3], 7, 8}) == 4
