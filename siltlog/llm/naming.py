@@ -26,6 +26,7 @@ from siltlog.llm.rows import pack, unpack
 from siltlog.session import materialize
 
 BLOCK_BYTES = 2048
+MOST_HOT = 1000
 NO_NAME = -1  # stands for the missing neighbour of the last name of an odd list
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -61,27 +62,40 @@ def _cut(block_bytes: int):
 
 
 def _numbered(values: DataFrame, name: str) -> DataFrame:
-    """The distinct rows of ``values``, sorted in each partition, with a number of their own."""
-    names = values.distinct().sortWithinPartitions(*values.columns).withColumn("name", F.monotonically_increasing_id())
-    return materialize(names, name)
+    """The distinct rows of ``values``, sorted in each partition, with a number of their own
+    and how often each is ``held``."""
+    distinct = values.groupBy(*values.columns).agg(F.count("*").alias("held"))
+    return materialize(distinct.sortWithinPartitions(*values.columns).withColumn("name", F.monotonically_increasing_id()), name)
 
 
-def _named_blocks(listed: DataFrame, valued: DataFrame, shared: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, few: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Rows joined to the one row of ``few`` with their keys, which says how many of ``total`` have ``held`` them.
+
+    What more than a thousandth of all rows hold is a thousand rows at most; they are
+    broadcast, and no shuffle sees the rows that hold them.
+    """
+    often = F.col("held") > total / MOST_HOT
+    hot = F.broadcast(few.where(often).drop("held"))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(few.where(~often).drop("held"), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def _named_blocks(listed: DataFrame, valued: DataFrame, shared: DataFrame, total: int) -> DataFrame:
     """``rid, n, at, name`` for ``rid, n, at, value`` (and ``block``, if values are shared).
 
     Where two blocks have one value the blocks themselves decide, for those values only.
     """
     columns = ["rid", "n", "at", "name"]
     if "block" not in listed.columns:
-        return listed.join(valued.select("value", "name"), "value").select(*columns)
+        return _met(listed, valued.select("value", "name", "held"), ["value"], total).select(*columns)
     single = valued.join(shared, "value", "left_anti").select("value", "name")
-    several = valued.join(shared, "value").withColumnsRenamed({"value": "shared_value", "block": "shared_block"})
+    several = valued.drop("held").join(shared, "value").withColumnsRenamed({"value": "shared_value", "block": "shared_block"})
     same = (F.col("value") == F.col("shared_value")) & (F.col("block") == F.col("shared_block"))
     told = listed.join(shared, "value", "left_semi").join(several, same)
     return listed.join(single, "value").select(*columns).unionByName(told.select(*columns))
 
 
-def _paired(nodes: DataFrame) -> DataFrame:
+def _paired(nodes: DataFrame, total: int) -> DataFrame:
     """The next round's ``rid, n, at, name``: neighbours of each list under one name."""
     side = lambda odd: F.max(F.when(F.col("at") % 2 == odd, F.col("name")))
     pairs = nodes.groupBy(
@@ -89,11 +103,14 @@ def _paired(nodes: DataFrame) -> DataFrame:
     ).agg(side(0).alias("one"), F.coalesce(side(1), F.lit(NO_NAME)).alias("two"))
     pairs = materialize(pairs, "pairs")
     names = _numbered(pairs.select("one", "two"), "pair-names")
-    return pairs.join(names, ["one", "two"]).select("rid", "n", "at", "name")
+    return _met(pairs, names, ["one", "two"], total).select("rid", "n", "at", "name")
+
 
+def identities(nodes: DataFrame, most: int, total: int) -> DataFrame:
+    """``rid, rounds, name``: one identity for each list of names, the same for equal lists only.
 
-def identities(nodes: DataFrame, most: int) -> DataFrame:
-    """``rid, rounds, name``: one identity for each list of names, the same for equal lists only."""
+    The longest list has ``most`` names; there are ``total`` in all.
+    """
     done, rounds = None, 0
     while True:
         nodes = materialize(nodes, "named")
@@ -101,7 +118,7 @@ def identities(nodes: DataFrame, most: int) -> DataFrame:
         done = ready if done is None else done.unionByName(ready)
         if most <= 1:
             return done
-        nodes, most, rounds = _paired(nodes.where("n > 1")), (most + 1) // 2, rounds + 1
+        nodes, most, rounds = _paired(nodes.where("n > 1"), total), (most + 1) // 2, rounds + 1
 
 
 def exact_groups(
@@ -122,15 +139,16 @@ def exact_groups(
     back as ``input_<name>``; an empty table gives no rows.
 
     A group may hold any share of the rows: sizes and largest ids are aggregated
-    before they are shuffled, and rows of one name meet a single row in each join.
+    before they are shuffled, and names that a thousandth of the rows share are
+    broadcast to them.
     """
     W.bounded_batches(docs.sparkSession)
     packed = pack(docs, keep, id=F.col(f"`{id_col}`"), text=F.col(f"`{text}`").cast("string"))
     schema = T.StructType([packed.schema["row"], packed.schema["id"]]).add("text_sha256", "string").add("blocks", T.ArrayType(T.BinaryType()))
     cut = packed.mapInArrow(_cut(block_bytes), schema)
     names = _numbered(cut.select(F.explode("blocks").alias("block")), "block-names")
-    valued = names.select(value(F.col("block")).alias("value"), "block", "name")
-    shared = valued.groupBy("value").agg(F.count("*").alias("held")).where("held > 1").select("value")
+    valued = names.select(value(F.col("block")).alias("value"), "block", "name", "held")
+    shared = valued.groupBy("value").agg(F.count("*").alias("blocks")).where("blocks > 1").select("value")
     shared = materialize(shared, "shared-values")
     # Rows keep their blocks only if some value doesn't tell its block.
     parts = [F.transform("blocks", lambda b: value(b)).alias("value"), *([] if shared.isEmpty() else [F.col("blocks").alias("block")])]
@@ -138,12 +156,13 @@ def exact_groups(
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "block-lists")
     listed = rows.select("rid", F.size("parts").cast("long").alias("n"), F.posexplode("parts").alias("place", "part"))
     listed = listed.select("rid", "n", F.col("place").cast("long").alias("at"), "part.*")
-    most = rows.agg(F.max(F.size("parts"))).head()[0] or 0
-    named = rows.drop("parts").join(identities(_named_blocks(listed, valued, shared), most), "rid")
+    most, total, count = (n or 0 for n in rows.agg(F.max(F.size("parts")), F.sum(F.size("parts")), F.count("*")).head())
+    named = rows.drop("parts").join(identities(_named_blocks(listed, valued, shared, total), most, total), "rid")
     named = materialize(named, "identities")
     last = F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "rid")).alias("last")
-    groups = named.groupBy("rounds", "name").agg(last, F.count("*").alias("group_size"))
-    out = named.join(groups, ["rounds", "name"]).select(
+    groups = named.groupBy("rounds", "name").agg(last, F.count("*").alias("held"))
+    groups = materialize(groups.withColumn("group_size", F.col("held")), "groups")
+    out = _met(named, groups, ["rounds", "name"], count).select(
         "row",
         F.col("last.id").alias("keep_id"),
         "group_size",
