@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltlog.llm import decontaminate, mixing, neardup, quality, sharding
 from siltlog.llm.registry import query, table
-from siltlog.session import working_path
+from siltlog.session import materialize, working_path
 
 SHARDS = 40
 
@@ -27,21 +28,33 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in mix order."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents as often as the mix takes them, by its shards and shuffled inside them."""
+    return mixing.mixed_rows(docs)
+
+
+def _stored(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows have a place in a file; else a written copy."""
+    try:
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return materialize(docs, "unsharded")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and slot.
 
-    They come from shards by a hash of the row, so each final shard holds the sources
-    in the shares of the mix. The few copies of a document the mix took count as
-    different rows, so they do not stand next to each other.
+    The old shards are runs of the files the mix wrote, which hold its output shards
+    in order: the tree's layout stays wherever sizes allow. Copies of a document
+    count as different rows by their place in the files, so they do not stand next
+    to each other.
     """
-    copies = Window.partitionBy("doc_id", "text").orderBy("doc_id")
-    told = docs.withColumn("_copy", F.row_number().over(copies))
-    old = F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "text", "_copy"), F.lit(SHARDS))
-    return sharding.reshard(told, SHARDS, old, key=("doc_id", "text", "_copy")).drop("_copy")
+    docs = _stored(docs)
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("int")
+    files = docs.select(part.alias("part")).agg(F.max("part")).head()[0]
+    old = F.floor(part * SHARDS / F.lit((files or 0) + 1)).cast("int")
+    key = ("doc_id", "text", "_metadata.file_name", "_metadata.row_index")
+    return sharding.reshard(docs, SHARDS, old, key=key)
 
 
 STAGES = [
