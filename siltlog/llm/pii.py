@@ -3,7 +3,8 @@
 Plain identifiers are found in the text as it stands. Two transducers then
 rewrite the text: one turns lookalike letters into the ASCII letter they imitate,
 one for one; the other turns spelled digits and spelled or bracketed at-signs and
-dots into the signs they stand for, keeping for every piece where it came from.
+dots, in four languages, into the signs they stand for, keeping for every piece
+where it came from.
 Identifiers found in the rewritten text are mapped back, so all spans are
 positions in the source.
 """
@@ -29,7 +30,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Letters of other scripts that look like ASCII ones, and digit words.
+# Letters of other scripts that look like ASCII ones.
 _LOOKALIKES = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O",
     "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "а": "a", "с": "c", "е": "e", "һ": "h", "і": "i",
@@ -39,10 +40,24 @@ _LOOKALIKES = {
     "․": ".", "。": ".", "．": ".", "·": ".", "﹒": ".", "＠": "@", "﹫": "@", "＋": "+", "﹢": "+",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "－": "-", "﹣": "-", "\u00a0": " ", "\u2007": " ", "\u202f": " ",
 }
+# Digits, signs and ends of domains as words, in English, German, French and Spanish.
 _DIGIT_WORDS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4",
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4",
+    "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4",
+    "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4",
+    "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+_AT_WORDS = "at|ät|klammeraffe|arobase|arroba"
+_DOT_WORDS = "dot|punkt|point|punto"
+_PLUS_WORDS = "plus|más"
+_ENDS = frozenset(
+    "com org net edu gov mil int info biz name pro io ai co app dev me tv xyz online site tech museum "
+    "uk de fr es eu us ca au nz ch nl se dk fi pl pt cz hu ro gr ie br mx ar cl pe jp cn kr ru ua tr za".split()
+)
 # First characters of runs of ten digits in other scripts and styles.
 _DIGIT_RUNS = (0x0660, 0x06F0, 0x0966, 0xFF10, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6)
 
@@ -50,30 +65,43 @@ _FOLD = {ord(k): v for k, v in _LOOKALIKES.items()}
 _FOLD |= {first + d: chr(48 + d) for first in _DIGIT_RUNS for d in range(10)}
 _FOLD |= {0xFF21 + k: chr(65 + k) for k in range(26)} | {0xFF41 + k: chr(97 + k) for k in range(26)}
 
-_WORDS = "|".join(_DIGIT_WORDS)
+_WORDS = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _SPELLED_RUN = re.compile(
-    rf"(?<![A-Za-z0-9])(?:{_WORDS}|[0-9]+)(?:[ \t.,-]{{1,3}}(?:{_WORDS}|[0-9]+))+(?![A-Za-z0-9])", re.IGNORECASE
+    rf"(?<![^\W_])(?:{_WORDS}|[0-9]+)(?:[ \t.,-]{{1,3}}(?:{_WORDS}|[0-9]+))+(?![^\W_])", re.IGNORECASE
 )
-_SPELLED = re.compile(rf"(?<![A-Za-z])({_WORDS})(?![A-Za-z])", re.IGNORECASE)
-_PLUS = re.compile(rf"(?<![A-Za-z])plus(?=[ \t]{{0,2}}(?:[0-9]|{_WORDS}))[ \t]{{0,2}}", re.IGNORECASE)
-_BRACKETED = re.compile(
-    r"[ \t]{0,2}(?:\([ \t]?(at|dot)[ \t]?\)|\[[ \t]?(at|dot)[ \t]?\]|\{[ \t]?(at|dot)[ \t]?\}|<[ \t]?(at|dot)[ \t]?>)[ \t]{0,2}",
+_SPELLED = re.compile(rf"(?<![^\W\d_])({_WORDS})(?![^\W\d_])", re.IGNORECASE)
+_PLUS = re.compile(rf"(?<![^\W\d_])(?:{_PLUS_WORDS})(?=[ \t]{{0,2}}(?:[0-9]|{_WORDS}))[ \t]{{0,2}}", re.IGNORECASE)
+
+
+def _in_brackets(sign: str) -> str:
+    return "(?:" + "|".join(rf"\{a}[ \t]?(?:{sign})[ \t]?\{b}" for a, b in ("()", "[]", "{}", "<>")) + ")"
+
+
+_BRACKETED_AT = re.compile(rf"[ \t]{{0,2}}{_in_brackets(f'{_AT_WORDS}|@')}[ \t]{{0,2}}", re.IGNORECASE)
+_BRACKETED_DOT = re.compile(rf"[ \t]{{0,2}}{_in_brackets(rf'{_DOT_WORDS}|\.')}[ \t]{{0,2}}", re.IGNORECASE)
+# A whole address with signs as words, in brackets or as they are. Bare words count
+# nowhere else, and a bare dot only on the way to a known end.
+_BARE_AT = rf"[ \t]{{1,2}}(?:{_AT_WORDS})[ \t]{{1,2}}"
+_BARE_DOT = rf"[ \t]{{1,2}}(?:{_DOT_WORDS})[ \t]{{1,2}}"
+_DOT = rf"(?:\.|{_BRACKETED_DOT.pattern}|{_BARE_DOT})"
+_PART, _LABEL = r"[A-Za-z0-9_%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
+_ADDRESS = re.compile(
+    rf"(?<![A-Za-z0-9_%+.-])(?P<local>{_PART}(?:{_DOT}{_PART}){{0,8}})"
+    rf"(?P<at>@|{_BRACKETED_AT.pattern}|{_BARE_AT})(?P<domain>{_LABEL}(?:{_DOT}{_LABEL}){{1,8}})(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
-# Bare words count only as a whole address: name at host dot domain.
-_WORDED = re.compile(
-    r"(?<=[A-Za-z0-9_%+-])[ \t]{1,2}at[ \t]{1,2}(?=[A-Za-z0-9-]{1,63}[ \t]{1,2}dot[ \t]{1,2}[A-Za-z0-9-])", re.IGNORECASE
-)
-_WORD_DOT = re.compile(r"(?<=[A-Za-z0-9-])[ \t]{1,2}dot[ \t]{1,2}(?=[A-Za-z0-9-])", re.IGNORECASE)
+_ONE_DOT, _ONE_BARE_DOT, _ONE_BARE_AT = (re.compile(p, re.IGNORECASE) for p in (_DOT, _BARE_DOT, _BARE_AT))
 
 # What a text must hold for either search to find anything: a sign, a digit, a
-# character the folding changes, or a spelled disguise.
-_ODD = "".join(f"\\x{{{c:X}}}" for c in sorted(_FOLD))
+# character that may be folded, or a spelled disguise. Folded characters are not listed
+# one by one, which would make the class many times dearer than the search itself.
+_FIRST_FOLDED = min(c for c in _FOLD if c > 0xFF)
+_BELOW = "".join(f"\\x{{{c:X}}}" for c in sorted(_FOLD) if c <= 0xFF)
 TRIGGER = (
-    f"[@0-9{_ODD}]"
-    r"|(?i:[(\[{<][ \t]?at[ \t]?[)\]}>])"
-    r"|(?i:[ \t]at[ \t]{1,2}[A-Za-z0-9-]{1,63}[ \t]{1,2}dot[ \t])"
-    rf"|(?i:(?:{_WORDS})[ \t.,-]{{1,3}}(?:{_WORDS}))"
+    f"[@0-9{_BELOW}\\x{{{_FIRST_FOLDED:X}}}-\\x{{10FFFF}}]"
+    rf"|(?iu:[(\[{{<][ \t]?(?:{_AT_WORDS})[ \t]?[)\]}}>])"
+    rf"|(?iu:[ \t](?:{_AT_WORDS})[ \t]{{1,2}}[A-Za-z0-9.-]{{1,64}}[ \t]{{0,2}}(?:(?:{_DOT_WORDS})[ \t]|[(\[{{<]))"
+    rf"|(?iu:[ \t.,-](?:{_WORDS})[ \t.,-]{{1,3}}(?:{_WORDS})[ \t.,-]{{1,3}}(?:{_WORDS}))"
 )
 
 
@@ -158,15 +186,33 @@ class Rewritten:
         return low, begin + end - self.starts[last] if same else high
 
 
+def _worded(text: str, address: re.Match) -> list[tuple[int, int, str]]:
+    """The replacements for bare words of one address; none if it lacks a known end or a disguise."""
+    dots = [m.span() for m in _ONE_DOT.finditer(text, *address.span("domain"))]
+    ends = [start for start, _ in dots[1:]] + [address.end("domain")]
+    known = [k for k, (d, end) in enumerate(zip(dots, ends)) if text[d[1] : end].lower() in _ENDS]
+    if not known:
+        return []
+    dots = dots[: known[-1] + 1]
+    while dots and text[slice(*dots[-1])] == ".":
+        dots.pop()  # a plain dot needs no help, and none behind it was bare
+    bare_at = _ONE_BARE_AT.fullmatch(address["at"]) is not None
+    if bare_at and not dots:
+        return []
+    local = [m.span() for m in _ONE_DOT.finditer(text, *address.span("local"))]
+    bare = [span for span in local + dots if _ONE_BARE_DOT.fullmatch(text[slice(*span)])]
+    return [(*span, ".") for span in bare] + ([(*address.span("at"), "@")] if bare_at else [])
+
+
 def _changes(text: str) -> list[tuple[int, int, str]]:
     """The replacements for a folded text, in order and without overlap."""
     found: list[tuple[int, int, str]] = []
-    for m in _BRACKETED.finditer(text):
-        found.append((*m.span(), "@" if next(g for g in m.groups() if g).lower() == "at" else "."))
-    for m in _WORDED.finditer(text):
+    for m in _BRACKETED_AT.finditer(text):
         found.append((*m.span(), "@"))
-    for m in _WORD_DOT.finditer(text):
+    for m in _BRACKETED_DOT.finditer(text):
         found.append((*m.span(), "."))
+    for m in _ADDRESS.finditer(text):
+        found += _worded(text, m)
     for m in _PLUS.finditer(text):
         found.append((*m.span(), "+"))
     for run in _SPELLED_RUN.finditer(text):
