@@ -6,7 +6,7 @@ named columns. :func:`register` adds one; no Python runs per row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -268,21 +268,25 @@ def _none_of(n: int) -> Column:
 def by_elected_format(rows: DataFrame) -> DataFrame:
     """Final records of :func:`parse_any` rows that have the format of their file as ``_elected``.
 
-    A record made by that format stands; a line that another one matched first is
-    matched again, and what the file's format doesn't match is ``unknown``.
+    A record made by that format stands, and what no format or no file's format
+    matches is ``unknown``. Lines that another format matched first are matched again;
+    there are hardly ever any, so they are a branch of their own.
     """
-    place = [c for c in rows.columns if c not in ("raw", "_value", "_format", "_elected", *RECORD, *_extras())]
+    fields = [*RECORD, *_extras()]
+    place = [c for c in rows.columns if c not in ("raw", "_value", "_format", "_elected", *fields)]
+    again = F.coalesce(F.col("_format") != F.col("_elected"), F.lit(False))
     fine = F.coalesce(F.col("_format") == F.col("_elected"), F.lit(False))
-    doubtful = F.col("_format").isNotNull() & ~fine
-    kept = F.struct(*RECORD, *_extras())
-    held = rows.select(*place, "raw", "_elected", doubtful.alias("_again"), F.when(fine, kept).alias("_kept"))
-    again = _tried(held, lambda i, name: F.col("_again") & (F.col("_elected") == name))
-    value = {n: F.coalesce(F.col(f"_kept.{n}"), F.col(n)) for n in (*RECORD, *_extras())}
-    lost = F.col("_kept").isNull() & F.col("_format").isNull()
+    settled = rows.where(~again).select(*place, "raw", *_final(fine, fields))
+    doubtful = rows.where(again).select(*place, "raw", "_elected")
+    if doubtful.isEmpty():
+        return settled
+    tried = _tried(doubtful, lambda i, name: F.col("_elected") == name)
+    return settled.unionByName(tried.select(*place, "raw", *_final(F.col("_format").isNotNull(), fields)))
+
+
+def _final(matched: Column, fields: Sequence[str]) -> list[Column]:
     unknown = {"level": F.lit("unknown"), "message": F.col("raw"), "fingerprint": fingerprint(F.lit("unknown"), F.col("raw"))}
-    return again.select(
-        *place, "raw", *[F.when(lost, unknown[n]).otherwise(c).alias(n) if n in unknown else c.alias(n) for n, c in value.items()]
-    )
+    return [F.when(matched, F.col(n)).otherwise(unknown.get(n)).alias(n) for n in fields]
 
 
 def elected_formats(heads: DataFrame) -> DataFrame:
