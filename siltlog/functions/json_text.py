@@ -56,40 +56,59 @@ def without_fence(text: Column) -> Column:
 _DOUBTFUL = ("f", "0", "-", "+", ".", " ")
 
 
-def _usable(item: Column, name: str) -> Column:
-    """A member as text; null if it is missing, empty, zero or false.
+def decoded(item: Column, *names: str) -> Column:
+    """The members of an item as texts, all read at once: a struct of ``names``, null where absent."""
+    return F.try_variant_get(item, "$", f"struct<{', '.join(f'`{n}` string' for n in names)}>")
+
+
+def _usable(item: Column, text: Column, name: str) -> Column:
+    """A member's ``text``; null if the member is missing, empty, zero or false.
 
     The type matters for the words ``0`` and ``false`` only, so it is looked up for
     texts that begin like one of them.
     """
-    text = F.try_variant_get(item, f"$.{name}", "string")
     unset = (text == "false") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
     quoted = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant")) == "STRING"
     doubtful = F.substring(text, 1, 1).isin(*_DOUBTFUL)
     return F.when(text.isNull() | (text == ""), None).when(doubtful & unset & ~quoted, None).otherwise(text)
 
 
-def member(item: Column, *names: str) -> Column:
-    """First usable member among the names, as a variant."""
-    return F.coalesce(
-        *[F.when(_usable(item, n).isNotNull(), F.try_variant_get(item, f"$.{n}", "variant")) for n in names]
-    )
+def _held(item: Column, name: str) -> Column:
+    """Whether a member that is no array is usable. An array always is, and is never
+    written out as text to find that out: callers look for one first."""
+    return _usable(item, F.try_variant_get(item, f"$.{name}", "string"), name).isNotNull()
+
 
+def _array(item: Column, name: str, of: str = "variant") -> Column:
+    return F.try_variant_get(item, f"$.{name}", f"array<{of}>")
 
-def text_of(item: Column, names: tuple[str, ...], default: str | None = None) -> Column:
-    found = [_usable(item, n) for n in names]
+
+def text_of(item: Column, names: tuple[str, ...], default: str | None = None, texts: Column | None = None) -> Column:
+    """The first usable of some members; ``texts`` are the item's :func:`decoded` ones."""
+    texts = decoded(item, *names) if texts is None else texts
+    found = [_usable(item, texts[n], n) for n in names]
     return F.coalesce(*found, F.lit(default)) if default is not None else F.coalesce(*found)
 
 
+def _first_array(item: Column, names: tuple[str, ...], of: str, other: Column) -> Column:
+    """The first usable member if it is an array, else ``other``."""
+    tries = [c for n in names for c in (_array(item, n, of), F.when(_held(item, n), other))]
+    return F.coalesce(*tries, other)
+
+
 def items_of(item: Column, *names: str) -> Column:
     """Array members of an item; an absent or non-array member is an empty array."""
-    found = F.try_variant_get(member(item, *names), "$", "array<variant>")
-    return F.coalesce(found, F.array().cast("array<variant>"))
+    return _first_array(item, names, "variant", F.array().cast("array<variant>"))
 
 
 def texts_of(item: Column, *names: str) -> Column:
-    found = F.try_variant_get(member(item, *names), "$", "array<string>")
-    return F.coalesce(found, F.array().cast("array<string>"))
+    return _first_array(item, names, "string", F.array().cast("array<string>"))
+
+
+def each(items: Column, names: tuple[str, ...], make) -> Column:
+    """``make(item, texts)`` for every item, its members decoded once."""
+    read = F.transform(items, lambda v: F.struct(v.alias("item"), decoded(v, *names).alias("texts")))
+    return F.transform(read, lambda r: make(r["item"], r["texts"]))
 
 
 def whole_number(text: Column) -> Column:
@@ -97,10 +116,10 @@ def whole_number(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("int")
 
 
-def confidence_of(item: Column) -> Column:
-    raw = F.try_variant_get(item, "$.confidence", "variant")
-    text = F.try_variant_get(raw, "$", "string")
-    is_number = F.schema_of_variant(raw).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+def confidence_of(item: Column, texts: Column) -> Column:
+    text = texts["confidence"]
+    type_name = F.schema_of_variant(F.try_variant_get(item, "$.confidence", "variant"))
+    is_number = type_name.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     value = F.when(is_number, text.try_cast("double")).otherwise(whole_number(text).cast("double"))
     return F.coalesce(value, F.lit(0.0))
 
@@ -108,8 +127,7 @@ def confidence_of(item: Column) -> Column:
 def as_items(value: Column, *wrappers: str) -> Column:
     """An array as it is, the array under one of the wrapper names, else the value alone."""
     direct = F.try_variant_get(value, "$", "array<variant>")
-    inner = F.try_variant_get(member(value, *wrappers), "$", "array<variant>")
-    return F.coalesce(direct, inner, F.array(value))
+    return F.coalesce(direct, _first_array(value, wrappers, "variant", F.array(value)))
 
 
 def _readable(responses: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
@@ -125,104 +143,126 @@ def _readable(responses: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
     return rows.where(F.col("_json").isNotNull()), keep
 
 
+_CLASSIFIED = (
+    "id", "logId", "category", "classification", "confidence", "severity", "explanation", "reason", "description", "insight",
+)
+
+
 def classification_rows(responses: DataFrame, text: str = "text") -> DataFrame:
     """One row per classified item: ``item_ord`` and the normalised fields.
 
     Other columns of ``responses`` are carried along; unreadable answers give no rows.
     """
     parsed, keep = _readable(responses, text)
+    # An answer is at least one item, or an empty array, which the filter leaves out.
     items = parsed.select(
         *keep,
-        F.posexplode(as_items(F.col("_json"), "classifications", "results")).alias("item_ord", "_item"),
-    )
-    item = F.col("_item")
+        F.posexplode_outer(as_items(F.col("_json"), "classifications", "results")).alias("item_ord", "_item"),
+    ).where("item_ord IS NOT NULL")
+    items = items.select(*keep, "item_ord", "_item", decoded(F.col("_item"), *_CLASSIFIED).alias("_texts"))
+    item, texts = F.col("_item"), F.col("_texts")
     return items.select(
         *keep,
         "item_ord",
-        text_of(item, ("id", "logId"), "unknown").alias("result_id"),
-        text_of(item, ("category", "classification"), "Unknown").alias("category"),
-        confidence_of(item).alias("confidence"),
-        text_of(item, ("severity",), "medium").alias("severity"),
-        text_of(item, ("explanation", "reason", "description"), "No explanation provided").alias(
+        text_of(item, ("id", "logId"), "unknown", texts).alias("result_id"),
+        text_of(item, ("category", "classification"), "Unknown", texts).alias("category"),
+        confidence_of(item, texts).alias("confidence"),
+        text_of(item, ("severity",), "medium", texts).alias("severity"),
+        text_of(item, ("explanation", "reason", "description"), "No explanation provided", texts).alias(
             "explanation"
         ),
-        text_of(item, ("insight",), "").alias("insight"),
+        text_of(item, ("insight",), "", texts).alias("insight"),
     )
 
 
-def _step(step: Column) -> Column:
+_STEP = ("level", "description", "message", "summary", "timestamp", "time")
+
+
+def _step(step: Column, texts: Column) -> Column:
     return F.struct(
-        text_of(step, ("level",), "info").alias("level"),
-        text_of(step, ("description", "message", "summary"), "").alias("description"),
-        text_of(step, ("timestamp", "time"), "").alias("timestamp"),
+        text_of(step, ("level",), "info", texts).alias("level"),
+        text_of(step, ("description", "message", "summary"), "", texts).alias("description"),
+        text_of(step, ("timestamp", "time"), "", texts).alias("timestamp"),
     )
 
 
+_EVENT = ("timestamp", "time", "eventTitle", "title", "event", "severity", "level", "summary", "description")
+
+
 def timeline_rows(responses: DataFrame, text: str = "text") -> DataFrame:
     """One row per timeline event with ``item_ord``; ``overall_summary`` repeats per answer."""
     parsed, keep = _readable(responses, text)
-    direct = F.try_variant_get("_json", "$", "array<variant>")
-    listed = member(F.col("_json"), "timeline", "events")
-    events = F.coalesce(
-        direct,
-        F.try_variant_get(listed, "$", "array<variant>"),
-        F.when(listed.isNotNull(), F.array(listed)),
-        F.array("_json"),
-    )
-    rows = parsed.select(
+    answer = F.col("_json")
+    listed = [
+        c
+        for n in ("timeline", "events")
+        for c in (_array(answer, n), F.when(_held(answer, n), F.array(F.try_variant_get(answer, f"$.{n}", "variant"))))
+    ]
+    events = F.coalesce(F.try_variant_get(answer, "$", "array<variant>"), *listed, F.array(answer))
+    told = parsed.select(*keep, "_json", decoded(answer, "overallSummary", "summary").alias("_texts"))
+    rows = told.select(
         *keep,
-        text_of(F.col("_json"), ("overallSummary", "summary"), "Timeline generated from log data").alias(
+        text_of(answer, ("overallSummary", "summary"), "Timeline generated from log data", F.col("_texts")).alias(
             "overall_summary"
         ),
         F.posexplode_outer(events).alias("item_ord", "_event"),
     )
-    event = F.col("_event")
+    rows = rows.select(*keep, "overall_summary", "item_ord", "_event", decoded(F.col("_event"), *_EVENT).alias("_texts"))
+    event, texts = F.col("_event"), F.col("_texts")
     return rows.select(
         *keep,
         "overall_summary",
         "item_ord",
-        text_of(event, ("timestamp", "time"), "Unknown").alias("timestamp"),
-        text_of(event, ("eventTitle", "title", "event"), "Unnamed Event").alias("event_title"),
-        text_of(event, ("severity", "level"), "info").alias("severity"),
-        text_of(event, ("summary", "description"), "No summary").alias("summary"),
-        F.transform(items_of(event, "escalationPath", "escalation_path"), _step).alias(
-            "escalation_path"
-        ),
+        text_of(event, ("timestamp", "time"), "Unknown", texts).alias("timestamp"),
+        text_of(event, ("eventTitle", "title", "event"), "Unnamed Event", texts).alias("event_title"),
+        text_of(event, ("severity", "level"), "info", texts).alias("severity"),
+        text_of(event, ("summary", "description"), "No summary", texts).alias("summary"),
+        each(items_of(event, "escalationPath", "escalation_path"), _STEP, _step).alias("escalation_path"),
         texts_of(event, "supportingEvidence", "evidence", "logs").alias("supporting_evidence"),
         texts_of(event, "affectedComponents", "components").alias("affected_components"),
     )
 
 
-def _finding(e: Column) -> Column:
+_FINDING = ("finding", "observation", "logPattern", "pattern", "log", "occurrences", "count", "significance", "importance")
+
+
+def _finding(e: Column, texts: Column) -> Column:
+    counted = [(_usable(e, texts[n], n).isNotNull(), F.try_variant_get(e, f"$.{n}", "long")) for n in ("occurrences", "count")]
+    (first, one), (second, two) = counted
     return F.struct(
-        text_of(e, ("finding", "observation"), "N/A").alias("finding"),
-        text_of(e, ("logPattern", "pattern", "log"), "N/A").alias("log_pattern"),
-        F.coalesce(F.try_variant_get(member(e, "occurrences", "count"), "$", "long"), F.lit(0)).alias(
-            "occurrences"
-        ),
-        text_of(e, ("significance", "importance"), "N/A").alias("significance"),
+        text_of(e, ("finding", "observation"), "N/A", texts).alias("finding"),
+        text_of(e, ("logPattern", "pattern", "log"), "N/A", texts).alias("log_pattern"),
+        F.coalesce(F.when(first, one).when(second, two), F.lit(0)).alias("occurrences"),
+        text_of(e, ("significance", "importance"), "N/A", texts).alias("significance"),
     )
 
 
-def _recommendation(r: Column) -> Column:
+_ADVICE = ("action", "recommendation", "priority", "rationale", "reason")
+
+
+def _recommendation(r: Column, texts: Column) -> Column:
     return F.struct(
-        text_of(r, ("action", "recommendation"), "N/A").alias("action"),
-        text_of(r, ("priority",), "medium").alias("priority"),
-        text_of(r, ("rationale", "reason"), "N/A").alias("rationale"),
+        text_of(r, ("action", "recommendation"), "N/A", texts).alias("action"),
+        text_of(r, ("priority",), "medium", texts).alias("priority"),
+        text_of(r, ("rationale", "reason"), "N/A", texts).alias("rationale"),
     )
 
 
+_REPORT = ("rootCause", "root_cause", "impact", "confidence", "analysisNotes", "notes")
+
+
 def root_cause_rows(responses: DataFrame, text: str = "text") -> DataFrame:
     """One normalised root-cause report per readable answer."""
     parsed, keep = _readable(responses, text)
-    report = F.col("_json")
-    return parsed.select(
+    read = parsed.select(*keep, "_json", decoded(F.col("_json"), *_REPORT).alias("_texts"))
+    report, texts = F.col("_json"), F.col("_texts")
+    return read.select(
         *keep,
-        text_of(report, ("rootCause", "root_cause"), "Unable to determine root cause").alias("root_cause"),
-        F.transform(items_of(report, "evidence"), _finding).alias("evidence"),
+        text_of(report, ("rootCause", "root_cause"), "Unable to determine root cause", texts).alias("root_cause"),
+        each(items_of(report, "evidence"), _FINDING, _finding).alias("evidence"),
         texts_of(report, "causalChain", "causal_chain", "chain").alias("causal_chain"),
-        text_of(report, ("impact",), "Impact not assessed").alias("impact"),
-        F.transform(items_of(report, "recommendations"), _recommendation).alias("recommendations"),
-        confidence_of(report).alias("confidence"),
-        text_of(report, ("analysisNotes", "notes")).alias("analysis_notes"),
+        text_of(report, ("impact",), "Impact not assessed", texts).alias("impact"),
+        each(items_of(report, "recommendations"), _ADVICE, _recommendation).alias("recommendations"),
+        confidence_of(report, texts).alias("confidence"),
+        text_of(report, ("analysisNotes", "notes"), texts=texts).alias("analysis_notes"),
     )
