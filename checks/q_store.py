@@ -1,5 +1,7 @@
 """Queries over the ingested store: filters, joins, aggregates, windows, samples (B-G)."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.fixtures import ISO
@@ -7,7 +9,7 @@ from checks.q_sources import signals_sql
 from checks.registry import query
 from siltlog.functions.text import contains_all_of
 from siltlog.functions.times import iso_text
-from siltlog.operators import chains, context, patterns as P, sampling, select, signals, stats
+from siltlog.operators import chains, context, lookup, patterns as P, sampling, select, signals, stats
 from siltlog.operators.order import dense_index
 from siltlog.plans.prompts import scope_text
 from siltlog.plans.reports import patterns_by_hour
@@ -222,6 +224,59 @@ def requested_context(x):
     return rows.select(F.col("context_ord").cast("long").alias("context_ord"), "pos", "id")
 
 
+# --- the same through the tables kept next to a store ---
+
+
+@query(
+    "c01_indexed_ids",
+    f"SELECT r.ord AS request_ord, {ROW_SQL} FROM logs JOIN (VALUES {IDS_SQL}) r(ord, rid) ON rid = id",
+)
+def indexed_ids(x):
+    return lookup.by_ids(x.store(), IDS).select("request_ord", *row())
+
+
+@query(
+    "c07_indexed_context",
+    f"""SELECT row_number() OVER (ORDER BY request_ord, pos) - 1 AS context_ord, pos, id FROM
+        (SELECT l.pos, l.id, min(r.ord) AS request_ord FROM (VALUES {IDS_SQL}) r(ord, rid) JOIN logs c ON c.id = rid
+         JOIN logs l ON l.pos BETWEEN c.pos - 5 AND c.pos + 5 GROUP BY ALL)""",
+)
+def indexed_context(x):
+    rows = lookup.requested_context(x.store(), IDS)
+    return rows.select(F.col("context_ord").cast("long").alias("context_ord"), "pos", "id")
+
+
+@query(
+    "b08_indexed_fingerprints",
+    f"SELECT {ROW_SQL} FROM logs WHERE fingerprint IN (SELECT fingerprint FROM patterns ORDER BY occurrence_count, pos LIMIT 3)",
+)
+def indexed_fingerprints(x):
+    rarest = x.patterns.orderBy("occurrence_count", "pos").limit(3).collect()
+    return lookup.by_fingerprints(x.store(), [r["fingerprint"] for r in rarest]).select(*row())
+
+
+@query(
+    "d08_kept_cube",
+    f"""SELECT 'level' AS part, level AS name, count(*) AS n FROM logs GROUP BY level
+        UNION ALL SELECT 'bucket', {ISO.format("time_bucket(INTERVAL 15 MINUTE, ts)")}, count(*) FROM logs WHERE ts IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT 'hour', {ISO.format("date_trunc('hour', ts)")}, count(*) FROM logs WHERE ts IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT 'range', {ISO.format("min(ts)")} || ' ' || {ISO.format("max(ts)")}, count(*) FROM logs
+        UNION ALL SELECT 'sizes', count(DISTINCT level) || ' ' || count(DISTINCT time_bucket(INTERVAL 15 MINUTE, ts)) || ' '
+          || count(DISTINCT date_trunc('hour', ts)), count(DISTINCT fingerprint) FROM logs""",
+)
+def kept_cube(x):
+    store = x.store()
+    stat = lookup.store_stats(store)
+    parts = [
+        lookup.count_by_level(store).select(F.lit("level").alias("part"), F.col("level").alias("name"), "n"),
+        lookup.time_buckets(store).select(F.lit("bucket"), iso_text(F.col("bucket")), "n"),
+        lookup.hourly_buckets(store).select(F.lit("hour"), iso_text(F.col("bucket")), "n"),
+        stat.select(F.lit("range"), F.concat_ws(" ", iso_text(F.col("range_start")), iso_text(F.col("range_end"))), "total_logs"),
+        stat.select(F.lit("sizes"), F.concat_ws(" ", "levels", "time_windows", "hourly_buckets"), "unique_patterns"),
+    ]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
 # --- D: aggregates ---
 
 

@@ -22,6 +22,7 @@ from siltlog.schema import EXTRA_SCHEMA, LOG_COLUMNS, PATTERN_SCHEMA, STORED_LOG
 from siltlog.session import release_later, remove, utc_session, working_path
 from siltlog.sources import versions
 from siltlog.sources.formats import LogFormat, numbered
+from siltlog.sources.kept import TABLES
 from siltlog.sources.lines import landed_records, number_landed, placed_lines
 
 # Fixed value: file name of the sample log.
@@ -62,6 +63,21 @@ class LogStore:
             return self.spark.createDataFrame([], PATTERN_SCHEMA)
         return self.spark.read.schema(PATTERN_SCHEMA).parquet(f"{self.path}/patterns/run={self.version.patterns}")
 
+    def kept(self, name: str) -> DataFrame:
+        """A table of :mod:`siltlog.sources.kept` for this version; runs that lack it get it now.
+
+        A run's table counts once it is written to the end, so an early end or two
+        builders at once do no harm.
+        """
+        table = TABLES[name]
+        for run in sorted(set(self.version.days.values())):
+            folder = f"{self.path}/{name}/run={run}"
+            if not versions.exists(self.spark, f"{folder}/_SUCCESS"):
+                logs = self.spark.read.schema(STORED_LOG_SCHEMA).parquet(f"{self.path}/logs/run={run}")
+                rows = table.build(logs).sortWithinPartitions("log_date", table.order)
+                rows.write.options(**dict(table.options)).mode("overwrite").partitionBy("log_date").parquet(folder)
+        return self._days(name, StructType.fromDDL(table.schema))
+
     def _days(self, table: str, schema: StructType, days: Collection[str] | None = None) -> DataFrame:
         """The rows of some days, all by default, of a table that is stored by run and day."""
         folders = self.version.folders(table, days)
@@ -160,7 +176,7 @@ class LogStore:
         """Folders that only the version before needs go when the session's tables are released."""
         if before is None:
             return
-        for table in ("logs", "pattern_parts"):
+        for table in ("logs", "pattern_parts", *TABLES):
             live = set(self.version.folders(table))
             release_later(self.spark, *[f"{self.path}/{f}" for f in before.folders(table) if f not in live])
         release_later(self.spark, f"{self.path}/patterns/run={before.patterns}")

@@ -84,6 +84,12 @@ def commit(spark: SparkSession, path: str, version: Version) -> Version:
     return version
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, folder, new_path = _files(spark, path)
+    if not fs.rename(folder, new_path(to)):
+        raise RuntimeError(f"{path} could not be renamed to {to}")
+
+
 def subfolders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     """Values of the folders ``<prefix>=<value>`` below a path."""
     fs, folder, _ = _files(spark, path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -90,15 +93,21 @@ def window_counts(parsed: DataFrame, minutes: int = 15) -> DataFrame:
     )
 
 
-def start_counts(parsed: DataFrame, path: str, checkpoint: str, minutes: int = 15) -> StreamingQuery:
+def start_counts(
+    parsed: DataFrame, path: str, checkpoint: str, minutes: int = 15, compact_every: int = 100
+) -> StreamingQuery:
     """Write the counts of each micro-batch; :func:`read_counts` adds them up.
 
     Each batch owns one ``epoch`` folder and overwrites it, so replays are safe. No
     window is ever closed, so late lines and the end of the data count as well.
+    Every ``compact_every`` batches the epochs are added up into one generation, so
+    the number of folders stays below twice that.
     """
 
     def land(batch: DataFrame, epoch: int) -> None:
         window_counts(batch, minutes).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if epoch and epoch % compact_every == 0:
+            compact_counts(batch.sparkSession, path)
 
     return (
         parsed.writeStream.foreachBatch(land)
@@ -108,7 +117,43 @@ def start_counts(parsed: DataFrame, path: str, checkpoint: str, minutes: int = 1
     )
 
 
+COUNT_SCHEMA = "bucket timestamp, level string, n long"
+
+
+def _count_parts(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The epoch the latest generation goes up to (-1: none), and the epochs behind it."""
+    through = max([int(g) for g in versions.subfolders(spark, f"{path}-generations", "through")], default=-1)
+    return through, sorted(e for e in map(int, versions.subfolders(spark, path, "epoch")) if e > through)
+
+
+def _added_up(spark: SparkSession, path: str, through: int, epochs: list[int]) -> DataFrame:
+    folders = [f"{path}-generations/through={through}"] * (through >= 0) + [f"{path}/epoch={e}" for e in epochs]
+    if not folders:
+        return spark.createDataFrame([], COUNT_SCHEMA)
+    return reduce(DataFrame.unionByName, [spark.read.schema(COUNT_SCHEMA).parquet(f) for f in folders]).groupBy(
+        "bucket", "level"
+    ).agg(F.sum("n").alias("n"))
+
+
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """``bucket, level, n`` over everything the stream has counted so far."""
-    parts = spark.read.schema("bucket timestamp, level string, n long").parquet(path)
-    return parts.groupBy("bucket", "level").agg(F.sum("n").alias("n"))
+    return _added_up(spark, path, *_count_parts(spark, path))
+
+
+def compact_counts(spark: SparkSession, path: str) -> int:
+    """Add all epochs but the last one, which may be replayed, up into one generation.
+
+    The generation counts from when its folder has its name; only then do the epochs it
+    holds go. Returns the epoch it goes up to.
+    """
+    through, epochs = _count_parts(spark, path)
+    if len(epochs) < 2:
+        return through
+    draft = f"{path}-generations/_draft-{uuid4().hex}"
+    _added_up(spark, path, through, epochs[:-1]).coalesce(1).write.parquet(draft)
+    versions.rename(spark, draft, f"{path}-generations/through={epochs[-2]}")
+    for epoch in epochs[:-1]:
+        remove(spark, f"{path}/epoch={epoch}")
+    if through >= 0:
+        remove(spark, f"{path}-generations/through={through}")
+    return epochs[-2]
