@@ -11,7 +11,7 @@ is unlike the centre ``c``. Such documents ``x`` and ``y`` have at most
 ``min(|x & c|, |y & c|)`` shingles in common inside the centre, and outside it at
 most as many as either of them shares with documents of other components.
 Pairs of one star that this bound and their sizes leave possible are tested too, if
-they meet in one of their rarest shingles, as linked ones must; so no link of two
+they meet in one of their first shingles, as linked ones must; so no link of two
 documents that meet in a bucket is lost. All links are confirmed on full shingle sets.
 
 Documents with the same set are one node from the start, so copies never meet in
@@ -219,21 +219,24 @@ def _possible_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     A member's outside shingles count when several components hold them. Members
     that could be linked with no other, however their shingles fall, go first. Of the
-    rest only those meet that have one of their rarest shingles in common: linked
+    rest only those meet that have one of their first shingles in common: linked
     sets share three quarters of the larger one, so with the shingles of a star in
-    one order, the rarest first, a common one is among the first quarter of either.
-    No pair is lost that way, and what a whole star has in common joins nobody.
+    one order a common one is among the first quarter of either. Shingles outside the
+    centre come first, the rarest of them at the front, so what a whole star has in
+    common joins hardly anybody, and no pair is lost.
     """
     tokens = members.select("c", "m", "root", F.explode("extra").alias("token"))
-    shared = tokens.groupBy("c", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    more = tokens.join(shared.select("c", "token"), ["c", "token"]).groupBy("c", "m").agg(F.count("*").alias("more"))
+    held = tokens.groupBy("c", "token").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("several"))
+    tokens = materialize(tokens.drop("root").join(held, ["c", "token"]), "star-shingles")
+    more = tokens.where("several").groupBy("c", "m").agg(F.count("*").alias("more"))
     able = members.drop("extra").join(more, ["c", "m"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
-    able = materialize(able.where(_could_link(F.col("both") + F.col("more"), F.col("nm"), F.col("least"))), "able")
-    rare = _rarest(able.select("c", "m", "nm"), sets)
+    able = able.where(_could_link(F.col("both") + F.col("more"), F.col("nm"), F.col("least")))
+    able = materialize(able.withColumn("first", F.col("nm") - F.ceil(F.col("nm") * PERCENT / 100) + 1), "able")
+    first = _first_shingles(able, tokens, sets)
 
     def side(end: str) -> DataFrame:
         own = able.select("c", *[F.col(name).alias(name + end) for name in ("m", "nm", "both", "more", "root")])
-        return own.join(rare.withColumnRenamed("m", "m" + end), ["c", "m" + end])
+        return own.join(first.withColumnRenamed("m", "m" + end), ["c", "m" + end])
 
     common = F.least("both1", "both2") + F.least("more1", "more2")
     fits = _could_link(common, F.col("nm1"), F.col("nm2")) & (F.col("root1") != F.col("root2"))
@@ -241,18 +244,22 @@ def _possible_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.col("m1").alias("c"), F.col("m2").alias("m")).distinct()
 
 
-def _rarest(able: DataFrame, sets: DataFrame) -> DataFrame:
-    """``c, m, token``: of each member the shingles among which a linked one must find a common
-    one, without those that no other member has among its own."""
-    held = able.join(sets.withColumnRenamed("node", "m"), "m").select("c", "m", "nm", F.explode("shingles").alias("token"))
-    held = materialize(held, "star-shingles")
-    holders = held.groupBy("c", "token").agg(F.count("*").alias("holders"))
-    order = Window.partitionBy("c", "m").orderBy("holders", "token")
-    needed = F.col("nm") - F.ceil(F.col("nm") * PERCENT / 100) + 1
-    ranked = held.join(holders, ["c", "token"]).withColumn("place", F.row_number().over(order))
-    rare = materialize(ranked.where((F.col("place") <= needed) & (F.col("holders") > 1)).select("c", "m", "token"), "rare-shingles")
-    met = rare.groupBy("c", "token").agg(F.count("*").alias("n")).where("n > 1").select("c", "token")
-    return materialize(rare.join(met, ["c", "token"]), "met-shingles")
+def _first_shingles(able: DataFrame, tokens: DataFrame, sets: DataFrame) -> DataFrame:
+    """``c, m, token``: the ``first`` shingles of each member, without those that only one
+    component, or only one member, has among its own."""
+    order = Window.partitionBy("c", "m").orderBy("n", "token")
+    outside = tokens.join(able.select("c", "m", "first"), ["c", "m"]).withColumn("place", F.row_number().over(order))
+    outside = outside.where((F.col("place") <= F.col("first")) & F.col("several")).select("c", "m", "token")
+    # Only members that lie mostly inside the centre go on to shingles of the centre.
+    need = (F.col("first") - (F.col("nm") - F.col("both"))).cast("int")
+    inner = able.where(need > 0).select("c", "m", need.alias("need"))
+    one = sets.select(F.col("node").alias("c"), F.col("shingles").alias("sc"))
+    two = sets.select(F.col("node").alias("m"), F.col("shingles").alias("sm"))
+    common = F.slice(F.array_sort(F.array_intersect("sm", "sc")), F.lit(1), F.col("need"))
+    inside = inner.join(two, "m").join(one, "c").select("c", "m", common.alias("common"))
+    first = materialize(outside.unionByName(inside.select("c", "m", F.explode_outer("common").alias("token"))), "first-shingles")
+    met = first.groupBy("c", "token").agg(F.count("*").alias("n")).where("n > 1").select("c", "token")
+    return materialize(first.join(met, ["c", "token"]), "met-shingles")
 
 
 def _joined(links: DataFrame | None, tested: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
