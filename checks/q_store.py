@@ -235,6 +235,18 @@ def indexed_ids(x):
     return lookup.by_ids(x.store(), IDS).select("request_ord", *row())
 
 
+@query(
+    "b03_indexed_search",
+    f"""SELECT 'child' AS kind, {ROW_SQL} FROM logs WHERE contains(lower(raw), 'child') AND contains(lower(raw), 'slot') AND contains(lower(raw), '1')
+        UNION ALL SELECT 'rare', {ROW_SQL} FROM logs WHERE contains(lower(raw), 'unparsed') AND contains(lower(raw), '97')
+        UNION ALL SELECT 'short', {ROW_SQL} FROM logs WHERE contains(lower(raw), '99')""",
+)
+def indexed_search(x):
+    asked = {"child": " Child\tSLOT  1", "rare": "Unparsed 97", "short": "99", "none": "zzzz"}
+    found = [lookup.search(x.store(), q).select(F.lit(kind).alias("kind"), *row()) for kind, q in asked.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query(
     "c07_indexed_context",
     f"""SELECT row_number() OVER (ORDER BY request_ord, pos) - 1 AS context_ord, pos, id FROM

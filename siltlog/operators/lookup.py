@@ -11,10 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from siltlog.functions.text import keywords
 from siltlog.functions.times import hour_start
 from siltlog.operators import context, select
 from siltlog.operators.order import any_range
 from siltlog.schema import CONTEXT_ROWS
+from siltlog.session import materialize
 from siltlog.sources.kept import BLOCK
 from siltlog.sources.store import LogStore
 
@@ -66,16 +68,44 @@ def by_fingerprints(store: LogStore, fingerprints: Sequence[str]) -> DataFrame:
     match = F.col("fingerprint").isin(wanted)
     if len(wanted) > MOST_LISTED:
         return select.by_fingerprints(store.logs, store.patterns.join(store.spark.createDataFrame([(f,) for f in wanted], "fingerprint string"), "fingerprint"))
-    held = store.kept("blocks").where(match).select(F.explode("blocks").alias("block")).distinct()
-    # A run starts at a block without the one before it; only the starts and ends are counted.
+    held = store.kept("blocks").where(match).select(F.explode_outer("blocks").alias("block")).distinct()
+    return _in_blocks(store, held).where(match)
+
+
+def _in_blocks(store: LogStore, held: DataFrame) -> DataFrame:
+    """The log rows of some blocks, by literal positions; all rows if the blocks make more
+    than ``MOST_LISTED`` runs."""
+    # A run starts at a block without the one before it; only its ends reach the driver.
     before, after = held.select((F.col("block") + 1).alias("block")), held.select((F.col("block") - 1).alias("block"))
     starts = held.join(before, "block", "left_anti")
     if starts.limit(MOST_LISTED + 1).count() > MOST_LISTED:
-        return store.logs.where(match)
+        return store.logs
     ends = held.join(after, "block", "left_anti")
     low, high = (sorted(r["block"] for r in edge.collect()) for edge in (starts, ends))
     spans = [(a * BLOCK, b * BLOCK + BLOCK - 1) for a, b in zip(low, high, strict=True)]
-    return store.logs.where(any_range("pos", spans) & match)
+    return store.logs.where(any_range("pos", spans))
+
+
+def blocks_with(store: LogStore, query: str) -> DataFrame | None:
+    """``block``: those that hold every three characters of the query's words; None if no
+    word is that long. The lists of all are intersected by counting them."""
+    wanted = sorted({w[i : i + 3] for w in keywords(query) for i in range(len(w) - 2)})
+    if not wanted:
+        return None
+    listed = store.kept("trigrams").where(F.col("trigram").isin(wanted)).select("trigram", F.explode_outer("blocks").alias("block"))
+    # A block over midnight has lists of two days.
+    return listed.distinct().groupBy("block").count().where(F.col("count") == len(wanted)).select("block")
+
+
+def search(store: LogStore, query: str) -> DataFrame:
+    """:func:`siltlog.operators.select.search` over the blocks that may hold every word.
+
+    Words of one or two characters are looked for in those blocks only; if there is
+    no longer one, the table is scanned.
+    """
+    blocks = blocks_with(store, query)
+    rows = store.logs if blocks is None else _in_blocks(store, materialize(blocks, "search-blocks"))
+    return select.search(rows, query)
 
 
 def count_by_level(store: LogStore) -> DataFrame:

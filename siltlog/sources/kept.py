@@ -7,6 +7,8 @@ days it wrote and goes on using those of all others.
 * ``cube``: counts, times and a mergeable sketch of fingerprints per level and quarter
   of an hour.
 * ``blocks``: the blocks of 4,096 positions that hold a fingerprint, sorted by it.
+* ``trigrams``: the blocks in which three characters stand next to each other in some
+  lower-cased line, sorted by them.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siltlog.functions.times import bucket_start
 from siltlog.operators.order import block_of
@@ -54,6 +56,22 @@ def _blocks(logs: DataFrame) -> DataFrame:
     return listed.repartitionByRange("log_date", "fingerprint")
 
 
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of a text; none if it is shorter."""
+    chars = F.split(text, "")
+    last = F.size(chars) - 3
+    triple = lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2))
+    return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), triple)))
+
+
+def _trigrams(logs: DataFrame) -> DataFrame:
+    # Rows of a block are next to each other, so a task ships each of its trigrams once.
+    rows = logs.select("log_date", block_of("pos", BLOCK).alias("block"), F.explode_outer(trigrams(F.lower("raw"))).alias("trigram"))
+    held = rows.where("trigram IS NOT NULL").distinct()
+    listed = held.groupBy("log_date", "trigram").agg(F.array_sort(F.collect_list("block")).alias("blocks"))
+    return listed.repartitionByRange("log_date", "trigram")
+
+
 TABLES = {
     "lines": Kept(
         "line_number long, pos long, log_date string",
@@ -66,5 +84,6 @@ TABLES = {
         _cube,
         "bucket",
     ),
+    "trigrams": Kept("trigram string, blocks array<long>, log_date string", _trigrams, "trigram"),
     "blocks": Kept("fingerprint string, n long, blocks array<long>, log_date string", _blocks, "fingerprint"),
 }

@@ -72,6 +72,20 @@ def test_only_blocks_with_a_fingerprint_are_read(spark, store, numbered, monkeyp
     assert same(lookup.by_fingerprints(small, sorted(counts)[:3]), small.logs.where(F.col("fingerprint").isin(sorted(counts)[:3])))
 
 
+def test_a_search_reads_only_blocks_with_all_trigrams(spark, store, monkeypatch):
+    monkeypatch.setattr(kept, "BLOCK", 64)
+    monkeypatch.setattr(lookup, "BLOCK", 64)
+    odd = store.logs.withColumn("raw", F.when(F.col("pos") % 97 == 0, F.concat(F.lit("Ünïcode 😀😀x"), "raw")).otherwise(F.col("raw")))
+    small = LogStore.ingest(odd.select(*[c for c in store.logs.columns if c not in ("pos", "log_date")]), working_path(spark, "search-store"))
+    for query in ("only ONCE", "alpha beta", "ünïc", "😀😀X", "ïcode kappa", "on ce", "zzz", "  ", "a", "gamma [e", "undated"):
+        assert same(lookup.search(small, query), select.search(small.logs, query)), query
+    at = select.search(small.logs, "only once").head()["pos"] // 64 * 64
+    assert [r["block"] for r in lookup.blocks_with(small, "only once").collect()] == [at // 64]
+    assert lookup.blocks_with(small, "on ce") is None and f"GreaterThanOrEqual(pos,{at})" in plan(lookup.search(small, "once"))
+    monkeypatch.setattr(lookup, "MOST_LISTED", 1)
+    assert same(lookup.search(small, "alpha beta"), select.search(small.logs, "alpha beta"))
+
+
 def test_the_cube_equals_scans_and_grows_by_runs(spark, store, numbered):
     def check(s):
         assert same(lookup.count_by_level(s), stats.count_by_level(s.logs))
