@@ -76,7 +76,7 @@ def test_pairs_of_long_and_other_strings_are_all_counted(spark):
 
 
 def test_recall_of_the_model_as_trained_by_the_query(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(SF_DIR.replace("0.001", "0.1") + "/documents.parquet").select("doc_id", "text")
     weights = secrets.train(secrets.labelled_samples(docs))
     rng = random.Random(7)
     for letters in (secrets.ALPHABET[:26] + "0123456789", secrets.ALPHABET[:62]):
