@@ -11,8 +11,6 @@ shard, so neither side is ever held whole by a task or the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -156,30 +154,29 @@ def search_tree(queries, query_keys, floor, points, ids, keys, ends, low, high,
 
 
 def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                dim = r["dim"]
-                load = lambda name: np.frombuffer(r[name], dtype=np.float64).reshape(-1, dim)  # noqa: B023, E731
-                qid, qkey = np.array(r["q_ids"], dtype=np.int64), np.array(r["q_keys"], dtype=np.int64)
-                queries = load("q_points") if dim else np.zeros((len(qid), 0))
-                floor = np.array(r["floor"] if r["floor"] else [-np.inf] * len(qid), dtype=np.float64)
-                ids, keys = np.array(r["ids"], dtype=np.int64), np.array(r["keys"], dtype=np.int64)
-                ends = np.array(r["ends"])
-                points, low, high = (
-                    (load("points"), load("low"), load("high")) if dim else (np.zeros((len(ids), 0)), np.zeros((1, 0)), np.zeros((1, 0)))
-                )
+    """Search one tree with a group of blocks: the tree is decoded once for all of them."""
+
+    def run(blocks: pa.Table, trees: pa.Table) -> pa.Table:
+        found = []
+        for tree in trees.to_pylist() if blocks.num_rows else []:
+            dim = tree["dim"]
+            load = lambda data: np.frombuffer(data, dtype=np.float64).reshape(-1, dim)  # noqa: B023, E731
+            ids, keys, ends = (np.array(tree[c], dtype=np.int64) for c in ("ids", "keys", "ends"))
+            points, low, high = (
+                (load(tree["points"]), load(tree["low"]), load(tree["high"]))
+                if dim
+                else (np.zeros((len(ids), 0)), np.zeros((1, 0)), np.zeros((1, 0)))
+            )
+            for i in range(blocks.num_rows):
+                block = blocks.slice(i, 1).to_pylist()[0]
+                qid, qkey = np.array(block["q_ids"], dtype=np.int64), np.array(block["q_keys"], dtype=np.int64)
+                queries = load(block["q_points"]) if dim else np.zeros((len(qid), 0))
+                floor = np.array(block["floor"] or [-np.inf] * len(qid), dtype=np.float64)
                 best = search_tree(queries, qkey, floor, points, ids, keys, ends, low, high, k)
                 row, place = np.nonzero(best.score >= np.maximum(floor[:, None], np.finfo(float).min))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(qid[row]),
-                        pa.array(qkey[row]),
-                        pa.array(best.id[row, place]),
-                        pa.array(best.score[row, place].astype(np.int64)),
-                    ],
-                    names=["query_id", "query_key", "vec_id", "score"],
-                )
+                found.append((qid[row], qkey[row], best.id[row, place], best.score[row, place].astype(np.int64)))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 4
+        return pa.table(dict(zip(("query_id", "query_key", "vec_id", "score"), map(pa.array, columns))))
 
     return run
 
@@ -200,9 +197,12 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     ).dropDuplicates(["vec_id", "key"])
 
 
-def _pairs(blocks: DataFrame, trees: DataFrame, shards: Column) -> DataFrame:
-    """Each block with each tree of its dimension that ``shards`` lists; trees are
-    copied once per group of blocks, so a shard's work is split between tasks."""
+def _searched(blocks: DataFrame, trees: DataFrame, shards: Column, k: int) -> DataFrame:
+    """Each block searched in the trees of its dimension that ``shards`` lists.
+
+    A tree is copied once per group of blocks, so a shard's work is split between
+    tasks, and crosses into Python once per group.
+    """
     asked = blocks.select(
         "dim",
         F.floor(F.col("block") / BLOCKS_TOGETHER).cast("int").alias("together"),
@@ -213,7 +213,9 @@ def _pairs(blocks: DataFrame, trees: DataFrame, shards: Column) -> DataFrame:
         F.explode(shards).alias("shard"),
     )
     groups = blocks.select("dim", F.floor(F.col("block") / BLOCKS_TOGETHER).cast("int").alias("together")).distinct()
-    return asked.join(trees.join(groups, "dim"), ["dim", "together", "shard"])
+    cell = ["dim", "together", "shard"]
+    copied = trees.join(groups.withColumnRenamed("dim", "of_dim"), F.col("dim") == F.col("of_dim")).drop("of_dim")
+    return asked.groupBy(*cell).cogroup(copied.groupBy(*cell)).applyInArrow(_search(k), _FOUND)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -240,9 +242,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     blocks = materialize(blocked.groupBy("dim", "block").applyInArrow(_query_blocks, _BLOCK), "query-blocks")
     blocks = blocks.join(counts, "dim")
     first = blocks.withColumn("floor", F.lit(None).cast("array<double>"))
-    seeds = materialize(
-        _pairs(first, trees, F.array(F.pmod("block", "n_shards").cast("int"))).mapInArrow(_search(k), _FOUND), "seed-scores"
-    )
+    seeds = materialize(_searched(first, trees, F.array(F.pmod("block", "n_shards").cast("int")), k), "seed-scores")
     kth = seeds.groupBy("query_key").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     floors = (
         blocks.select("dim", "block", F.posexplode("keys").alias("at", "query_key"))
@@ -254,7 +254,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     )
     second = blocks.join(floors, ["dim", "block"])
     every = F.sequence(F.lit(0), F.col("n_shards") - 1)
-    found = materialize(_pairs(second, trees, every).mapInArrow(_search(k), _FOUND), "shard-scores")
+    found = materialize(_searched(second, trees, every, k), "shard-scores")
     order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
