@@ -15,8 +15,6 @@ the anchor's own label only; a label is cut into as many shards as its rows need
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from siltlog.llm import mixing, pii, quality, queries, secrets, sharding
+from siltlog.llm import mixing, pii, quality, queries, secrets
 from tests.conftest import SF_DIR
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
