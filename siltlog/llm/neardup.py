@@ -221,22 +221,27 @@ def _possible_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     that could be linked with no other, however their shingles fall, go first. Of the
     rest only those meet that have one of their first shingles in common: linked
     sets share three quarters of the larger one, so with the shingles of a star in
-    one order a common one is among the first quarter of either. Shingles outside the
-    centre come first, the rarest of them at the front, so what a whole star has in
-    common joins hardly anybody, and no pair is lost.
+    one order a common one is among the first quarter of either. First come the shingles
+    that only one component holds, then the others outside the centre, the rarest at
+    the front, then those of the centre. So what a whole star has in common joins
+    hardly anybody, and no pair is lost.
     """
     tokens = members.select("c", "m", "root", F.explode("extra").alias("token"))
-    held = tokens.groupBy("c", "token").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("several"))
-    tokens = materialize(tokens.drop("root").join(held, ["c", "token"]), "star-shingles")
-    more = tokens.where("several").groupBy("c", "m").agg(F.count("*").alias("more"))
+    held = tokens.groupBy("c", "token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    shared = held.where("lo <> hi").select("c", "token", "n")
+    tokens = materialize(tokens.drop("root").join(shared, ["c", "token"]), "shared-shingles")
+    more = tokens.groupBy("c", "m").agg(F.count("*").alias("more"))
     able = members.drop("extra").join(more, ["c", "m"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
     able = able.where(_could_link(F.col("both") + F.col("more"), F.col("nm"), F.col("least")))
-    able = materialize(able.withColumn("first", F.col("nm") - F.ceil(F.col("nm") * PERCENT / 100) + 1), "able")
-    first = _first_shingles(able, tokens, sets)
+    # Of a member's first shingles, those that several components hold.
+    first = F.col("nm") - F.ceil(F.col("nm") * PERCENT / 100) + 1
+    able = able.withColumn("first", (first - (F.col("nm") - F.col("both") - F.col("more"))).cast("int")).where("first > 0")
+    able = materialize(able, "able")
+    met = _first_shingles(able, tokens, sets)
 
     def side(end: str) -> DataFrame:
         own = able.select("c", *[F.col(name).alias(name + end) for name in ("m", "nm", "both", "more", "root")])
-        return own.join(first.withColumnRenamed("m", "m" + end), ["c", "m" + end])
+        return own.join(met.withColumnRenamed("m", "m" + end), ["c", "m" + end])
 
     common = F.least("both1", "both2") + F.least("more1", "more2")
     fits = _could_link(common, F.col("nm1"), F.col("nm2")) & (F.col("root1") != F.col("root2"))
@@ -245,14 +250,13 @@ def _possible_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _first_shingles(able: DataFrame, tokens: DataFrame, sets: DataFrame) -> DataFrame:
-    """``c, m, token``: the ``first`` shingles of each member, without those that only one
-    component, or only one member, has among its own."""
+    """``c, m, token``: the ``first`` shared shingles of each member, without those that no
+    other member has among its own."""
     order = Window.partitionBy("c", "m").orderBy("n", "token")
     outside = tokens.join(able.select("c", "m", "first"), ["c", "m"]).withColumn("place", F.row_number().over(order))
-    outside = outside.where((F.col("place") <= F.col("first")) & F.col("several")).select("c", "m", "token")
+    outside = outside.where(F.col("place") <= F.col("first")).select("c", "m", "token")
     # Only members that lie mostly inside the centre go on to shingles of the centre.
-    need = (F.col("first") - (F.col("nm") - F.col("both"))).cast("int")
-    inner = able.where(need > 0).select("c", "m", need.alias("need"))
+    inner = able.where("first > more").select("c", "m", (F.col("first") - F.col("more")).cast("int").alias("need"))
     one = sets.select(F.col("node").alias("c"), F.col("shingles").alias("sc"))
     two = sets.select(F.col("node").alias("m"), F.col("shingles").alias("sm"))
     common = F.slice(F.array_sort(F.array_intersect("sm", "sc")), F.lit(1), F.col("need"))
