@@ -29,7 +29,8 @@ from siltlog.sources.lines import landed_records, number_landed, placed_lines
 DEFAULT_LOG = "Apache_2k.log"
 
 
-# Patterns of one day.
+# Patterns of one day, and where they are kept.
+PARTS = "patterns/parts"
 PART_SCHEMA = StructType([*PATTERN_SCHEMA.fields]).add("log_date", "string")
 
 
@@ -158,15 +159,15 @@ class LogStore:
         ordered.write.partitionBy("log_date").parquet(f"{self.path}/logs/run={run}")
         written = self.spark.read.schema(STORED_LOG_SCHEMA).parquet(f"{self.path}/logs/run={run}")
         parts = patterns_of(written, by=("log_date", "fingerprint"))
-        parts.write.partitionBy("log_date").parquet(f"{self.path}/pattern_parts/run={run}")
-        counted = self.spark.read.schema(PART_SCHEMA).parquet(f"{self.path}/pattern_parts/run={run}")
+        parts.write.partitionBy("log_date").parquet(f"{self.path}/{PARTS}/run={run}")
+        counted = self.spark.read.schema(PART_SCHEMA).parquet(f"{self.path}/{PARTS}/run={run}")
         counts = counted.groupBy("log_date").agg(F.sum("occurrence_count").alias("n")).collect()  # one row per day
         number = (before.number if before else 0) + 1
         days = {day: self.version.days[day] for day in kept} | {r["log_date"]: run for r in counts}
         held = {day: self.version.rows[day] for day in kept} | {r["log_date"]: r["n"] for r in counts}
         version = versions.Version(number, self.source, days, held, run, sorted(set(epochs)))
         new = LogStore(self.spark, self.path, self.source, version)
-        merged = merged_patterns(new._days("pattern_parts", PART_SCHEMA))
+        merged = merged_patterns(new._days(PARTS, PART_SCHEMA))
         merged.write.parquet(f"{self.path}/patterns/run={run}")
         versions.commit(self.spark, self.path, version)
         new._outdate(before)
@@ -176,7 +177,7 @@ class LogStore:
         """Folders that only the version before needs go when the session's tables are released."""
         if before is None:
             return
-        for table in ("logs", "pattern_parts", *TABLES):
+        for table in ("logs", PARTS, *TABLES):
             live = set(self.version.folders(table))
             release_later(self.spark, *[f"{self.path}/{f}" for f in before.folders(table) if f not in live])
         release_later(self.spark, f"{self.path}/patterns/run={before.patterns}")

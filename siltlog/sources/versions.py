@@ -15,7 +15,7 @@ from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
-FOLDER = "_versions"
+FOLDER = "logs/_versions"  # hidden from readers of the folder it is in
 
 
 @dataclass(frozen=True)
