@@ -10,9 +10,9 @@ A star alone would lose links between two documents of a bucket when one of them
 is unlike the centre ``c``. Such documents ``x`` and ``y`` have at most
 ``min(|x & c|, |y & c|)`` shingles in common inside the centre, and outside it at
 most as many as either of them shares with documents of other components.
-Pairs of one star that this bound and their sizes leave possible are tested too, if
-they meet in one of their first shingles, as linked ones must; so no link of two
-documents that meet in a bucket is lost. All links are confirmed on full shingle sets.
+Pairs of one star that this bound and their sizes leave possible are tested too,
+so no link of two documents that meet in a bucket is lost. All links are
+confirmed on full shingle sets.
 
 Documents with the same set are one node from the start, so copies never meet in
 a bucket. Links, components and sets stay in tables.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siltlog.llm import words as W
 from siltlog.llm.graph import components
@@ -37,6 +37,7 @@ BANDS = 32
 BAND_ROWS = 4
 BINS = BANDS * BAND_ROWS
 BROADCAST_ROWS = 500_000
+STAR_PART = 512
 
 _ODD = W.mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -214,56 +215,35 @@ def _open_members(stars: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(open_, "c")
 
 
-def _possible_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _possible_pairs(members: DataFrame) -> DataFrame:
     """Pairs ``c, m`` of members of one star and different components that could be linked.
 
     A member's outside shingles count when several components hold them. Members
-    that could be linked with no other, however their shingles fall, go first. Of the
-    rest only those meet that have one of their first shingles in common: linked
-    sets share three quarters of the larger one, so with the shingles of a star in
-    one order a common one is among the first quarter of either. First come the shingles
-    that only one component holds, then the others outside the centre, the rarest at
-    the front, then those of the centre. So what a whole star has in common joins
-    hardly anybody, and no pair is lost.
+    that could be linked with no other, however their shingles fall, go first; of
+    the rest those outside the star's largest component meet the others. Both sides
+    of a star are dealt into parts of about ``STAR_PART`` members that meet one by one,
+    so a star may be of any size.
     """
     tokens = members.select("c", "m", "root", F.explode("extra").alias("token"))
-    held = tokens.groupBy("c", "token").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    shared = held.where("lo <> hi").select("c", "token", "n")
-    tokens = materialize(tokens.drop("root").join(shared, ["c", "token"]), "shared-shingles")
-    more = tokens.groupBy("c", "m").agg(F.count("*").alias("more"))
+    shared = tokens.groupBy("c", "token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    more = tokens.join(shared.select("c", "token"), ["c", "token"]).groupBy("c", "m").agg(F.count("*").alias("more"))
     able = members.drop("extra").join(more, ["c", "m"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
-    able = able.where(_could_link(F.col("both") + F.col("more"), F.col("nm"), F.col("least")))
-    # Of a member's first shingles, those that several components hold.
-    first = F.col("nm") - F.ceil(F.col("nm") * PERCENT / 100) + 1
-    able = able.withColumn("first", (first - (F.col("nm") - F.col("both") - F.col("more"))).cast("int")).where("first > 0")
-    able = materialize(able, "able")
-    met = _first_shingles(able, tokens, sets)
+    able = materialize(able.where(_could_link(F.col("both") + F.col("more"), F.col("nm"), F.col("least"))), "able")
+    held = able.groupBy("c", "root").agg(F.count("*").alias("n"))
+    stars = held.groupBy("c").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.ceil(F.sum("n") / STAR_PART).cast("int").alias("parts"))
+    able = able.join(materialize(stars, "star-parts"), "c")
+    own, every = F.pmod(F.xxhash64("m"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
 
-    def side(end: str) -> DataFrame:
-        own = able.select("c", *[F.col(name).alias(name + end) for name in ("m", "nm", "both", "more", "root")])
-        return own.join(met.withColumnRenamed("m", "m" + end), ["c", "m" + end])
+    def side(rows: DataFrame, end: str, row: Column, column: Column) -> DataFrame:
+        named = [F.col(name).alias(name + end) for name in ("m", "nm", "both", "more", "root")]
+        return rows.select("c", *named, row.alias("row"), column.alias("column"))
 
+    one, two = side(able.where("root <> main"), "1", own, every), side(able, "2", every, own)
     common = F.least("both1", "both2") + F.least("more1", "more2")
     fits = _could_link(common, F.col("nm1"), F.col("nm2")) & (F.col("root1") != F.col("root2"))
-    pairs = side("1").join(side("2"), ["c", "token"]).where(fits & (F.col("m1") < F.col("m2")))
-    return pairs.select(F.col("m1").alias("c"), F.col("m2").alias("m")).distinct()
-
-
-def _first_shingles(able: DataFrame, tokens: DataFrame, sets: DataFrame) -> DataFrame:
-    """``c, m, token``: the ``first`` shared shingles of each member, without those that no
-    other member has among its own."""
-    order = Window.partitionBy("c", "m").orderBy("n", "token")
-    outside = tokens.join(able.select("c", "m", "first"), ["c", "m"]).withColumn("place", F.row_number().over(order))
-    outside = outside.where(F.col("place") <= F.col("first")).select("c", "m", "token")
-    # Only members that lie mostly inside the centre go on to shingles of the centre.
-    inner = able.where("first > more").select("c", "m", (F.col("first") - F.col("more")).cast("int").alias("need"))
-    one = sets.select(F.col("node").alias("c"), F.col("shingles").alias("sc"))
-    two = sets.select(F.col("node").alias("m"), F.col("shingles").alias("sm"))
-    common = F.slice(F.array_sort(F.array_intersect("sm", "sc")), F.lit(1), F.col("need"))
-    inside = inner.join(two, "m").join(one, "c").select("c", "m", common.alias("common"))
-    first = materialize(outside.unionByName(inside.select("c", "m", F.explode_outer("common").alias("token"))), "first-shingles")
-    met = first.groupBy("c", "token").agg(F.count("*").alias("n")).where("n > 1").select("c", "token")
-    return materialize(first.join(met, ["c", "token"]), "met-shingles")
+    cell = [F.col(f"one.{name}") == F.col(f"two.{name}") for name in ("c", "row", "column")]
+    pairs = one.alias("one").join(two.alias("two"), cell[0] & cell[1] & cell[2] & fits)
+    return pairs.select(F.least("m1", "m2").alias("c"), F.greatest("m1", "m2").alias("m")).distinct()
 
 
 def _joined(links: DataFrame | None, tested: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -307,7 +287,7 @@ def _judged(docs: DataFrame) -> DataFrame:
     stars = materialize(_common(_star_edges(members), sets, extra=True), "stars")
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     links, roots = _joined(None, stars, roots)
-    pairs = materialize(_possible_pairs(materialize(_open_members(stars, roots), "open-stars"), sets), "pairs")
+    pairs = materialize(_possible_pairs(materialize(_open_members(stars, roots), "open-stars")), "pairs")
     links, roots = _joined(links, _common(pairs, sets), roots)
     placed = sigs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialize(placed.select("doc_id", "row_key", "n_shingles", "root"), "placed")

@@ -48,7 +48,8 @@ def family(rng, copies, length=90):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_same_components_as_all_pairs(spark, seed):
+def test_same_components_as_all_pairs(spark, seed, monkeypatch):
+    monkeypatch.setattr(neardup, "STAR_PART", 7 if seed == 1 else 512)
     rng = random.Random(seed)
     texts = family(rng, 120) + family(rng, 25, 30) + ["Same  TEXT here", "same text here", "same text", None, "", " \t"]
     texts += [" ".join(rng.choices("pqrstuvw", k=12)) for _ in range(40)]
